@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), 3, 85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -40,6 +47,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_language": op5_language,
+    "op6_minhash": op6_minhash,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
 }
