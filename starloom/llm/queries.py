@@ -31,6 +31,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -45,6 +51,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substrings": op3_substrings,
     "op4_decontaminate": op4_decontaminate,
     "op5_language": op5_language,
     "op6_minhash": op6_minhash,
