@@ -17,6 +17,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import without_repeated_bytes
+
+    return without_repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_language": op5_language,
     "op6_minhash": op6_minhash,
+    "op7_suffixes": op7_suffixes,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
 }

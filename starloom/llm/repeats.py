@@ -23,9 +23,11 @@ def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
     return spark.table(name)
 
 
-def prepared(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
+def prepared(docs: DataFrame, parts: int | None = None, groups: int = 0) -> tuple[DataFrame, int]:
     """The documents with __id (a null id sorts last), __k (key of the row: id and text) and __copy, bucketed by __k.
 
+    groups: add __g too, one of so many groups of rows a partition, and bucket by it.
+
     __copy: a document with a smaller id has the same text. Only keys are grouped, so a text
     that a third of all rows repeat is one row per task; texts are shuffled once.
     """
@@ -36,6 +38,9 @@ def prepared(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]
     first = keys.groupBy("__a", "__b").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last")
     copies = keys.join(first.drop("__last"), ["__a", "__b"]).where("__id > __first").select("__k", F.lit(True).alias("__copy")).distinct()
     whole = source.drop("__a", "__b").join(copies.hint("shuffle_hash"), "__k", "left").withColumn("__copy", F.coalesce("__copy", F.lit(False)))
+    if groups:
+        whole = whole.withColumn("__g", F.pmod(F.xxhash64("__k", F.lit(3)), F.lit(groups * parts)).cast("int"))
+        return bucketed(whole.select(*docs.columns, *ADDED, "__g"), parts, "__g"), parts
     return bucketed(whole.select(*docs.columns, *ADDED), parts, "__k"), parts
 
 
