@@ -37,6 +37,20 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import round_trip
+
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import without_repeats
 
@@ -56,7 +70,16 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import top_k
+
+    docs = documents(spark, sf_dir)
+    return top_k(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op3_substrings": op3_substrings,
     "op4_decontaminate": op4_decontaminate,
     "op5_language": op5_language,
@@ -64,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffixes": op7_suffixes,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
+    "op10_search": op10_search,
 }
 
 SQL: dict[str, str] = {}
