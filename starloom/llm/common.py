@@ -163,7 +163,7 @@ def by_bytes(batches, text: str = "text"):
 
 
 class WordTable:
-    """Ids of distinct words by the words' 64-bit hashes; `encode` gives ids for a list of words.
+    """Ids of distinct words by the words' 64-bit hashes; `encode` gives packed 32-bit ids for a list of words.
 
     Bounded: when it would hold more than `most` words it starts anew, so only speed depends on it.
     """
@@ -178,9 +178,9 @@ class WordTable:
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """keys: sorted, none of them known."""
         found = self.encode(words)
-        count = np.fromiter(map(len, found), np.int32, len(found))
+        count = np.fromiter(map(len, found), np.int32, len(found)) // 4
         start = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
-        self.ids = np.concatenate([self.ids, *found]).astype(np.uint32, copy=False)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.count = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.start, start), (self.count, count)))
 

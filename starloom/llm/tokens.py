@@ -42,6 +42,9 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x09, 0x0A, 0x0D]] = True
 
 
+_ENCODERS: dict[str, "WordEncoder"] = {}
+
+
 class WordEncoder:
     """Encodes each distinct piece between white space once, and each distinct part of pieces once.
 
@@ -60,23 +63,31 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.parts: dict[str, np.ndarray] = {}
+        self.parts: dict[str, bytes] = {}
         self.table = WordTable(self.learn)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for i in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+    @classmethod
+    def kept(cls, path: str) -> "WordEncoder":
+        """The one of this worker process, so that its tasks share what it has learnt."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for i in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
 
-    def several(self, parts: list[str]) -> list[np.ndarray]:
+    def several(self, parts: list[str]) -> list[bytes]:
         """Of parts that each become one word of the model, 256 to a call: the word ends tell them apart."""
         out = []
         for i in range(0, len(parts), 256):
             some = parts[i : i + 256]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            out += np.split(ids, ends[:-1]) if len(ends) == len(some) else self.whole(some)
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(some) else self.whole(some)
         return out
 
-    def learn(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
         texts = [x.decode() for x in pieces]
         split = [_PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in texts]
         new = list({x for parts in split if parts for x in parts if x not in self.parts})
@@ -86,7 +97,7 @@ class WordEncoder:
         self.parts.update(zip(new, self.several(new), strict=True))
         rest = iter(self.whole([w for w, x in zip(texts, split, strict=True) if x is None]))
         get = self.parts.__getitem__
-        return [next(rest) if x is None else get(x[0]) if len(x) == 1 else np.concatenate([*map(get, x), np.zeros(0, np.uint32)]) for x in split]
+        return [next(rest) if x is None else get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in split]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         data, at = packed(texts)
@@ -158,7 +169,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of two kinds: `recipe`, one per document, and `chunk`, one per chunk that its task has not sent yet."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(path), set()
+        encoder, seen = WordEncoder.kept(path), set()
         end = np.array([end_id], np.uint32)
         for batch in batches:
             texts = binaries(batch.column("text"))
