@@ -5,10 +5,11 @@ over the set; four values (two permutations) make a band. Equal sets are one nod
 Nodes that share a band meet at a pivot, links are confirmed by the sizes of intersection and
 union of the whole sets, and connected components are taken over confirmed links.
 
-A bucket's nodes are compared with its smallest node first. Where several components remain in a
-bucket, each is compared with a pivot that differs from bucket to bucket, and what is still
-apart after that is compared pair by pair, so no candidate is left out; pairs within a component
-never are, so a group of n near copies costs about n comparisons a bucket.
+A bucket's nodes are compared with its smallest node first. Buckets whose nodes that leaves apart
+make families (nodes that such buckets connect). In a family every node outside the largest
+component is held against all nodes, by counting shared shingles over an inverted index, in
+blocks of bounded size; only links between components come out, no pairs. So no candidate is
+left out, and no rows are made for pairs within a group.
 
 With 32 bands of 4, a pair at similarity 0.85 shares no band with probability 6e-11 (5e-8 at 0.8).
 
@@ -155,6 +156,81 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+class Union:
+    """Disjoint sets of small integers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def linked(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links that join different components. Rows: pool (only rows of one pool are compared), side (0: compared with those of side 1), node, root, shingles."""
+    pool, side, node, root = (table.column(c).to_numpy() for c in ("pool", "side", "node", "root"))
+    raw = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in raw], np.int64)
+    ask, have = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    keyed_by_pool = lambda i: mix(np.concatenate([raw[k] for k in i]) ^ np.repeat(mix(pool[i].view(U64)), size[i]))
+    if not len(ask) or not len(have):
+        return [], []
+    index, owner = keyed_by_pool(have), np.repeat(np.arange(len(have)), size[have])
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], owner[order]
+    begin, tokens = np.cumsum(size[ask]) - size[ask], keyed_by_pool(ask)
+    low, high = np.searchsorted(index, tokens, "left"), np.searchsorted(index, tokens, "right")
+    work = np.add.reduceat(high - low, begin)
+    sets, a, b, at = Union(), [], [], 0
+    while at < len(ask):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(work[at:]), 4_000_000)))
+        upto = min(upto, at + max(1, 8_000_000 // len(have)), len(ask))
+        x, y = begin[at], begin[upto - 1] + size[ask[upto - 1]]
+        count = high[x:y] - low[x:y]
+        who = np.repeat(np.arange(upto - at), size[ask[at:upto]])
+        shared = np.bincount(np.repeat(who, count) * len(have) + owner[spread(low[x:y], count)], minlength=(upto - at) * len(have))
+        hit = np.flatnonzero(shared)
+        i, j, n = ask[at + hit // len(have)], have[hit % len(have)], shared[hit]
+        good = (100 * n >= percent * (size[i] + size[j] - n)) & (root[i] != root[j])
+        for i, j in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            if sets.join(int(root[i]), int(root[j])):
+                a.append(int(node[i]))
+                b.append(int(node[j]))
+        at = upto
+    return a, b
+
+
+#: Nodes of a family that one task compares: so many outside the largest component, with so many of all.
+ASKED, HELD = 1024, 4096
+
+
+def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows: key, node, root, low of buckets that hold several components. Confirmed links (a, b) between components, enough of them to join all that any link joins."""
+    family = components(rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "family")
+    members = written(rows.select("node", "root").distinct().join(family, "node"))
+    sizes = members.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("m"))
+    placed = members.join(sizes, "family").withColumns({"asked": F.ceil(F.col("m") / ASKED).cast("int"), "held": F.ceil(F.col("n") / HELD).cast("int")})
+    h = F.xxhash64("node", F.lit(17))
+    ask = placed.where("root <> main").select("family", F.pmod(h, F.col("asked")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("held") - 1)).alias("q"), F.lit(0).alias("side"), "node", "root")
+    have = placed.select("family", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("p"), F.pmod(h, F.col("held")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "root")
+    pooled = ask.unionByName(have).select(F.xxhash64("family", "p", "q").alias("pool"), "side", "node", "root").join(sets.select("node", "shingles"), "node")
+    slots = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(key, table):
+        a, b = linked(table, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return pooled.withColumn("slot", F.pmod("pool", F.lit(slots))).groupBy("slot").applyInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of documents: id, k1, k2 (key of the text), n_shingles, component_id (the smallest id of its group)."""
     rows = written(signatures(docs, k))
@@ -167,19 +243,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wanted = buckets.select("node").distinct().join(nodes.select("node", "id", "k1", "k2"), "node")
     sets = written(full_sets(docs, wanted, k))
     links = [written(confirmed(buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))]
-    for last in (False, True):
-        roots = components(reduce(DataFrame.unionByName, links))
-        labelled = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", "key")).alias("pivot")).where("low < high")
-        open_rows = written(labelled.join(apart.select("key", "pivot"), "key"))
-        if open_rows.isEmpty():
-            break
-        if last:
-            x, y = (open_rows.select("key", F.col("node").alias(a), F.col("root").alias(f"r{a}")) for a in "ab")
-            pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-        else:
-            pairs = open_rows.where(F.col("root") != F.col("pivot.root")).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        links.append(written(confirmed(pairs, sets, percent)))
+    roots = components(links[0])
+    labelled = written(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    apart = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("low")).where("r0 < r1").select("key", "low")
+    links.append(written(family_links(labelled.join(apart, "key"), sets, percent)))
     roots = components(reduce(DataFrame.unionByName, links))
     classes = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
