@@ -20,6 +20,6 @@ def to_mjd(ts: Column) -> Column:
 
 def token_expiry(token: Column) -> Column:
     """Expiry claim, in seconds, of a three-part token."""
-    body = F.element_at(F.split(token, r"\."), 2)
+    body = F.try_element_at(F.split(token, r"\."), F.lit(2))
     padded = F.rpad(F.translate(body, "-_", "+/"), F.ceil(F.length(body) / 4) * 4, F.lit("="))
     return F.get_json_object(F.unbase64(padded).cast("string"), "$.exp").cast("double")

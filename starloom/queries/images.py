@@ -163,10 +163,18 @@ def hook_upscale(spark, sf_dir):
     return out.select("vec_id", F.size("upscaled").cast("long").alias("n"), r6(F.aggregate("upscaled", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+def display_pipeline(spark, sf_dir):
+    from ..operators.display import display
+
+    v, i = F.floor("value").cast("int"), F.col("idx").cast("int")
+    rgb = pixels(spark, sf_dir).select("image", "idx", (v % 256).alias("r"), (i % 256).alias("g"), (i * 7 % 256).alias("b"))
+    return display(rgb, Scaling("sqrt"), "hot", inverted=True)
+
+
 QUERIES = {
     "asinh_stretch_by_image": asinh_stretch_by_image, "stretches": stretches, "scaling_overrides": scaling_overrides, "scaling_percentile": scaling_percentile, "flag_counts": flag_counts, "scaling_equalized": scaling_equalized, "scaling_mtf_auto": scaling_mtf_auto,
     "zscale_range": zscale, "scaling_zscale": scaling_zscale, "histogram_fixed": histogram_fixed, "histogram_handles": histogram_handles, "color_bars": color_bars, "luma_invert": luma_invert, "alpha_composite": alpha_composite,
-    **{f"resample_{m}": resampled(m) for m in resample.METHODS}, "median_stack": stacked, "hook_upscale": hook_upscale,
+    **{f"resample_{m}": resampled(m) for m in resample.METHODS}, "median_stack": stacked, "display_pipeline": display_pipeline, "hook_upscale": hook_upscale,
 }
 
 PCT = "pr AS (SELECT image, list_sort(list(v))[CAST(floor(0.1e0 * (count(*) - 1)) AS BIGINT) + 1] AS low, list_sort(list(v))[CAST(floor(0.9e0 * (count(*) - 1)) AS BIGINT) + 1] AS high FROM px GROUP BY image)"
@@ -187,5 +195,6 @@ SQL = {
     "alpha_composite": "WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings) SELECT vec_id, round(((a * 0.8e0 + b * 0.2e0) * 0.6e0 + c * 0.4e0) * 0.4e0 + d * 0.6e0, 6) AS value FROM e",
     **{f"resample_{m}": resampled_sql(m) for m in resample.METHODS},
     "median_stack": "WITH e AS (SELECT label, CAST(unnest(range(64)) AS INTEGER) AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT label, idx, round(median(v), 6) AS median, count(*) AS n FROM e GROUP BY label, idx",
+    "display_pipeline": f"WITH px AS (SELECT o_orderpriority AS image, o_orderkey AS idx, 0.299e0 * (CAST(floor(o_totalprice) AS BIGINT) % 256) + 0.587e0 * (o_orderkey % 256) + 0.114e0 * (o_orderkey * 7 % 256) AS v FROM orders), {RG}, {NX} SELECT image, idx, 255 - {channel_sql('sqrt(x)', 'hot', 1)} AS r, 255 - {channel_sql('sqrt(x)', 'hot', 2)} AS g, 255 - {channel_sql('sqrt(x)', 'hot', 3)} AS b FROM nx",
     "hook_upscale": "SELECT vec_id, CAST(256 AS BIGINT) AS n, round(4 * list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
 }

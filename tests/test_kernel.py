@@ -146,6 +146,21 @@ def test_formats_and_dates(spark):
     assert [str(x) for x in one(spark, *(dates.mjd_to_date(F.lit(float(m))) for m in (0, 60000, 40587)))] == ["1858-11-17", "2023-02-25", "1970-01-01"]
 
 
+def test_token_expiry(spark):
+    import base64
+
+    body = base64.urlsafe_b64encode(b'{"sub":"a","exp":1700000000}').decode().rstrip("=")
+    assert one(spark, dates.token_expiry(F.lit(f"x.{body}.y")), dates.token_expiry(F.lit("nothing")))[:] == (1_700_000_000.0, None)
+
+
+def test_display_bypass(spark):
+    from starloom.operators.display import display
+
+    rgb = spark.createDataFrame([("a", 0, 1, 2, 3), ("a", 1, 200, 100, 50)], "image string, idx long, r int, g int, b int")
+    assert display(rgb).collect() == rgb.collect()
+    assert [r[2:] for r in display(rgb, inverted=True).orderBy("idx").collect()] == [(255, 255, 255), (0, 0, 0)]
+
+
 def test_histogram(spark):
     h = histogram(spark.createDataFrame([(x,) for x in (0.0, 0.0, 0.5, 0.5, 1.0, 1.0)], "v double"), "v", 0, 1, 4)
     assert [r.n for r in h.orderBy("bin").collect()] == [2, 0, 2, 2]
