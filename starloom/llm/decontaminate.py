@@ -198,8 +198,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those that hold a benchmark window; columns unchanged."""
-    found = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k1")) & (F.xxhash64("text", F.lit(7)) == F.col("_k2"))
+    found = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k1")) & (F.xxhash64("text", F.lit(7)) == F.col("__k2"))
     return docs.join(found.hint("shuffle_hash"), same, "left_anti")
 
 

@@ -256,6 +256,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those whose group has a smaller id; of rows that repeat an id and a text all stay. Columns unchanged."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k1")) & (F.xxhash64("text", F.lit(7)) == F.col("_k2"))
+    gone = near_duplicates(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k1")) & (F.xxhash64("text", F.lit(7)) == F.col("__k2"))
     return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -188,7 +188,7 @@ def hot_repeated(hot: DataFrame) -> DataFrame:
 
 
 def repeats(table: DataFrame, parts: int, width: int, hot: int = HOT) -> DataFrame:
-    """(__k, spans): ranges of starts of repeated windows, for documents that are no copies."""
+    """(__k, __spans): ranges of starts of repeated windows, for documents that are no copies."""
     source = table.where("not __copy")
     runs = written(anchor_runs(source, width))
     shared = runs.groupBy("key").agg(F.min("__id").alias("low"), F.max("__id").alias("high"), F.count("*").alias("c")).where("low < high").select("key", (F.col("c") > hot).alias("hot"))
@@ -196,23 +196,30 @@ def repeats(table: DataFrame, parts: int, width: int, hot: int = HOT) -> DataFra
     found = written(named_windows(source.select("__id", "__k", "text").join(lists.hint("shuffle_hash"), "__k"), width))
     cold = found.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("bucket").applyInArrow(repeated, SPAN)
     spans = cold.unionByName(hot_repeated(found.where("hot")))
-    return spans.groupBy("__k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return spans.groupBy("__k").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT, parts: int | None = None) -> DataFrame:
     """The documents with repeated words cut out of `text` (the rest unchanged, white space too), and n_words, n_removed, kept_sha256.
 
-    kept_sha256: of the kept words joined by one space.
+    kept_sha256: of the kept words joined by one space. Columns of these three names are replaced.
     """
+    found = _cut(docs, width, hot, parts)
+    for name in ("n_words", "n_removed", "kept_sha256"):
+        found = found.drop(name).withColumnRenamed(f"__{name}", name)
+    return found
+
+
+def _cut(docs: DataFrame, width: int, hot: int, parts: int | None) -> DataFrame:
     columns = [*docs.columns]
     table, parts = prepared(docs, parts)
     joined = table.join(repeats(table, parts, width, hot).hint("shuffle_hash"), "__k", "left").drop("__k", "__id")
-    schema = T.StructType([*(f for f in table.schema if f.name not in ADDED), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    schema = T.StructType([*(f for f in table.schema if f.name not in ADDED), T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept_sha256", T.StringType())])
 
     def cut(batches):
         for batch, texts in by_bytes(batches):
             out, n_words, n_removed, sha = batch.column("text").to_pylist(), [], [], []
-            copies, spans = batch.column("__copy").to_pylist(), batch.column("spans").to_pylist()
+            copies, spans = batch.column("__copy").to_pylist(), batch.column("__spans").to_pylist()
             for i, (text, copy, some) in enumerate(zip(texts, copies, spans, strict=True)):
                 words, gone = text.split(), 0
                 n_words.append(len(words))
@@ -226,7 +233,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT, parts:
                 n_removed.append(gone)
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             made = {"text": pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(made.get(c, batch.column(c)) for c in columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=[*columns, "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(made.get(c, batch.column(c)) for c in columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=[*columns, "__n_words", "__n_removed", "__kept_sha256"])
 
     return joined.mapInArrow(cut, schema)
 
@@ -245,8 +252,8 @@ def kept_text(text: bytes, mask: np.ndarray) -> str:
 
 def shortened(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents with repeated passages cut out; those that lose all their words go. n_chars follows the text."""
-    found = without_repeats(docs, width).where("n_removed = 0 or n_removed < n_words")
+    found = _cut(docs, width, HOT, None).where("__n_removed = 0 or __n_removed < __n_words")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)

@@ -31,7 +31,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    return spark.createDataFrame(rows, schema).selectExpr("*", "'x' AS id", "1 AS k1", "2 AS bands", "3 AS key")
+    return spark.createDataFrame(rows, schema).selectExpr("*", "'x' AS id", "1 AS k1", "2 AS bands", "3 AS key", "4 AS spans", "5 AS n_words", "6 AS _id", "7 AS runs", "8 AS hit")
 
 
 @pytest.fixture(scope="module")
