@@ -191,8 +191,8 @@ def linked(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     work = np.add.reduceat(high - low, begin)
     sets, a, b, at = Union(), [], [], 0
     while at < len(ask):
-        upto = at + max(1, int(np.searchsorted(np.cumsum(work[at:]), 4_000_000)))
-        upto = min(upto, at + max(1, 8_000_000 // len(have)), len(ask))
+        upto = at + max(1, int(np.searchsorted(np.cumsum(work[at:]), 1_000_000)))
+        upto = min(upto, at + max(1, 2_000_000 // len(have)), len(ask))
         x, y = begin[at], begin[upto - 1] + size[ask[upto - 1]]
         count = high[x:y] - low[x:y]
         who = np.repeat(np.arange(upto - at), size[ask[at:upto]])
