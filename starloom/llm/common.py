@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import uuid
 
 import numpy as np
@@ -22,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -39,6 +41,12 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's collector find shuffles that nothing refers to any more, so that their files go now and not at its next turn."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, binaries, chunks, mix, packed, spread, written
+from .common import U64, Prefix, binaries, chunks, mix, packed, release, spread, written
 from .repeats import covered, first_and_last, prepared
 
 WIDTH, GRAM = 50, 24
@@ -126,6 +126,7 @@ def anchor_arrays(table: DataFrame, decided: DataFrame, parts: int, width: int)
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
         several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+        several = (np.minimum(np.diff(np.append(at, len(key))), 127) | (several << 7)).astype(np.uint8)  # runs, and whether in several documents
         key = key[at]
         bucket = (key % U64(parts)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -145,43 +146,47 @@ def grouped(table: DataFrame, other: DataFrame):
     return table.select("__g", "__id", "__k", "text", "__copy").groupBy("__g").cogroup(other.groupBy("__g"))
 
 
-def shared_anchors(key, table):
-    """Of one bucket: for each group, its anchors that another document has too (32-bit count of runs is not needed)."""
-    keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
-    every = np.concatenate(keys)
-    several = np.frombuffer(b"".join(table.column("several").to_pylist()), bool)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    same = np.zeros(len(every), bool)
-    same[1:] = ranked[1:] == ranked[:-1]
-    same[:-1] |= same[1:].copy()
-    flag = several.copy()
-    flag[order[same]] = True
-    out, at = [], 0
-    for x in keys:
-        out.append(x[flag[at : at + len(x)]].tobytes())
-        at += len(x)
-    return pa.table({"__g": table.column("g"), "keys": pa.array(out, pa.binary())})
+def shared_anchors(hot: int):
+    """Of one bucket: for each group, its anchors that another document has too, and which of those have more than `hot` runs."""
+
+    def work(key, table):
+        keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+        every = np.concatenate(keys)
+        tally = np.frombuffer(b"".join(table.column("several").to_pylist()), np.uint8)
+        order = np.argsort(every, kind="stable")
+        ranked, runs, several = every[order], (tally[order] & 127).astype(np.int64), tally[order] >> 7
+        at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(every) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(every)))
+        shared, often = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        if len(at):
+            shared[order] = np.repeat((size > 1) | (np.maximum.reduceat(several, at) > 0), size)
+            often[order] = np.repeat(np.add.reduceat(runs, at) > hot, size)
+        ends = np.cumsum([len(x) for x in keys]).tolist()
+        pick = [(every[a:b][shared[a:b]].tobytes(), often[a:b][shared[a:b]].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+        return pa.table({"__g": table.column("g"), "keys": pa.array([x for x, _ in pick], pa.binary()), "often": pa.array([x for _, x in pick], pa.binary())})
+
+    return lambda key, table: work(key, table)
 
 
-RUN = "bucket int, key long, __id long, __k long, __g int, first int, n int, bytes binary"
+RUN = "bucket int, key long, hot boolean, __id long, __k long, __g int, first int, n int, bytes binary"
 
 
 def shared_runs(table: DataFrame, feed: DataFrame, parts: int, width: int) -> DataFrame:
     """Runs of open windows with a shared anchor, each with the bytes that it covers. feed: decided spans and shared anchors."""
 
     def work(left, right):
-        blobs = [x for x in right.column("keys").to_pylist() if x]
-        shared = np.sort(np.frombuffer(b"".join(blobs), U64))
+        shared, often = (np.frombuffer(b"".join(x for x in right.column(c).to_pylist() if x), t) for c, t in (("keys", U64), ("often", bool)))
+        order = np.argsort(shared)
+        shared, often = shared[order], often[order]
         g = Group(left, right.filter(pa.compute.is_valid(right.column("__k"))), width)
         tables = []
         for data, at, base, key, owner, start, n in g.parts:
             slot = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
             on = np.flatnonzero(shared[slot] == key) if len(shared) else np.zeros(0, np.int64)
-            key, owner, start, n = key[on], owner[on], start[on], n[on]
+            key, owner, start, n, hot = key[on], owner[on], start[on], n[on], often[slot[on]]
             raw = data.data
             tables.append(pa.table({
-                "bucket": pa.array((key % U64(parts)).astype(np.int32)), "key": pa.array(key.view(np.int64)), "__id": pa.array(g.ids[owner]), "__k": pa.array(g.keys[owner]),
+                "bucket": pa.array((key % U64(parts)).astype(np.int32)), "key": pa.array(key.view(np.int64)), "hot": pa.array(hot), "__id": pa.array(g.ids[owner]), "__k": pa.array(g.keys[owner]),
                 "__g": pa.array(np.full(len(key), left.column("__g")[0].as_py() if left.num_rows else 0, np.int32)), "first": pa.array((start - at[owner - base]).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
                 "bytes": pa.array([raw[s : s + m + width - 1].tobytes() for s, m in zip(start.tolist(), n.tolist(), strict=True)], pa.binary()),
             }))
@@ -190,7 +195,7 @@ def shared_runs(table: DataFrame, feed: DataFrame, parts: int, width: int) -> Da
     return grouped(table, feed).applyInArrow(work, RUN)
 
 
-_RUN = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("__id", pa.int64()), ("__k", pa.int64()), ("__g", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+_RUN = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("hot", pa.bool_()), ("__id", pa.int64()), ("__k", pa.int64()), ("__g", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
 
 
 class SuffixSorter:
@@ -323,15 +328,18 @@ def hot_suffixes(hot: DataFrame, width: int) -> DataFrame:
 def without_repeated_bytes(docs: DataFrame, width: int = WIDTH, hot: int = HOT, parts: int | None = None, with_bytes: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (first byte, end), and with_bytes the kept bytes."""
     table, parts = prepared(docs.select("doc_id", "text"), parts, GROUPS)
+    release(docs.sparkSession)
     source = table.where("not __copy")
     decided = decided_chunks(source, width)
-    shared = anchor_arrays(source, decided, parts, width).groupBy("bucket").applyInArrow(shared_anchors, "__g int, keys binary")
-    feed = decided.withColumn("keys", F.lit(None).cast("binary")).unionByName(written(shared).select("__g", F.lit(None).cast("long").alias("__k"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), "keys"))
+    shared = anchor_arrays(source, decided, parts, width).groupBy("bucket").applyInArrow(shared_anchors(hot), "__g int, keys binary, often binary")
+    feed = decided.unionByName(written(shared), allowMissingColumns=True)
+    del shared
+    release(docs.sparkSession)
     runs = written(shared_runs(source, feed, parts, width))
-    often = runs.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("often"))
-    marked = runs.join(often, "key", "left")
-    cold = marked.where("often is null").drop("often").groupBy("bucket").applyInArrow(repeated_suffixes(width), SPAN)
-    spans = written(cold.unionByName(hot_suffixes(marked.where("often"), width)).unionByName(decided))
+    del feed
+    release(docs.sparkSession)
+    cold = runs.where("not hot").groupBy("bucket").applyInArrow(repeated_suffixes(width), SPAN)
+    spans = written(cold.unionByName(hot_suffixes(runs.where("hot"), width)).unionByName(decided))
 
     def cut(left, right):
         found: dict[int, list[tuple[int, int]]] = {}
