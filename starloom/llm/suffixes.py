@@ -309,7 +309,8 @@ def repeated_suffixes(width: int):
 
 
 def hot_suffixes(hot: DataFrame, width: int) -> DataFrame:
-    """Windows of anchors with very many runs: one row each, partial minima, then a join that can be split."""
+    """Runs of very frequent anchors. A run whose bytes are those of a run with a smaller id is repeated as a whole; of the rest
+    (one document for each distinct run) every window is a row: partial minima, then a join that can be split."""
 
     def unpack(batches):
         for batch in batches:
@@ -320,9 +321,11 @@ def hot_suffixes(hot: DataFrame, width: int) -> DataFrame:
             first = batch.column("first").to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("__id", "__k", "__g")), pa.array(spread(first, n).astype(np.int32)), pa.array(text, pa.binary())], names=["__id", "__k", "__g", "first", "window"])
 
-    each = hot.mapInArrow(unpack, "__id long, __k long, __g int, first int, window binary")
+    ranked = hot.join(hot.groupBy("key", "bytes").agg(F.min("__id").alias("first_id")), ["key", "bytes"])
+    whole = ranked.where("__id > first_id").select("__g", "__k", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    each = ranked.where("__id = first_id").select("__id", "__k", "__g", "first", "n", "bytes").mapInArrow(unpack, "__id long, __k long, __g int, first int, window binary")
     least = each.groupBy("window").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most")
-    return each.join(least.drop("most"), "window").where("__id > least").select("__g", "__k", "first", F.col("first").alias("last"))
+    return whole.unionByName(each.join(least.drop("most"), "window").where("__id > least").select("__g", "__k", "first", F.col("first").alias("last")))
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = WIDTH, hot: int = HOT, parts: int | None = None, with_bytes: bool = False) -> DataFrame:
