@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Filter bands.
@@ -46,12 +46,14 @@ def in_category(objects: DataFrame, category: str) -> DataFrame:
     return objects.where(F.col("category") == category)
 
 
-def by_category(objects: DataFrame, most: int = 1000) -> DataFrame:
-    """Per category: count, place of its first row, and its first ids in order (a list for display, `most` long)."""
-    from pyspark.sql import Window
+def by_category(objects: DataFrame) -> DataFrame:
+    """Per category: count, its first and last row by `ord`, over all its rows."""
+    return objects.groupBy("category").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.min_by("id", "ord").alias("first_id"), F.max("ord").alias("last_ord"))
 
-    rank = F.row_number().over(Window.partitionBy("category").orderBy("ord"))
-    return objects.withColumn("__r", rank).groupBy("category").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.sort_array(F.collect_list(F.when(F.col("__r") <= most, F.struct("ord", "id")))).alias("members"))
+
+def category_members(objects: DataFrame) -> DataFrame:
+    """Every row with its place within its category, from 1, by `ord`."""
+    return objects.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("ord")))
 
 
 def with_dimension(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

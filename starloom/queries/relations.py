@@ -31,8 +31,7 @@ def first_category(spark, sf_dir):
 
 
 def category_groups(spark, sf_dir):
-    g = K.by_category(objects(spark, sf_dir))
-    return g.select("category", "n", "first_ord", F.element_at("members", 1)["id"].alias("first_id"), F.element_at("members", -1)["ord"].alias("last_ord"))
+    return K.by_category(objects(spark, sf_dir)).select("category", "n", "first_ord", "first_id", "last_ord")
 
 
 def catalog_union(spark, sf_dir):
