@@ -59,7 +59,7 @@ def tile_urls(spark, sf_dir):
 
 
 def seen(spark, sf_dir):
-    s = sky(spark, sf_dir).where("id <= 60")
+    s = sky(spark, sf_dir)
     return T.visible_tiles(s.select(F.col("id").alias("view_id"), "ra", "dec", (F.col("id") % 5 + 1).cast("double").alias("fov"), (F.col("id") % 3 + 3).cast("int").alias("ord")))
 
 
@@ -75,7 +75,7 @@ def cache_misses(spark, sf_dir):
 def overlay_tiles(spark, sf_dir):
     from ..operators.catalog import surveys
 
-    tiles = seen(spark, sf_dir).where("view_id <= 3").select("ord", "pix").distinct()
+    tiles = seen(spark, sf_dir).select("ord", "pix").distinct()
     return tiles.crossJoin(F.broadcast(surveys(spark).select("survey"))).groupBy("survey", "ord").agg(F.count("*").alias("n"), F.sum("pix").alias("sum_pix"))
 
 

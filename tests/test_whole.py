@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from starloom.operators import catalog
 from starloom.queries import QUERIES
-from starloom.queries.shared import OBJ
+from starloom.queries.shared import OBJ, SKY, wrap_sql
+from starloom.queries.skyviews import index_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,22 @@ def test_categories_keep_all_members(spark):
 
 def test_category_groups_of_large_tables(spark):
     same(spark, "category_groups", f"WITH {OBJ} SELECT category, count(*) AS n, min(ord) AS first_ord, arg_min(id, ord) AS first_id, max(ord) AS last_ord FROM obj GROUP BY category", "/root/testdata/sf0.1")
+
+
+SEEN = (
+    f"{SKY}, vw AS (SELECT id AS view_id, ra, dec, CAST(id % 5 + 1 AS DOUBLE) AS fov, CAST(id % 3 + 3 AS INTEGER) AS ord, 180e0 / pow(2e0, id % 3 + 3) AS ang FROM sky), st AS (SELECT *, CAST(ceil((fov / 2 + 2 * ang) / ang) AS BIGINT) AS rs, CAST(least(pow(2e0, ord), ceil((fov / 2 + 2 * ang) / cos(radians(dec)) / ang)) AS BIGINT) AS cs FROM vw), "
+    f"gr AS (SELECT view_id, ord, ra, ang, cs, dec + unnest(range(-rs, rs + 1)) * ang AS td FROM st), g2 AS (SELECT view_id, ord, round({wrap_sql('ra + j * ang')}, 9) AS tr, round(td, 9) AS td FROM (SELECT *, unnest(range(-cs, cs + 1)) AS j FROM gr WHERE td BETWEEN -90 AND 90)), {index_sql('tr', 'td', 'pow(2, ord)', 'reference', 'g2', 'view_id, ord')}, vt AS (SELECT DISTINCT view_id, ord, pix FROM ix)"
+)
+
+
+@pytest.mark.parametrize(("name", "text"), [
+    ("visible_tiles", "SELECT view_id, ord, pix FROM vt"),
+    ("cache_misses", "SELECT DISTINCT ord, pix FROM vt WHERE NOT EXISTS (SELECT 1 FROM vt c WHERE c.ord = vt.ord AND c.pix = vt.pix AND c.view_id % 2 = 0)"),
+    ("overlay_tiles", "SELECT survey, ord, count(*) AS n, CAST(sum(pix) AS BIGINT) AS sum_pix FROM (SELECT DISTINCT ord, pix FROM vt), (VALUES ('gaia-dr3'), ('dss2-color'), ('2mass-j'), ('wise-color'), ('panstarrs-dr1')) s(survey) GROUP BY survey, ord"),
+])
+def test_every_customer_is_a_view(spark, name, text):
+    same(spark, name, f"WITH {SEEN} {text}")
+
+
+def test_every_view_has_tiles(spark):
+    assert QUERIES["visible_tiles"](spark, SF).select("view_id").distinct().count() == spark.read.parquet(f"{SF}/customer.parquet").count()
