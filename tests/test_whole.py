@@ -55,3 +55,7 @@ def test_every_customer_is_a_view(spark, name, text):
 
 def test_every_view_has_tiles(spark):
     assert QUERIES["visible_tiles"](spark, SF).select("view_id").distinct().count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def test_union_reads_whole_tables(spark):
+    same(spark, "catalog_union", f"WITH {OBJ}, u AS (SELECT 0 AS list, category FROM obj UNION ALL SELECT 1, 'SUPPLIER' FROM supplier) SELECT list, category, count(*) AS n FROM u GROUP BY ALL")
