@@ -116,9 +116,9 @@ def adql_async(spark, sf_dir):
 
 def cross_match(spark, sf_dir):
     s = sky(spark, sf_dir)
-    left = s.where("id % 2 = 0").select(F.col("id").alias("lid"), "ra", "dec")
-    right = s.where("id % 2 = 1").select(F.col("id").alias("rid"), "ra", "dec")
-    return M.cross_match(left, right, 2.0).select("lid", "rid", r6("dist").alias("dist"))
+    left = s.select(F.col("id").alias("lid"), "ra", "dec")
+    right = s.select(F.col("id").alias("rid"), "ra", "dec")
+    return M.cross_match(left, right, 2.0).where("lid < rid").select("lid", "rid", r6("dist").alias("dist"))
 
 
 def as_of_view(spark, sf_dir):

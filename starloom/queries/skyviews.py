@@ -41,10 +41,9 @@ def tile_counts(spark, sf_dir):
 
 
 def point_tile_join(spark, sf_dir):
-    s = sky(spark, sf_dir)
-    a = T.points_to_tiles(s.where("id % 2 = 0"), 3).select(F.col("id").alias("a"), "pix")
-    b = T.points_to_tiles(s.where("id % 2 = 1"), 3).select(F.col("id").alias("b"), "pix")
-    return a.join(b, "pix").groupBy("pix").agg(F.count("*").alias("pairs"), F.min("a").alias("least_a"), F.max("b").alias("most_b"))
+    t = T.points_to_tiles(sky(spark, sf_dir), 3)
+    a, b = t.select(F.col("id").alias("a"), "pix"), t.select(F.col("id").alias("b"), "pix")
+    return a.join(b, "pix").where("a < b").groupBy("pix").agg(F.count("*").alias("pairs"), F.min("a").alias("least_a"), F.max("b").alias("most_b"))
 
 
 def nest_round_trip(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators import catalog
 from starloom.queries import QUERIES
-from starloom.queries.shared import OBJ, SKY, wrap_sql
+from starloom.queries.shared import OBJ, SKY, sep_sql, wrap_sql
 from starloom.queries.skyviews import index_sql
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,15 @@ def test_every_view_has_tiles(spark):
 
 def test_union_reads_whole_tables(spark):
     same(spark, "catalog_union", f"WITH {OBJ}, u AS (SELECT 0 AS list, category FROM obj UNION ALL SELECT 1, 'SUPPLIER' FROM supplier) SELECT list, category, count(*) AS n FROM u GROUP BY ALL")
+
+
+def test_every_pair_of_objects_is_matched(spark):
+    same(spark, "cross_match", f"WITH {SKY}, d AS (SELECT a.id AS lid, b.id AS rid, {sep_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} AS dist FROM sky a JOIN sky b ON abs(a.dec - b.dec) <= 2 AND a.id < b.id) SELECT lid, rid, round(dist, 6) AS dist FROM d WHERE dist <= 2", "/root/testdata/sf0.01")
+
+
+def test_every_pair_in_a_tile_is_counted(spark):
+    same(spark, "point_tile_join", f"WITH {SKY}, {index_sql('ra', 'dec', '8', 'standard', 'sky', 'id')} SELECT a.pix, count(*) AS pairs, min(a.id) AS least_a, max(b.id) AS most_b FROM ix a JOIN ix b ON a.pix = b.pix AND a.id < b.id GROUP BY a.pix", "/root/testdata/sf0.01")
+
+
+def test_pairs_of_like_parity_are_matched(spark):
+    assert {(r.lid % 2, r.rid % 2) for r in QUERIES["cross_match"](spark, "/root/testdata/sf0.1").select("lid", "rid").distinct().collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
