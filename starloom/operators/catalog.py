@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.coordtext import parse
+
 #: Filter bands.
 BANDS = [("u", 367, "#6251d6", "Ultraviolet (367 nm)"), ("g", 482, "#2ca84f", "Green (482 nm)"), ("r", 622, "#c4332e", "Red (622 nm)"), ("i", 754, "#d57e26", "Near-IR (754 nm)"), ("z", 869, "#a85f21", "Z-band (869 nm)"), ("y", 971, "#8a4f1e", "Y-band (971 nm)")]
 #: Surveys that can be laid over.
@@ -42,6 +44,20 @@ def lookup(objects: DataFrame, name: str) -> DataFrame:
     return objects.where((F.lower("id") == t) | F.contains(F.lower("name"), t)).orderBy("ord").limit(1)
 
 
+def resolve(texts: DataFrame, objects: DataFrame, mode: str = "lenient") -> DataFrame:
+    """texts: text, ...; objects: ord, id, name, ra, dec. The texts with ra, dec and error: the place of the object that `lookup` finds, else what `coordtext.parse` makes of it.
+
+    Blank texts name nothing. The objects are broadcast; each distinct text is compared once.
+    """
+    t = F.lower(F.trim("text"))
+    named = objects.select("ord", F.lower("id").alias("__id"), F.lower("name").alias("__name"), F.struct("ra", "dec").alias("__place"))
+    words = texts.select("text").distinct().where(F.length(t) > 0)
+    found = words.join(F.broadcast(named), (F.col("__id") == t) | F.contains(F.col("__name"), t)).groupBy("text").agg(F.min_by("__place", "ord").alias("__place"))
+    p, place = parse(F.col("text"), mode), F.col("__place")
+    ra, dec = (F.when(place.isNotNull(), place[k]).otherwise(p[k]).alias(k) for k in ("ra", "dec"))
+    return texts.join(found, "text", "left").select(*texts.columns, ra, dec, F.when(place.isNull(), p["error"]).alias("error"))
+
+
 def in_category(objects: DataFrame, category: str) -> DataFrame:
     return objects.where(F.col("category") == category)
 

@@ -71,3 +71,15 @@ def test_every_pair_in_a_tile_is_counted(spark):
 
 def test_pairs_of_like_parity_are_matched(spark):
     assert {(r.lid % 2, r.rid % 2) for r in QUERIES["cross_match"](spark, "/root/testdata/sf0.1").select("lid", "rid").distinct().collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def test_names_come_before_coordinates(spark):
+    o = spark.createDataFrame([(2, "M42", "Orion Nebula", 83.8, -5.4), (1, "NGC7", "The 10 20 Nebula", 7.0, 8.0), (3, "X", "orion again", 1.0, 1.0)], "ord int, id string, name string, ra double, dec double")
+    t = spark.createDataFrame([(0, " m42 "), (1, "ORION"), (2, "10 20"), (3, "62.0, -37.0"), (4, "nothing"), (5, "  "), (6, None)], "k int, text string")
+    r = {x.k: (x.ra, x.dec, x.error is not None) for x in catalog.resolve(t, o).collect()}
+    assert r == {0: (83.8, -5.4, False), 1: (83.8, -5.4, False), 2: (7.0, 8.0, False), 3: (62.0, -37.0, False), 4: (None, None, True), 5: (None, None, False), 6: (None, None, False)}
+
+
+def test_named_customers_are_found(spark):
+    r = QUERIES["resolve_coords"](spark, "/root/testdata/sf0.01").where("id % 28 = 5").selectExpr("count_if(ra is not null)", "count_if(error is not null)").first()
+    assert r[0] > 0 and r[1] > 0
