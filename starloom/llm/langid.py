@@ -5,8 +5,10 @@ cut greedily into the longest phrases that occur in that sample (a symbol that n
 phrase of its own). phrases * log2(sample length) / text length estimates the cross entropy; the
 smallest wins, the first by name of equals.
 
-Symbols: letters, lower-cased; every run of other characters is one space. Texts are parsed whole,
-in segments of SEGMENT symbols that all advance at once through dense tables; a segment's end
+Symbols: letters, lower-cased; every run of other characters is one space. Up to PLAIN letters in the
+samples have a symbol each. With more letters the commonest ones have, and each other letter is a word
+of fixed length over DIGITS further symbols, so no two letters that were met are alike. Letters that
+no sample has share one symbol, which no automaton knows. Texts are parsed whole, in segments of SEGMENT symbols that all advance at once through dense tables; a segment's end
 closes a phrase.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; if no row is
@@ -14,7 +16,8 @@ labelled everything is; a table with one language gives it with score 1; rows th
 row each; an empty table gives no row; further columns are ignored.
 
 Bounds: per language SAMPLE_DOCS documents of at most SAMPLE_DOC_CHARS, chosen by a hash over all
-labelled rows, and of these SAMPLE_SYMBOLS symbols; the tables are SIGMA * 2 * SAMPLE_SYMBOLS * 4 bytes a language.
+labelled rows (longer ones are cut), and of these SAMPLE_SYMBOLS letters and spaces; the tables are SIGMA * 2 * SAMPLE_SYMBOLS * 4
+bytes a language, times the length of a letter's code where letters have words.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from .common import chunks, held_out, per_item
 
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_SYMBOLS = 48, 20_000, 20_000
 SIGMA, SEGMENT = 64, 512
+PLAIN, DIGITS = SIGMA - 2, 16
 UNDETERMINED = "und"
 _NEW = np.uint32(1 << 31)
 
@@ -38,7 +42,9 @@ _NEW = np.uint32(1 << 31)
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # code point -> symbol; 0 is no letter
+    classes: np.ndarray  # code point -> letter's number; 0 is no letter
+    codes: np.ndarray  # (letter's number, place) -> symbol
+    sizes: np.ndarray  # letter's number -> length of its code
     table: np.ndarray  # (language, state, symbol) -> next state, with _NEW set where a phrase begins
     base: np.ndarray  # first state of each language
     cost: np.ndarray  # bits a phrase
@@ -103,33 +109,60 @@ def squeeze(symbols: np.ndarray) -> np.ndarray:
     return keep
 
 
+def alphabet(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their lengths of the letters by how common they are; number 0 is the space, the last is for letters not met."""
+    n = len(counts)
+    plain = n if n <= PLAIN else PLAIN - DIGITS
+    width = 1
+    while DIGITS**width < n - plain:
+        width += 1
+    codes, sizes = np.zeros((n + 2, width), np.uint8), np.ones(n + 2, np.int64)
+    codes[1 : plain + 1, 0] = np.arange(1, plain + 1)
+    for place in range(width):
+        codes[plain + 1 : n + 1, place] = plain + 1 + np.arange(n - plain) // DIGITS ** (width - 1 - place) % DIGITS
+    sizes[plain + 1 : n + 1] = width
+    codes[n + 1, 0] = SIGMA - 1
+    return codes, sizes
+
+
+def coded(numbers: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the letters, and where each letter's begin (and the end)."""
+    if codes.shape[1] == 1:
+        return codes[numbers, 0], np.arange(len(numbers) + 1)
+    at = np.zeros(len(numbers) + 1, np.int64)
+    np.cumsum(sizes[numbers], out=at[1:])
+    return codes[numbers][np.arange(codes.shape[1]) < sizes[numbers][:, None]], at
+
+
 def train(samples: dict[str, list[str]]) -> Model:
     fold = letters()
     code = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
     texts = {lang: fold[code("\n".join(x))] for lang, x in sorted(samples.items())}
-    common = [c for c, _ in Counter(int(c) for x in texts.values() for c in x[:SAMPLE_SYMBOLS] if c).most_common(SIGMA - 2)]
-    symbol = np.full(0x110000, SIGMA - 1, np.uint8)
-    symbol[0] = 0
-    symbol[common] = np.arange(1, len(common) + 1)
-    classes = symbol[fold]
+    texts = {lang: x[squeeze(x)][:SAMPLE_SYMBOLS] if len(x) else x for lang, x in texts.items()}
+    counts = Counter(int(c) for x in texts.values() for c in x if c)
+    met = [c for c, _ in counts.most_common()]
+    codes, sizes = alphabet(counts)
+    number = np.full(0x110000, len(met) + 1, np.int32)
+    number[0] = 0
+    number[met] = np.arange(1, len(met) + 1)
+    classes = number[fold]
     tables, base, cost, languages, total = [], [], [], [], 0
     for lang, x in texts.items():
-        s = symbol[x]
-        s = s[squeeze(s)][:SAMPLE_SYMBOLS] if len(s) else s
-        if not (s > 0).any():
+        if not (x > 0).any():
             continue
+        s, _ = coded(number[x], codes, sizes)
         table = dense(automaton(s.tolist()), total)
         tables.append(table)
         languages.append(lang)
         base.append(total)
         cost.append(np.log2(len(s) + 1))
         total += len(table)
-    return Model(languages, classes, np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32), np.array(base, np.uint32), np.array(cost))
+    return Model(languages, classes, codes, sizes, np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32), np.array(base, np.uint32), np.array(cost))
 
 
 def fit(docs: DataFrame) -> Model:
     """Learns from rows with text and lang that are not held out; two aggregations, then a bounded collect."""
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_DOC_CHARS))).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"), (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row per language
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
@@ -175,7 +208,8 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     keep = squeeze(symbols)
     kept = np.zeros(len(keep) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
-    at, symbols = kept[at], symbols[keep]
+    symbols, begin = coded(symbols[keep], model.codes, model.sizes)
+    at = begin[kept[at]]
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     bits = phrases(model, symbols, at) * model.cost[:, None] / np.maximum(1, np.diff(at))
