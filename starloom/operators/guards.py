@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import resample
 from .catalog import CATALOGS
 
 BANDS = ("u", "g", "r", "i", "z", "y")
@@ -71,6 +72,10 @@ def is_color_map(c: Column) -> Column:
     return one_of(c, COLOR_MAPS)
 
 
+def is_interpolation(c: Column) -> Column:
+    return one_of(c, resample.METHODS)
+
+
 def is_tile(order: Column, pix: Column, url: Column, fmt: Column) -> Column:
     return every(present(order, pix, url), one_of(fmt, TILE_FORMATS))
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import catalog
+from starloom.operators import catalog, guards
 from starloom.queries import QUERIES
 from starloom.queries.shared import OBJ, SKY, sep_sql, wrap_sql
 from starloom.queries.skyviews import index_sql
@@ -107,3 +107,8 @@ def test_languages_of_many_letters_stay_apart():
     model = train({k: [text(v, 5000)] for k, v in scripts.items()})
     asked = [(k, text(v, 200)) for k, v in scripts.items() for _ in range(20)]
     assert predict(model, [x for _, x in asked])[0] == [k for k, _ in asked]
+
+
+def test_interpolation_guard(spark):
+    names = ("nearest", "bilinear", "bicubic", "lanczos", "Nearest", "linear", None)
+    assert spark.range(1).select(*(guards.is_interpolation(F.lit(x).cast("string")).alias(str(i)) for i, x in enumerate(names))).first()[:] == (True,) * 4 + (False,) * 3
