@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Groups up to this size are ranked whole; in larger ones only values near the wanted rank are.
 SMALL = 20_000
 #: Rank error of the approximate percentile, as a share of the group, and the margin taken for it.
@@ -42,10 +44,13 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, wanted: dict[str, t
 
 
 def positions(df: DataFrame, keys: list[str], order: str, name: str = "pos", partitions: int | None = None) -> DataFrame:
-    """The rows with their position within their group, from 0. Ranges of (group, order) are counted apart and then offset, so one large group is spread over many tasks."""
+    """The rows with their position within their group, from 0. Ranges of (group, order) are counted apart and then offset, so one large group is spread over many tasks.
+
+    The dealt rows are written once: counts and ranks must see the same ranges, and a second range exchange would draw other bounds.
+    """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part", *keys).count()
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
