@@ -26,10 +26,11 @@ STOPS: dict[str, list[tuple[float, int, int, int]]] = {
 def channel(t: Column, stops: list[tuple[float, int, int, int]], c: int) -> Column:
     """One channel (1 red, 2 green, 3 blue) at t; null and NaN count as 0."""
     t = F.when(t.isNull() | F.isnan(t), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
-    out = F.when(t <= stops[0][0], F.lit(float(stops[0][c])))
-    for low, high in zip(stops[:-1], stops[1:], strict=True):
-        out = out.when(t <= high[0], low[c] + (t - low[0]) / (high[0] - low[0]) * (high[c] - low[c]))
-    return js_round(out.otherwise(float(stops[-1][c]))).cast("int")
+    segments = list(zip(stops[:-1], stops[1:], strict=True))
+    place = reduce(lambda a, b: a + b, ((t > low[0]).cast("int") for low, _ in segments[1:]), F.lit(1))  # segment of t; shared by the channels
+    pick = lambda values: F.lit(values[0]) if len(values) == 1 else F.element_at(F.array(*map(F.lit, values)), place)
+    start, width, base, rise = (pick(x) for x in zip(*((float(a[0]), float(b[0] - a[0]), float(a[c]), float(b[c] - a[c])) for a, b in segments), strict=True))
+    return js_round(base + (t - start) / width * rise).cast("int")
 
 
 def color(t: Column, name: str) -> Column:

@@ -76,7 +76,8 @@ def zscale_fit(sample: np.ndarray, contrast: float) -> tuple[float, float]:
     if on.sum() < n / 2:
         return float(sample[0]), float(sample[-1])
     tilt = slope / contrast
-    return float(max(sample[0], sample[mid] + tilt * (1 - mid))), float(min(sample[-1], sample[mid] + tilt * (n - mid)))
+    z1, z2 = sample[mid] + tilt * (1 - mid), sample[mid] + tilt * (n - mid)
+    return float(max(sample[0], min(z1, z2))), float(min(sample[-1], max(z1, z2)))
 
 
 def zscale_range(rows: DataFrame, contrast: float = ZSCALE_CONTRAST) -> DataFrame:
@@ -98,8 +99,9 @@ def zscale_range(rows: DataFrame, contrast: float = ZSCALE_CONTRAST) -> DataFram
 
 
 def equalized(rows: DataFrame) -> DataFrame:
-    """The rows with `scaled` by the cumulative histogram between the 1 % and 99 % values."""
-    r = nearest_rank(rows, ["image"], "v", {"p1": (0.01, "items"), "p99": (0.99, "items")}).select("image", "n", "p1", "p99")
+    """The rows with low, high (the display range) and `scaled` by the cumulative histogram between the 1 % and 99 % values; one pass for all four ranks."""
+    r = nearest_rank(rows, ["image"], "v", {"p1": (0.01, "items"), "p99": (0.99, "items"), "g1": (0.01, "gaps"), "g99": (0.99, "gaps")})
+    r = r.select("image", "p1", "p99", F.when(F.col("n") > CLIP_ABOVE, F.col("g1")).otherwise(F.col("least")).alias("low"), F.when(F.col("n") > CLIP_ABOVE, F.col("g99")).otherwise(F.col("most")).alias("high"))
     span = F.col("p99") - F.col("p1")
     index = F.least(F.lit(EQUALIZE_BINS - 1), F.floor((F.col("v") - F.col("p1")) / span * (EQUALIZE_BINS - 1)))
     binned = rows.join(r, "image").withColumn("bin", F.when((span > 0) & F.col("v").between(F.col("p1"), F.col("p99")), index))
@@ -108,7 +110,7 @@ def equalized(rows: DataFrame) -> DataFrame:
     cdf = counts.select("image", "bin", (F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(Window.partitionBy("image"))).alias("cdf"))
     joined = binned.join(cdf, ["image", "bin"], "left")
     scaled = F.when(span <= 0, 0.5).when(F.col("v") <= F.col("p1"), 0.0).when(F.col("v") >= F.col("p99"), 1.0).otherwise(F.col("cdf"))
-    return joined.withColumn("scaled", scaled).select(*rows.columns, "scaled")
+    return joined.withColumn("scaled", scaled).select(*rows.columns, "low", "high", "scaled")
 
 
 def ranges(rows: DataFrame, p: Scaling) -> DataFrame:
@@ -123,6 +125,13 @@ def ranges(rows: DataFrame, p: Scaling) -> DataFrame:
     return r.select("image", low.alias("low"), high.alias("high"))
 
 
+def midtones(placed: DataFrame) -> DataFrame:
+    """(image, midtone): the median of x (between the two middle values of an even number), kept off the ends; 0.5 for an empty range."""
+    r = nearest_rank(placed, ["image"], "x", {"a": (0.5, "gaps"), "b": (0.5, "items")}).select("image", ((F.col("a") + F.col("b")) / 2).alias("median"))
+    wide = placed.groupBy("image").agg(F.max(F.col("high") > F.col("low")).alias("wide"))
+    return r.join(wide, "image").select("image", F.when(F.col("wide"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("median")))).otherwise(0.5).alias("midtone"))
+
+
 def apply_scaling(pixels: DataFrame, p: Scaling, image: str = "image", index: str = "idx", value: str = "value") -> DataFrame:
     """image, idx, v (clean value), low, high, scaled in [0, 1], is_underflow, is_overflow: one row per pixel.
 
@@ -131,13 +140,12 @@ def apply_scaling(pixels: DataFrame, p: Scaling, image: str = "image", index: st
     rows = clean(pixels, image, index, value)
     if p.method == "histogram":
         flat = F.lit(False)
-        return equalized(rows).join(display_range(rows), "image").select("image", "idx", "v", "low", "high", "scaled", flat.alias("is_underflow"), flat.alias("is_overflow"))
+        return equalized(rows).select("image", "idx", "v", "low", "high", "scaled", flat.alias("is_underflow"), flat.alias("is_overflow"))
     joined = rows.join(ranges(rows, p), "image").withColumn("x", S.normalize(F.col("v"), F.col("low"), F.col("high")))
     x = F.col("x")
     if p.method == "mtf":
         if p.midtone is None:
-            middle = joined.groupBy("image").agg(F.when(F.max(F.col("high") > F.col("low")), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.percentile("x", 0.5)))).otherwise(0.5).alias("midtone"))
-            joined = joined.join(middle, "image")
+            joined = joined.join(midtones(joined), "image")
             y = S.mtf(x, F.col("midtone"))
         else:
             y = S.mtf(x, p.midtone)
@@ -146,6 +154,12 @@ def apply_scaling(pixels: DataFrame, p: Scaling, image: str = "image", index: st
     return joined.select("image", "idx", "v", "low", "high", y.alias("scaled"), (F.col("v") < F.col("low")).alias("is_underflow"), (F.col("v") > F.col("high")).alias("is_overflow"))
 
 
+def flag_counts(scaled: DataFrame) -> DataFrame:
+    """Per image how many pixels lie outside the range on either side, the first below and the last above."""
+    under, over = F.col("is_underflow"), F.col("is_overflow")
+    return scaled.groupBy("image").agg(F.count_if(under).alias("n_under"), F.count_if(over).alias("n_over"), F.min(F.when(under, F.col("idx"))).alias("first_under"), F.max(F.when(over, F.col("idx"))).alias("last_over"))
+
+
 def flag_lists(scaled: DataFrame) -> DataFrame:
     """Per image the pixel indices outside the range, ascending (as a result for display, small by nature)."""
     return scaled.groupBy("image").agg(F.array_sort(F.collect_list(F.when(F.col("is_underflow"), F.col("idx")))).alias("underflow"), F.array_sort(F.collect_list(F.when(F.col("is_overflow"), F.col("idx")))).alias("overflow"))

@@ -11,7 +11,8 @@ from ..functions import stretch as S
 from ..operators import histogram as H
 from ..operators import hooks, resample
 from ..operators.epochs import median_stack
-from ..operators.scaling import Scaling, apply_scaling, clean, display_range, flag_lists, zscale_range
+from ..operators.scaling import Scaling, apply_scaling, clean, display_range, zscale_range
+from ..operators.scaling import flag_counts as flag_counts_of
 from .shared import NX, PX, RG, channel_sql, packed, pixels, table
 
 r6 = lambda c: F.round(c, 6)
@@ -40,8 +41,7 @@ def scaling_overrides(spark, sf_dir):
 
 
 def flag_counts(spark, sf_dir):
-    f = flag_lists(apply_scaling(pixels(spark, sf_dir), Scaling("percentile", low_percentile=10, high_percentile=90)))
-    return f.select("image", F.size("underflow").cast("long").alias("n_under"), F.size("overflow").cast("long").alias("n_over"), F.element_at("underflow", 1).alias("first_under"), F.element_at("overflow", -1).alias("last_over"))
+    return flag_counts_of(apply_scaling(pixels(spark, sf_dir), Scaling("percentile", low_percentile=10, high_percentile=90)))
 
 
 def scaling_percentile(spark, sf_dir):
@@ -72,8 +72,8 @@ def scaling_zscale(spark, sf_dir):
     return s.groupBy("image").agg(F.round(F.avg("scaled"), 5).alias("mean_scaled"), F.count_if("is_overflow").alias("n_over"))
 
 
-def zscale_sql() -> str:
-    ctes = [PX, "p2 AS (SELECT image, idx, v FROM px UNION ALL SELECT 'whole', idx, v FROM px)", "pos AS (SELECT image, v, row_number() OVER (PARTITION BY image ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY image) AS n FROM p2 WHERE v > 0)"]
+def zscale_ctes(whole: bool) -> str:
+    ctes = [PX, f"p2 AS (SELECT image, idx, v FROM px{" UNION ALL SELECT 'whole', idx, v FROM px" if whole else ""})", "pos AS (SELECT image, v, row_number() OVER (PARTITION BY image ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY image) AS n FROM p2 WHERE v > 0)"]
     ctes.append("big AS (SELECT image, n, unnest(range(10000)) AS k FROM (SELECT DISTINCT image, n FROM pos WHERE n > 10000))")
     ctes.append("smp AS (SELECT image, v FROM pos WHERE n <= 10000 UNION ALL SELECT pos.image, pos.v FROM big JOIN pos ON pos.image = big.image AND pos.r = (big.k * big.n) // 10000)")
     ctes.append("rk AS (SELECT image, v, row_number() OVER (PARTITION BY image ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY image) AS n FROM smp)")
@@ -84,7 +84,9 @@ def zscale_sql() -> str:
         ctes.append(f"h{k} AS (SELECT image, sqrt(sum(e * e) FILTER (WHERE m) / (any_value(c) - 1)) AS sg FROM g{k} GROUP BY image)")
         ctes.append(f"a{k + 1} AS (SELECT g.image, v, i, n, x, CASE WHEN sg < 1e-30 THEN m ELSE m AND NOT abs(e) > 2.5e0 * sg END AS m FROM g{k} g JOIN h{k} USING (image))")
     ctes.append("z AS (SELECT image, min(v) AS lo, max(v) AS hi, max(n) AS n, count(*) FILTER (WHERE m) AS c, max(v) FILTER (WHERE i = n // 2) AS med FROM a5 GROUP BY image)")
-    return "WITH " + ", ".join(ctes) + " SELECT image, round(CASE WHEN c < n / 2 THEN lo ELSE greatest(lo, med + s / 0.25e0 * (1 - n // 2)) END, 3) AS low, round(CASE WHEN c < n / 2 THEN hi ELSE least(hi, med + s / 0.25e0 * (n - n // 2)) END, 3) AS high FROM z JOIN (SELECT image, s FROM f4) USING (image)"
+    z1, z2 = "med + s / 0.25e0 * (1 - n // 2)", "med + s / 0.25e0 * (n - n // 2)"
+    ctes.append(f"zr AS (SELECT image, CASE WHEN n < 3 OR c < n / 2 THEN lo ELSE greatest(lo, least({z1}, {z2})) END AS low, CASE WHEN n < 3 OR c < n / 2 THEN hi ELSE least(hi, greatest({z1}, {z2})) END AS high FROM z JOIN (SELECT image, s FROM f4) USING (image))")
+    return "WITH " + ", ".join(ctes)
 
 
 def histogram_fixed(spark, sf_dir):
@@ -102,11 +104,8 @@ def histogram_handles(spark, sf_dir):
 def color_bars(spark, sf_dir):
     t = (F.col("i") / 255.0).alias("t")
     bar = spark.range(256).select(F.col("id").cast("int").alias("i")).withColumn("t", t)
-    parts = [bar.select(F.lit(name).alias("map"), "i", C.color(F.col("t"), name).alias("c")) for name in C.STOPS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("map", "i", "c.r", "c.g", "c.b", "c.a")
+    every = F.array(*(F.struct(F.lit(name).alias("map"), C.color(F.col("t"), name).alias("c")) for name in C.STOPS))
+    return bar.select("i", F.explode(every).alias("m")).select("m.map", "i", "m.c.r", "m.c.g", "m.c.b", "m.c.a")
 
 
 def color_bars_sql() -> str:
@@ -187,7 +186,8 @@ SQL = {
     "flag_counts": f"WITH {PX}, {PCT} SELECT image, count(*) FILTER (WHERE v < low) AS n_under, count(*) FILTER (WHERE v > high) AS n_over, min(idx) FILTER (WHERE v < low) AS first_under, max(idx) FILTER (WHERE v > high) AS last_over FROM px JOIN pr USING (image) GROUP BY image",
     "scaling_equalized": f"WITH {PX}, e AS (SELECT image, list_sort(list(v))[CAST(floor(count(*) * 0.01e0) AS BIGINT) + 1] AS a, list_sort(list(v))[CAST(floor(count(*) * 0.99e0) AS BIGINT) + 1] AS b FROM px GROUP BY image), q AS (SELECT px.image, idx, v, a, b, CASE WHEN b > a AND v >= a AND v <= b THEN least(65535, floor((v - a) / (b - a) * 65535)) END AS bin FROM px JOIN e USING (image)), c AS (SELECT image, bin, count(*) AS n FROM q WHERE bin IS NOT NULL GROUP BY image, bin), d AS (SELECT image, bin, sum(n) OVER (PARTITION BY image ORDER BY bin ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY image) AS cdf FROM c) SELECT q.image, idx, round(CASE WHEN b <= a THEN 0.5e0 WHEN v <= a THEN 0e0 WHEN v >= b THEN 1e0 ELSE cdf END, 6) AS scaled FROM q LEFT JOIN d ON q.image = d.image AND q.bin = d.bin",
     "scaling_mtf_auto": f"WITH {PX}, {RG}, {NX}, md AS (SELECT image, greatest(0.01e0, least(0.99e0, median(x))) AS m FROM nx GROUP BY image) SELECT nx.image, idx, round({MTF('x', 'm')}, 6) AS scaled FROM nx JOIN md USING (image)",
-    "zscale_range": zscale_sql(),
+    "zscale_range": f"{zscale_ctes(True)} SELECT image, round(low, 3) AS low, round(high, 3) AS high FROM zr",
+    "scaling_zscale": f"{zscale_ctes(False)} SELECT image, round(avg(CASE WHEN high <= low THEN 0e0 ELSE greatest(0e0, least(1e0, (v - low) / (high - low))) END), 5) AS mean_scaled, count(*) FILTER (WHERE v > high) AS n_over FROM px JOIN zr USING (image) GROUP BY image",
     "histogram_fixed": f"WITH {PX}, im AS (SELECT DISTINCT image FROM px), s AS (SELECT image, CAST(b AS INTEGER) AS bin FROM im, range(16) t(b)), c AS (SELECT image, CAST(least(floor((v - 1000) / 25000e0), 15) AS INTEGER) AS bin, count(*) AS n FROM px WHERE v BETWEEN 1000 AND 401000 GROUP BY 1, 2), j AS (SELECT s.image, s.bin, coalesce(n, 0) AS n FROM s LEFT JOIN c ON s.image = c.image AND s.bin = c.bin) SELECT image, bin, 1000 + bin * 25000e0 AS x0, 1000 + (bin + 1) * 25000e0 AS x1, n, round(n / greatest(1, max(n) OVER (PARTITION BY image)) * 76e0, 6) AS height, 1000 + bin * 25000e0 >= 26000 AND 1000 + (bin + 1) * 25000e0 <= 201000 AS in_range FROM j",
     "histogram_handles": "SELECT least(l_discount, l_tax) AS low, greatest(l_discount, l_tax) AS high, round(least(l_discount, l_tax) / 0.1e0 * 100, 6) AS low_percent, round(greatest(l_discount, l_tax) / 0.1e0 * 100, 6) AS high_percent, count(*) AS n FROM lineitem GROUP BY ALL",
     "color_bars": color_bars_sql(),
