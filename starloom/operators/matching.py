@@ -37,10 +37,22 @@ def cross_match(left: DataFrame, right: DataFrame, radius_deg: float) -> DataFra
     return a.join(b, ["z", "c"]).withColumn("dist", d).where(F.col("dist") <= radius_deg).select("lid", "rid", "dist")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """left: key, time, ...; right: key, time, value. left with the latest value not after its time: one union, one window."""
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, slice_width: float | None = None) -> DataFrame:
+    """left: key, time, ...; right: key, time, value. left with the latest value not after its time: one union, one window.
+
+    slice_width: in units of time; a key is then split into slices, so that one with very many rows is
+    no single task. The last value of each slice (one row a slice) is carried on to the later ones.
+    """
     columns = [c for c in left.columns if c not in (key, time)]
     a = left.select(key, time, *columns, F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
     b = right.select(key, time, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in columns), F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    order = Window.partitionBy(key).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(order)).where("__side = 1").drop("__v", "__side")
+    slot = F.floor(F.col(time) / slice_width) if slice_width else F.lit(0)
+    both = a.unionByName(b).withColumn("__slice", slot)
+    order = Window.partitionBy(key, "__slice").orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn(value, F.last("__v", ignorenulls=True).over(order)).where("__side = 1").drop("__v", "__side")
+    if not slice_width:
+        return own.drop("__slice")
+    ends = both.groupBy(key, "__slice").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(time))).alias("__last"))
+    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    carried = ends.select(key, "__slice", F.last("__last", ignorenulls=True).over(earlier).alias("__carry"))
+    return own.join(carried, [key, "__slice"]).withColumn(value, F.coalesce(value, "__carry")).drop("__slice", "__carry")

@@ -11,6 +11,7 @@ from ..operators import epochs as E
 from ..operators import guards as V
 from ..operators import matching as M
 from ..plans import adql
+from ..session import shared_dir
 from ..streaming.replay import windowed
 from .shared import EP, OBJ, SKY, epochs, objects, sep_sql, sky, table
 
@@ -107,10 +108,7 @@ ADQL_SQL = {
 
 
 def adql_async(spark, sf_dir):
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    job = adql.query_async(spark, "SELECT kind, count(*) AS n FROM dp1.Object GROUP BY kind", f"{base}/adql_job", views(spark, sf_dir))
+    job = adql.query_async(spark, "SELECT kind, count(*) AS n FROM dp1.Object GROUP BY kind", shared_dir(spark), views(spark, sf_dir))
     return job.result()
 
 
@@ -125,7 +123,7 @@ def as_of_view(spark, sf_dir):
     e = epochs(spark, sf_dir)
     left = e.where("band = 'purchase'").select("object_id", "mjd", "event_id")
     right = e.where("band = 'view'").groupBy("object_id", "mjd").agg(F.max("magnitude").alias("seen"))
-    return M.as_of(left, right, "object_id", "mjd", "seen").select("event_id", "object_id", "seen")
+    return M.as_of(left, right, "object_id", "mjd", "seen", 7.0).select("event_id", "object_id", "seen")
 
 
 ORDER = ["mjd", "event_id"]
@@ -275,8 +273,8 @@ SQL = {
     "object_search": f"WITH {OBJ} SELECT ord, id, name, category FROM obj WHERE contains(lower(id), '1') OR contains(lower(name), '1') OR contains(lower(coalesce(description, '')), '1')",
     "object_lookup": f"WITH {OBJ} SELECT ord, id, name FROM obj WHERE lower(id) = 'p17' OR contains(lower(name), 'p17') ORDER BY ord LIMIT 1",
     "first_category": f"WITH {OBJ} SELECT ord, id, category FROM obj WHERE category = (SELECT min(category) FROM obj) AND (contains(lower(id), 'p1') OR contains(lower(name), 'p1') OR contains(lower(coalesce(description, '')), 'p1'))",
-    "category_groups": f"WITH {OBJ} SELECT category, count(*) AS n, min(ord) AS first_ord, arg_min(id, ord) AS first_id, list_sort(list(ord))[least(1000, count(*))] AS last_ord FROM obj GROUP BY category",
-    "catalog_union": f"WITH {OBJ}, u AS (SELECT 0 AS list, category FROM obj WHERE ord % 3 = 0 UNION ALL SELECT 1, category FROM obj WHERE ord % 2 = 0) SELECT list, category, count(*) AS n FROM u GROUP BY ALL",
+    "category_groups": f"WITH {OBJ} SELECT category, count(*) AS n, min(ord) AS first_ord, arg_min(id, ord) AS first_id, max(ord) AS last_ord FROM obj GROUP BY category",
+    "catalog_union": f"WITH {OBJ}, u AS (SELECT 0 AS list, category FROM obj UNION ALL SELECT 1, 'SUPPLIER' FROM supplier) SELECT list, category, count(*) AS n FROM u GROUP BY ALL",
     "band_dimension": f"WITH d(band, wavelength, color) AS (VALUES {', '.join(f'({b[0]!r}, {b[1]}, {b[2]!r})' for b in K.BANDS)}), s AS (SELECT c_custkey AS id, substr('ugrizyx', CAST(c_custkey % 7 + 1 AS BIGINT), 1) AS band FROM customer) SELECT id, s.band, wavelength, color FROM s LEFT JOIN d ON s.band = d.band",
     "overlay_sets": "SELECT * FROM (VALUES ('added', 'gaia-dr3'), ('added', '2mass-j'), ('added', 'wise-color'), ('removed', '2mass-j'), ('removed', 'wise-color'), ('toggled', 'wise-color'), ('toggled', 'dss2-color')) t(step, survey)",
     "semi_anti": "WITH r AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000) SELECT 'semi' AS kind, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_custkey IN (SELECT k FROM r) UNION ALL SELECT 'anti', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT k FROM r)",
@@ -284,7 +282,7 @@ SQL = {
     "cone_search": f"WITH {SKY}, d AS (SELECT id, {sep_sql('200e0', '-30e0', 'ra', 'dec')} AS dist FROM sky) SELECT id, round(dist, 6) AS dist FROM d WHERE dist <= 20 ORDER BY d.dist, id LIMIT 50",
     **ADQL_SQL,
     "adql_async": f"WITH {SKY} SELECT kind, count(*) AS n FROM sky GROUP BY kind",
-    "cross_match": f"WITH {SKY}, d AS (SELECT a.id AS lid, b.id AS rid, {sep_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} AS dist FROM sky a JOIN sky b ON abs(a.dec - b.dec) <= 2 AND a.id % 2 = 0 AND b.id % 2 = 1) SELECT lid, rid, round(dist, 6) AS dist FROM d WHERE dist <= 2",
+    "cross_match": f"WITH {SKY}, d AS (SELECT a.id AS lid, b.id AS rid, {sep_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} AS dist FROM sky a JOIN sky b ON abs(a.dec - b.dec) <= 2 AND a.id < b.id) SELECT lid, rid, round(dist, 6) AS dist FROM d WHERE dist <= 2",
     "as_of": f"WITH {EP}, l AS (SELECT * FROM ep WHERE band = 'purchase'), r AS (SELECT object_id, mjd, max(magnitude) AS seen FROM ep WHERE band = 'view' GROUP BY ALL) SELECT event_id, l.object_id, seen FROM l ASOF LEFT JOIN r ON l.object_id = r.object_id AND l.mjd >= r.mjd",
     "epoch_neighbours": f"WITH {EP} SELECT event_id, coalesce(lag(event_id) OVER w, event_id) AS prev_item, coalesce(lead(event_id) OVER w, event_id) AS after, coalesce(lead(event_id) OVER w, first(event_id) OVER w) AS blink_to FROM ep WINDOW w AS (PARTITION BY object_id ORDER BY mjd, event_id)",
     "epoch_counters": f"WITH {EP}, c AS (SELECT event_id, row_number() OVER (PARTITION BY object_id ORDER BY mjd, event_id) AS place, count(*) OVER (PARTITION BY object_id) AS total FROM ep) SELECT event_id, CAST(place AS INTEGER) AS place, total, place || ' / ' || total AS label, place <= 5 AS is_shown, greatest(total - 5, 0) AS more FROM c",

@@ -41,9 +41,10 @@ def tile_counts(spark, sf_dir):
 
 
 def point_tile_join(spark, sf_dir):
+    """Pairs of objects in one tile: each side is aggregated to a row a tile before the join, so none of the pairs is made."""
     t = T.points_to_tiles(sky(spark, sf_dir), 3)
-    a, b = t.select(F.col("id").alias("a"), "pix"), t.select(F.col("id").alias("b"), "pix")
-    return a.join(b, "pix").where("a < b").groupBy("pix").agg(F.count("*").alias("pairs"), F.min("a").alias("least_a"), F.max("b").alias("most_b"))
+    a, b = t.groupBy("pix").agg(F.count("*").alias("n"), F.min("id").alias("least_a")), t.groupBy("pix").agg(F.max("id").alias("most_b"))
+    return a.join(b, "pix").where("n > 1").select("pix", F.expr("n * (n - 1) div 2").alias("pairs"), "least_a", "most_b")
 
 
 def nest_round_trip(spark, sf_dir):
@@ -127,7 +128,7 @@ QUERIES = {
 }
 
 SEEN = (
-    f"{SKY}, vw AS (SELECT id AS view_id, ra, dec, CAST(id % 5 + 1 AS DOUBLE) AS fov, CAST(id % 3 + 3 AS INTEGER) AS ord, 180e0 / pow(2e0, id % 3 + 3) AS ang FROM sky WHERE id <= 60), st AS (SELECT *, CAST(ceil((fov / 2 + 2 * ang) / ang) AS BIGINT) AS rs, CAST(least(pow(2e0, ord), ceil((fov / 2 + 2 * ang) / cos(radians(dec)) / ang)) AS BIGINT) AS cs FROM vw), "
+    f"{SKY}, vw AS (SELECT id AS view_id, ra, dec, CAST(id % 5 + 1 AS DOUBLE) AS fov, CAST(id % 3 + 3 AS INTEGER) AS ord, 180e0 / pow(2e0, id % 3 + 3) AS ang FROM sky), st AS (SELECT *, CAST(ceil((fov / 2 + 2 * ang) / ang) AS BIGINT) AS rs, CAST(least(pow(2e0, ord), ceil((fov / 2 + 2 * ang) / cos(radians(dec)) / ang)) AS BIGINT) AS cs FROM vw), "
     f"gr AS (SELECT view_id, ord, ra, ang, cs, dec + unnest(range(-rs, rs + 1)) * ang AS td FROM st), g2 AS (SELECT view_id, ord, round({wrap_sql('ra + j * ang')}, 9) AS tr, round(td, 9) AS td FROM (SELECT *, unnest(range(-cs, cs + 1)) AS j FROM gr WHERE td BETWEEN -90 AND 90)), {index_sql('tr', 'td', 'pow(2, ord)', 'reference', 'g2', 'view_id, ord')}, vt AS (SELECT DISTINCT view_id, ord, pix FROM ix)"
 )
 C = "(sin(radians(20e0)) * sin(radians(dec)) + cos(radians(20e0)) * cos(radians(dec)) * cos(radians(ra - 120)))"
@@ -158,12 +159,12 @@ SPACE = "CASE WHEN fov > 40 THEN 10 WHEN fov > 20 THEN 5 WHEN fov > 10 THEN 2 WH
 SQL = {
     **{f"tile_index_{m}": f"WITH {SKY}, {index_sql('ra', 'dec', str(N), m, 'sky', 'id')} SELECT id, pix FROM ix" for m in ("reference", "standard")},
     "tile_counts": f"WITH {SKY}, {index_sql('ra', 'dec', '4', 'standard', 'sky', 'id, mag')} SELECT pix, count(*) AS n, round(avg(mag), 6) AS mean_mag FROM ix GROUP BY pix",
-    "point_tile_join": f"WITH {SKY}, {index_sql('ra', 'dec', '8', 'standard', 'sky', 'id')} SELECT a.pix, count(*) AS pairs, min(a.id) AS least_a, max(b.id) AS most_b FROM ix a JOIN ix b ON a.pix = b.pix AND a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.pix",
+    "point_tile_join": f"WITH {SKY}, {index_sql('ra', 'dec', '8', 'standard', 'sky', 'id')} SELECT a.pix, count(*) AS pairs, min(a.id) AS least_a, max(b.id) AS most_b FROM ix a JOIN ix b ON a.pix = b.pix AND a.id < b.id GROUP BY a.pix",
     "nest_round_trip": "WITH p AS (SELECT range AS pix FROM range(3072)), q AS (SELECT pix, pix // 256 AS face, pix % 256 AS l FROM p) SELECT pix, face, (l & 1) | ((l >> 1) & 2) | ((l >> 2) & 4) | ((l >> 3) & 8) AS x, ((l >> 1) & 1) | ((l >> 2) & 2) | ((l >> 3) & 4) | ((l >> 4) & 8) AS y, pix AS back FROM q",
     "tile_urls": "SELECT c_custkey AS id, 'https://host/set/Norder6/Dir' || ((c_custkey * 37) // 10000 * 10000) || '/Npix' || (c_custkey * 37) || CASE WHEN c_custkey % 2 = 0 THEN '.png' ELSE '.jpg' END AS url, '/root/Norder3/Dir' || (c_custkey // 10000 * 10000) || '/Npix' || c_custkey || '.fits' AS local FROM customer",
     "visible_tiles": f"WITH {SEEN} SELECT view_id, ord, pix FROM vt",
     "cache_misses": f"WITH {SEEN} SELECT DISTINCT ord, pix FROM vt WHERE NOT EXISTS (SELECT 1 FROM vt c WHERE c.ord = vt.ord AND c.pix = vt.pix AND c.view_id % 2 = 0)",
-    "overlay_tiles": f"WITH {SEEN}, t AS (SELECT DISTINCT ord, pix FROM vt WHERE view_id <= 3), s(survey) AS (VALUES ('gaia-dr3'), ('dss2-color'), ('2mass-j'), ('wise-color'), ('panstarrs-dr1')) SELECT survey, ord, count(*) AS n, CAST(sum(pix) AS BIGINT) AS sum_pix FROM t, s GROUP BY survey, ord",
+    "overlay_tiles": f"WITH {SEEN}, t AS (SELECT DISTINCT ord, pix FROM vt), s(survey) AS (VALUES ('gaia-dr3'), ('dss2-color'), ('2mass-j'), ('wise-color'), ('panstarrs-dr1')) SELECT survey, ord, count(*) AS n, CAST(sum(pix) AS BIGINT) AS sum_pix FROM t, s GROUP BY survey, ord",
     "tile_centers": centers_sql(3),
     "sky_to_canvas": f"WITH {SKY} SELECT id, round({px('ra', C)}, 6) AS x, round({py('ra', C)}, 6) AS y FROM sky WHERE {C} > 0.01e0",
     "canvas_to_sky": f"WITH s AS (SELECT c_custkey AS id, (c_custkey % 800 - 5 - 400) / {SC} AS u, -((c_custkey * 7) % 600 + 3 - 300) / {SC} AS v FROM customer), r AS (SELECT *, sqrt(u * u + v * v) AS rho FROM s), c AS (SELECT *, cos(atan(rho)) AS cc, sin(atan(rho)) AS sc FROM r) SELECT id, round({wrap_sql('120 + degrees(atan2(u * sc, rho * cc * cos(radians(20e0)) - v * sc * sin(radians(20e0))))')}, 6) AS ra, round(degrees(asin(cc * sin(radians(20e0)) + v * sc * cos(radians(20e0)) / CASE WHEN rho = 0 THEN 1 ELSE rho END)), 6) AS dec FROM c",
