@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .stretch import js_round
 
-#: What counts as a number, and the two sexagesimal patterns of each mode.
+#: What counts as a number, the two sexagesimal patterns of each mode, and the messages.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 LENIENT_RA, LENIENT_DEC = r"(?i)(\d+)h\s*(\d+)?m?\s*([\d.]+)?s?", r"(?i)([+-]?\d+)d?\s*(\d+)?m?\s*([\d.]+)?s?"
 STRICT_RA, STRICT_DEC = r"(?i)(\d+)h\s*(?:(\d+)m)?\s*(?:(\d+(?:\.\d+)?)s)?", r"(?i)([+-]?\d+)d\s*(?:(\d+)m)?\s*(?:(\d+(?:\.\d+)?)s)?"
@@ -16,6 +16,14 @@ LENIENT_ERROR = "Enter coords or object name (e.g. M42)"
 STRICT_ERROR = "Enter RA,Dec (e.g. 62.0,-37.0) or sexagesimal (e.g. 4h8m0s -37d0m0s)"
 
 
+#: What counts as white space at the ends of a text.
+BLANK = r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def number(text: Column) -> Column:
     """A decimal number, else null; the guard keeps out suffixes that a cast would take."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
@@ -30,7 +38,7 @@ def parse(text: Column, mode: str = "lenient") -> dict[str, Column]:
     """ra, dec and error of a coordinate text: a decimal pair first, then sexagesimal. Blank text gives three nulls."""
     if mode not in ("lenient", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
-    q = F.trim(text)
+    q = trimmed(text)
     parts = F.filter(F.split(q, r"[,\s]+"), lambda x: F.length(x) > 0)
     a, b = number(F.try_element_at(parts, F.lit(1))), number(F.try_element_at(parts, F.lit(2)))
     pair = (F.size(parts) == 2) & a.isNotNull() & b.isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.coordtext import parse
+from ..functions.coordtext import parse, trimmed
 
 #: Filter bands.
 BANDS = [("u", 367, "#6251d6", "Ultraviolet (367 nm)"), ("g", 482, "#2ca84f", "Green (482 nm)"), ("r", 622, "#c4332e", "Red (622 nm)"), ("i", 754, "#d57e26", "Near-IR (754 nm)"), ("z", 869, "#a85f21", "Z-band (869 nm)"), ("y", 971, "#8a4f1e", "Y-band (971 nm)")]
@@ -49,7 +49,7 @@ def resolve(texts: DataFrame, objects: DataFrame, mode: str = "lenient") -> Data
 
     Blank texts name nothing. The objects are broadcast; each distinct text is compared once.
     """
-    t = F.lower(F.trim("text"))
+    t = F.lower(trimmed(F.col("text")))
     named = objects.select("ord", F.lower("id").alias("__id"), F.lower("name").alias("__name"), F.struct("ra", "dec").alias("__place"))
     words = texts.select("text").distinct().where(F.length(t) > 0)
     found = words.join(F.broadcast(named), (F.col("__id") == t) | F.contains(F.col("__name"), t)).groupBy("text").agg(F.min_by("__place", "ord").alias("__place"))
@@ -90,5 +90,12 @@ def toggle(active: DataFrame, clicked: DataFrame) -> DataFrame:
     return active.join(clicked, "survey", "left_anti").unionByName(clicked.join(active, "survey", "left_anti").select(active.columns))
 
 
+def toggle_bands(views: DataFrame, clicks: DataFrame) -> DataFrame:
+    """views: view, band (null: none); clicks: view, clicked. The views with the band that each click leaves: none if it was the active one, else the clicked one."""
+    clicked = views.join(clicks, "view", "left")
+    band = F.when(F.col("clicked").isNull(), F.col("band")).when(~F.col("clicked").eqNullSafe(F.col("band")), F.col("clicked"))
+    return clicked.select("view", band.alias("band"))
+
+
 def toggle_band(current: str | None, clicked: str) -> str | None:
     return None if current == clicked else clicked

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import resample
 from .catalog import CATALOGS
 
+#: Names that the record types allow.
 BANDS = ("u", "g", "r", "i", "z", "y")
 TILE_FORMATS = ("png", "jpg", "fits")
 COLOR_MAPS = ("grayscale", "viridis", "plasma", "inferno", "hot", "cool", "red", "green", "blue")

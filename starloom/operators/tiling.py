@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.tileindex import tile_index
 
-MOST_CENTRE_ORDER = 6
-
 
 def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
     """views: view_id, ra, dec, fov, ord. (view_id, ord, pix), distinct; the right ascension steps are bounded at the poles."""
@@ -30,13 +28,15 @@ def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
 def tile_centers(spark: SparkSession, order: int, mode: str = "reference") -> DataFrame:
     """(ord, pix, ra, dec) of all reachable tiles of an order, by one pass over a grid of quarter tiles.
 
-    Of the grid's places in a tile the one nearest to the equator and to longitude 0 counts.
+    Of the grid's places in a tile the one nearest to the equator and to longitude 0 counts. Rows of
+    declination are dealt out, each unfolds into its places where it is, and tiles are aggregated
+    before they are shuffled; order 13 has 805 million tiles.
     """
-    if not 0 <= order <= MOST_CENTRE_ORDER:
-        raise ValueError(f"orders up to {MOST_CENTRE_ORDER} have a centre table")
+    if not 0 <= order <= G.MAX_ORDER:
+        raise ValueError(f"orders go from 0 to {G.MAX_ORDER}")
     side = 1 << order
     step = 180.0 / side / 4
-    rows = spark.range(0, int(180 / step) + 1).select((F.col("id") * step - 90).alias("dec"))
+    rows = spark.range(0, int(180 / step) + 1, 1, max(1, side // 4)).select((F.col("id") * step - 90).alias("dec"))
     cos = F.cos(F.radians("dec"))
     stride = step / F.least(F.lit(1.0), F.abs(cos) + 0.1)
     grid = rows.withColumn("stride", stride).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(360.0) / F.col("stride")).cast("int") - 1))).withColumn("ra", F.col("k") * F.col("stride")).where("ra < 360")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.coordtext import trimmed
+
 #: What absent properties count as.
 DEFAULTS = {"title": "", "hips_order": "3", "tile_format": "png", "frame": "equatorial", "tile_width": "512"}
 
 
 def properties(text: Column) -> Column:
     """map of the key = value lines; comments and lines without = are skipped, of equal keys the last counts."""
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: (F.length(x) > 0) & ~x.startswith("#") & F.contains(x, F.lit("=")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.lit(1 << 30))).alias("value")))
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (F.length(x) > 0) & ~x.startswith("#") & F.contains(x, F.lit("=")))
+    pairs = F.transform(lines, lambda x: F.struct(trimmed(F.substring_index(x, "=", 1)).alias("key"), trimmed(F.substring(x, F.instr(x, "=") + 1, F.lit(1 << 30))).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 
@@ -38,6 +40,16 @@ def read_tiles(spark: SparkSession, root: str, formats: tuple[str, ...] = ("png"
     return files.select(part(r"/Norder(\d+)/").cast("int").alias("ord"), part(r"/Npix(\d+)\.").cast("long").alias("pix"), part(r"\.(\w+)$").alias("format"), "length", "content").where(F.col("format").isin(*formats))
 
 
+def write_tiles(spark: SparkSession, root: str, tiles: list[tuple[int, int, str, bytes]]) -> None:
+    """Files (order, index, format, content) below a root, laid out as `read_tiles` finds them; for a handful of tiles in the driver's hand."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for order, pix, kind, content in tiles:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/Norder{order}/Dir{pix // 10000 * 10000}/Npix{pix}.{kind}"))
+        out.write(bytearray(content))
+        out.close()
+
+
 def write_pixels(rgba: DataFrame, path: str) -> None:
     """Sink of coloured pixels, by image."""
     rgba.write.mode("overwrite").partitionBy("image").parquet(path)
