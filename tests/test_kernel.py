@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starloom.functions import color as C
@@ -12,7 +13,7 @@ from starloom.functions import dates
 from starloom.functions import geometry as G
 from starloom.functions import stretch as S
 from starloom.functions.tileindex import nside, tile_index, tile_url
-from starloom.operators import catalog, epochs, hooks, ranks, resample, tiling
+from starloom.operators import catalog, epochs, hooks, matching, ranks, resample, tiling
 from starloom.operators.histogram import histogram
 from starloom.operators.scaling import Scaling, apply_scaling, clean, flag_lists, zscale_fit, zscale_range
 
@@ -185,3 +186,38 @@ def test_catalog(spark):
     assert catalog.search(o, "  ").count() == 2 and catalog.search(o, "CRAB").count() == 2 and catalog.search(o, " crab ").count() == 0
     assert catalog.lookup(o, " m1 ").first().ord == 1 and catalog.lookup(o, "").first().ord == 1
     assert catalog.toggle_band("g", "g") is None and catalog.toggle_band(None, "r") == "r"
+
+
+def test_positions_of_many_rows_with_a_value(spark):
+    n = 200_000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % n).alias("o"), F.rand(3).alias("v"))
+    got = ranks.positions(df, ["g"], "o", partitions=7)
+    assert got.columns == ["g", "o", "v", "pos"]
+    bad = got.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1).where("want <> pos").count()
+    assert bad == 0 and got.count() == n
+
+
+def test_zscale_of_negative_contrast_keeps_its_order():
+    low, high = zscale_fit(np.arange(1.0, 200.0), -0.25)
+    assert low <= high
+
+
+def test_as_of_in_slices(spark):
+    rng = np.random.default_rng(4)
+    left = spark.createDataFrame([(int(k), float(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 60, 200), strict=True))], "k int, t double, i int")
+    right = spark.createDataFrame([(int(k), float(t), float(t)) for k, t in {(int(a), int(b)) for a, b in zip(rng.integers(0, 2, 40), rng.integers(0, 60, 40), strict=True)}], "k int, t double, v double")
+    plain = {r.i: r.v for r in matching.as_of(left, right, "k", "t", "v").collect()}
+    assert len(plain) == 200 and {r.i: r.v for r in matching.as_of(left, right, "k", "t", "v", 10.0).collect()} == plain
+    assert None in plain.values() and any(v is not None for v in plain.values())
+
+
+def test_tile_centres_go_to_the_last_order(spark):
+    with pytest.raises(ValueError):
+        tiling.tile_centers(spark, 14)
+    assert tiling.tile_centers(spark, 13).columns == ["ord", "pix", "ra", "dec"]
+    assert 12 * 4**7 - 8 < tiling.tile_centers(spark, 7, "standard").count() <= 12 * 4**7  # a few at the poles lie between the grid's places
+
+
+def test_tab_is_white_space(spark):
+    p = X.parse(F.lit("\t"), "lenient")
+    assert one(spark, *p.values())[:] == (None, None, None)
