@@ -3,44 +3,20 @@
 from __future__ import annotations
 
 import gc
-import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, written  # noqa: F401
+
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; arrays of 8 bytes a byte follow from it.
 CHUNK_BYTES = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor and the driver see.
-
-    Where the setting is absent (tests on one machine) a folder below /tmp is taken; a
-    cluster has to name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends there, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets the driver's collector find shuffles that nothing refers to any more, so that their files go now and not at its next turn."""
     gc.collect()
@@ -51,12 +27,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_key(text: str | Column = "text") -> tuple[Column, Column]:
+    """128 bits of a text: two hashes of different seeds (the number comes first, so the second is no function of the first)."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, k1, k2): the two columns that count, and a 128-bit key of the whole text."""
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
-    ).select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"))
+    ).select("id", "text", *(k.alias(c) for k, c in zip(text_key(), ("k1", "k2"), strict=True)))
 
 
 def splits(df: DataFrame, bytes_col: str, target: int = 12 << 20, least: int = 12) -> int:
@@ -158,8 +139,43 @@ def word_bounds(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray
     return change[0::2], change[1::2]
 
 
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Longer words are hashed and compared one at a time.
+LONG_WORD = 64
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as one number; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(Prefix.of_bytes(data).span(starts, ends) ^ (ends - starts).astype(U64))
+    """64-bit hashes of words. Eight bytes at a time go through a mixing bijection, so words of up to eight bytes collide by their lengths' share alone and no construction by powers of a base makes longer ones collide."""
+    length, eight = ends - starts, octets(data)
+    out = mix(mix(length.astype(U64)) ^ (eight[starts] & _FIRST[np.minimum(length, 8)]))
+    more, k = np.flatnonzero(length > 8), 8
+    with np.errstate(over="ignore"):
+        while len(more) and k < LONG_WORD:
+            out[more] = mix(out[more] * U64(0x9FB21C651E98DF25) ^ (eight[starts[more] + k] & _FIRST[np.minimum(length[more] - k, 8)]))
+            k += 8
+            more = more[length[more] > k]
+    for i in more.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(length[i]))
+    return out
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Byte by byte: whether each word of `data` is the one of the same length in `other`."""
+    same, x, y = np.ones(len(starts), bool), octets(data), octets(other)
+    on, k = np.arange(len(starts)), 0
+    while len(on) and k < LONG_WORD:
+        same[on] &= (x[starts[on] + k] ^ y[others[on] + k]) & _FIRST[np.minimum(length[on] - k, 8)] == 0
+        k += 8
+        on = on[length[on] > k]
+    for i in on.tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + length[i]], other[others[i] : others[i] + length[i]])
+    return same
 
 
 def by_bytes(batches, text: str = "text"):
@@ -171,26 +187,38 @@ def by_bytes(batches, text: str = "text"):
 
 
 class WordTable:
-    """Ids of distinct words by the words' 64-bit hashes; `encode` gives packed 32-bit ids for a list of words.
+    """Ids of distinct words, found by 64-bit hashes and confirmed by the words' bytes; `encode` gives packed 32-bit ids for a list of words.
 
-    Bounded: when it would hold more than `most` words it starts anew, so only speed depends on it.
+    Bounded: when it would hold more than `most` words or `most_bytes` of them it starts anew, so only
+    speed depends on it. A word whose hash is that of another is kept apart, by its bytes.
     """
 
-    def __init__(self, encode, most: int = 1_500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 1_500_000, most_bytes: int = 48 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.start, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.apart: dict[bytes, tuple[int, int]] = {}
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """keys: sorted, none of them known."""
+    def append(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes and keeps the ids: where each word's start, and how many."""
         found = self.encode(words)
         count = np.fromiter(map(len, found), np.int32, len(found)) // 4
         start = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        return start, count
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """keys: sorted, none of them known."""
+        start, count = self.append(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text_at = len(self.text) + np.cumsum(size) - size
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.count = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.start, start), (self.count, count)))
+        new = ((self.keys, keys), (self.start, start), (self.count, count), (self.text_at, text_at), (self.text_size, size))
+        self.keys, self.start, self.count, self.text_at, self.text_size = (np.insert(x, at, y) for x, y in new)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word start in `ids`, and how many they are."""
@@ -200,6 +228,10 @@ class WordTable:
         fresh = np.ones(len(ranked), bool)
         fresh[1:] = ranked[1:] != ranked[:-1]
         unique, first = ranked[fresh], order[fresh]
+        raw = data.data
+        word = lambda i: bytes(raw[starts[i] : ends[i]])
+        if len(self.text) > self.most_bytes or len(self.apart) > self.most:
+            self.clear()
         for again in (False, True):
             at = np.searchsorted(self.keys, unique)
             known = at < len(self.keys)
@@ -210,11 +242,20 @@ class WordTable:
             if len(self.keys) + len(new) > self.most and not again:
                 self.clear()
                 new = np.arange(len(unique))
-            raw = data.tobytes()
-            self.learn(unique[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.learn(unique[new], [word(i) for i in first[new].tolist()])
         slot = np.empty(len(hashes), np.int64)
         slot[order] = at[np.cumsum(fresh) - 1]
-        return self.start[slot], self.count[slot]
+        start, count = self.start[slot], self.count[slot]
+        length = ends - starts
+        same = self.text_size[slot] == length
+        i = np.flatnonzero(same)
+        same[i] = same_words(data, starts[i], self.text, self.text_at[slot[i]], length[i])
+        if not same.all():
+            other = np.flatnonzero(~same).tolist()
+            new = list({w for w in map(word, other) if w not in self.apart})
+            self.apart.update(zip(new, zip(*self.append(new), strict=True), strict=True))
+            start[other], count[other] = zip(*(self.apart[word(i)] for i in other), strict=True)
+        return start, count
 
     def flat(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The ids of all words, one after another."""

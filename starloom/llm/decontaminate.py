@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, by_bytes, keyed, mix, packed, per_item, spread, word_bounds, word_hashes
+from .common import U64, Prefix, by_bytes, keyed, mix, packed, per_item, spread, text_key, word_bounds, word_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -199,7 +199,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those that hold a benchmark window; columns unchanged."""
     found = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k1")) & (F.xxhash64("text", F.lit(7)) == F.col("__k2"))
+    a, b = text_key()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (a == F.col("__k1")) & (b == F.col("__k2"))
     return docs.join(found.hint("shuffle_hash"), same, "left_anti")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_bytes, keyed, mix, packed, spread, word_bounds, word_hashes, written
+from .common import U64, by_bytes, keyed, mix, packed, spread, text_key, word_bounds, word_hashes, written
 
 PERMUTATIONS, ROWS = 64, 4
 _MULTIPLY = (mix(np.arange(1, PERMUTATIONS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -257,5 +257,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those whose group has a smaller id; of rows that repeat an id and a text all stay. Columns unchanged."""
     gone = near_duplicates(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k1")) & (F.xxhash64("text", F.lit(7)) == F.col("__k2"))
+    a, b = text_key()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (a == F.col("__k1")) & (b == F.col("__k2"))
     return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

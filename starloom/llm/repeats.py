@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, splits
+from .common import shared_dir, splits, text_key
 
 #: Columns that are added; the rest of the documents goes along untouched.
 ADDED = ["__id", "__k", "__copy"]
@@ -31,7 +31,8 @@ def prepared(docs: DataFrame, parts: int | None = None, groups: int = 0) -> tupl
     __copy: a document with a smaller id has the same text. Only keys are grouped, so a text
     that a third of all rows repeat is one row per task; texts are shuffled once.
     """
-    source = docs.withColumn("text", F.col("text").cast("string")).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__a": F.xxhash64("text"), "__b": F.xxhash64("text", F.lit(7))})
+    a, b = text_key()
+    source = docs.withColumn("text", F.col("text").cast("string")).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__a": a, "__b": b})
     source = source.withColumn("__k", F.xxhash64("__id", "__a", "__b"))
     parts = parts or splits(docs, "text")
     keys = source.select("__id", "__a", "__b", "__k")
