@@ -1,4 +1,4 @@
-"""Exact top-k search by BM25: an inverted index in shards, block-max WAND in each, one exact merge.
+"""Exact top-k search by BM25: an inverted index in shards, block-max WAND in each, exact merges.
 
 Terms are words as the decontamination operator folds them (A-Z lower-cased; digits, letters and
 what is not ASCII). A query counts each distinct term once. score = sum of idf * tf * (K1 + 1) /
@@ -6,27 +6,39 @@ what is not ASCII). A query counts each distinct term once. score = sum of idf *
 df and mean length of the whole table in every shard, so scores of different shards compare.
 
 A shard keeps, for each term, its postings in document order, documents being ordered so that
-like ones are neighbours, and the greatest impact in each block of BLOCK documents. For a query
-the sums of block maxima bound all scores of a block; blocks are scored from the highest bound
-down, some at a time, until the next bound is below the k-th best score. What is left unscored
-cannot be among the k best. Each shard gives its k best, the k best of those are the result.
+like ones are neighbours, the greatest impact of the term and that in each block of BLOCK documents.
+A query comes with the score that a result has to reach. Its terms are ordered by what they can add
+at most; the pivot is the first of them at which the sum reaches that score, so a document that
+can reach it has the pivot or a later term. Cursors go from block to block, and all blocks take
+their step at once: only those where a term from the pivot on stands, with enough in its block
+maxima, are looked at; to these the cursors of the other terms are moved, and where all block
+maxima together stay below the score the block is skipped. In the rest postings are added up, the
+most promising blocks first as long as there is no score to reach, and each better k-th score skips more.
+
+Shards are asked in rounds, a few first, then four times as many each time. After a round each
+query's k-th best score so far is handed to the next one, where a shard gives only documents that
+reach it, and the shards of a task hand it on to each other. So the rows that come out grow with the
+number of queries and the number of rounds (a logarithm), not with queries times shards.
 
 Ties: the smaller doc_id first, null ids last. Documents without any query term are no results.
 Defined cases: null and empty texts have no terms, as documents and as queries; rows that repeat
 are results of their own; an empty table gives no row; further columns are ignored.
 
-Bounds: queries go to the tasks in blocks of QUERY_BYTES, one pass over the index each. A shard
-holds about SHARD_BYTES of text.
+Bounds: queries go to the tasks in blocks of QUERY_BYTES of terms, one pass over the index each; a
+block is all that the driver holds, and its broadcast is dropped behind it. A shard holds about SHARD_BYTES of text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, chunks, spread, written
+from .common import U64, binaries, chunks, mix, spread, written
 from .decontaminate import folded, hashed
 
 K1, B = 1.2, 0.75
@@ -34,9 +46,13 @@ BLOCK = 64
 SHARD_BYTES, QUERY_BYTES = 24 << 20, 24 << 20
 #: Frequent terms by which documents are ordered.
 GUIDES = 64
+#: Bounds are compared with so much room for rounding.
+SLACK = 1 - 1e-9
+#: Shards of the first round, at least.
+FIRST_SHARDS = 3
 
-INDEX = "shard long, docs binary, lengths binary, terms binary, counts binary, postings binary, tfs binary"
-_INDEX = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("docs", "lengths", "terms", "counts", "postings", "tfs"))])
+INDEX = "shard long, level int, docs binary, lengths binary, terms binary, counts binary, postings binary, tfs binary"
+_INDEX = pa.schema([("shard", pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in ("docs", "lengths", "terms", "counts", "postings", "tfs"))])
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +74,12 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return join(terms, U64), join(owners, np.int64), join(tfs, np.int64), join(lengths, np.int64)
 
 
+def level_of(shard: int) -> int:
+    """Every fourth shard, by a hash, is of level 1 or more, every fourth of these of level 2 or more, and so on."""
+    h = int(mix(np.array([shard], U64))[0])
+    return next((k for k in range(16) if h >> (2 * k) & 3), 16)
+
+
 def shard_row(shard: int, ids: list[int | None], texts: list[bytes]) -> dict:
     """One shard's index as packed arrays."""
     term, owner, tf, length = term_counts(texts)
@@ -79,7 +101,7 @@ def shard_row(shard: int, ids: list[int | None], texts: list[bytes]) -> dict:
     order = np.lexsort((place[owner], inverse))
     missing = np.iinfo(np.int64).max
     return {
-        "shard": shard, "docs": np.array([missing if i is None else i for i in ids], np.int64)[placed].tobytes(), "lengths": length[placed].astype(np.int32).tobytes(), "terms": vocabulary.tobytes(),
+        "shard": shard, "level": level_of(shard), "docs": np.array([missing if i is None else i for i in ids], np.int64)[placed].tobytes(), "lengths": length[placed].astype(np.int32).tobytes(), "terms": vocabulary.tobytes(),
         "counts": df.astype(np.int32).tobytes(), "postings": place[owner[order]].astype(np.int32).tobytes(), "tfs": np.minimum(tf[order], 0xFFFFFFFF).astype(np.uint32).tobytes(),
     }
 
@@ -88,7 +110,7 @@ def index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The inverted index, one row a shard; documents are indexed where they are read, without a shuffle."""
 
     def work(batches):
-        ids, texts, size, shard = [], [], 0, 0
+        ids, texts, size, shard = [], [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             for i, x in zip(batch.column("doc_id").to_pylist(), binaries(batch.column("text")), strict=True):
                 if texts and (size + len(x) > shard_bytes or len(texts) == 1 << 24):
@@ -126,18 +148,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """A shard ready for queries: impacts of all postings and their maxima by block."""
+    """A shard ready for queries: impacts of all postings, and their maxima by term and by block."""
 
     def __init__(self, row: dict, mean: float):
         self.ids = np.frombuffer(row["docs"], np.int64)
         length = np.frombuffer(row["lengths"], np.int32)
         self.terms = np.frombuffer(row["terms"], U64)
-        self.doc = np.frombuffer(row["postings"], np.int32)
+        self.doc = np.frombuffer(row["postings"], np.int32).astype(np.int64)
         tf = np.frombuffer(row["tfs"], np.uint32).astype(float)
         norm = K1 * (1 - B + B * length / mean) if mean else np.ones(len(length))
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
         counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
-        term = np.repeat(np.arange(len(counts)), counts)
+        term = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         block = self.doc // BLOCK
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
@@ -147,97 +169,137 @@ class Shard:
         self.entry_block = block[at]
         self.entry_max = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
         self.term_entry = np.searchsorted(term[at], np.arange(len(counts) + 1))
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best, best first, and how many blocks were scored. terms ascend."""
+        self.term_max = np.maximum.reduceat(self.entry_max, self.term_entry[:-1]) if len(counts) else np.zeros(0)
+    def best(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best of those that reach `floor`, best first, and how many of the shard's blocks were skipped. terms ascend."""
         slot = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         here = self.terms[slot] == terms if len(self.terms) else np.zeros(len(terms), bool)
         slot, idf = slot[here], idf[here]
+        found = np.zeros(0, np.int64), np.zeros(0)
+        most = idf * self.term_max[slot]
+        if not len(slot) or most.sum() < floor * SLACK:
+            return *found, self.blocks
+        order = np.argsort(most, kind="stable")
+        reach = np.cumsum(most[order])
+        pivot = int(np.searchsorted(reach, floor * SLACK))
+        lead = np.zeros(len(slot), bool)
+        lead[order[pivot:]] = True
         entries = self.term_entry[slot + 1] - self.term_entry[slot]
-        entry = spread(self.term_entry[slot], entries)
+        entry = spread(self.term_entry[slot], entries)  # terms in their order, so scores add up alike in every shard
         weight = np.repeat(idf, entries)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, weight * self.entry_max[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        ids, scores, threshold, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        by_rank = np.argsort(rank[block], kind="stable")  # keeps the order of terms within a block
-        entry, weight, ranked = entry[by_rank], weight[by_rank], rank[block][by_rank]
-        while done < self.blocks:
-            stop = min(self.blocks, done + step)
-            bounds = bound[order[done:stop]]
-            stop = done + int(np.searchsorted(-bounds, -threshold * (1 - 1e-9), side="right")) if threshold else done + int((bounds > 0).sum())
-            if stop == done:
+        block, add = self.entry_block[entry], weight * self.entry_max[entry]
+        if pivot:
+            ahead = np.repeat(lead, entries)
+            bound = np.bincount(block[ahead], add[ahead], self.blocks)
+            near = ((bound > 0) & (bound + reach[pivot - 1] >= floor * SLACK))[block]
+            entry, weight, block, add = entry[near], weight[near], block[near], add[near]
+        bound = np.bincount(block, add, self.blocks)
+        turn = np.flatnonzero((bound > 0) & (bound >= floor * SLACK))
+        if not floor:
+            turn = turn[np.argsort(-bound[turn], kind="stable")]
+        threshold, done, step = floor, 0, len(turn) if floor else 4
+        while done < len(turn):
+            some = turn[done : done + step]
+            some = some[bound[some] >= threshold * SLACK]
+            if not len(some):
                 break
-            a, b = np.searchsorted(ranked, [done, stop])
-            start, size = self.entry_start[entry[a:b]], self.entry_start[entry[a:b] + 1] - self.entry_start[entry[a:b]]
+            on = np.zeros(self.blocks, bool)
+            on[some] = True
+            on = on[block]
+            start = self.entry_start[entry[on]]
+            size = self.entry_start[entry[on] + 1] - start
             posting = spread(start, size)
-            doc = self.doc[posting]
-            local = rank[doc // BLOCK] - done
-            place = local * BLOCK + doc % BLOCK
-            total = np.bincount(place, np.repeat(weight[a:b], size) * self.impact[posting], (stop - done) * BLOCK)
-            hit = np.flatnonzero(total > 0)
-            found = order[done + hit // BLOCK] * BLOCK + hit % BLOCK
-            ids, scores = np.concatenate([ids, self.ids[found]]), np.concatenate([scores, total[hit]])
-            if len(ids) > k:
-                keep = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[keep], scores[keep]
-            threshold = scores.min() if len(scores) >= k else 0.0
-            done, step = stop, step * 2
-        keep = np.lexsort((ids, -scores))[:k]
-        return ids[keep], scores[keep], done
+            total = np.bincount(self.doc[posting], np.repeat(weight[on], size) * self.impact[posting], len(self.ids))
+            docs = np.flatnonzero((total > 0) & (total >= threshold))
+            found = leading(np.concatenate([found[0], self.ids[docs]]), np.concatenate([found[1], total[docs]]), k)
+            if len(found[1]) >= k:
+                threshold = max(threshold, float(found[1][-1]))
+            done, step = done + len(some), 2 * step
+        return *found, self.blocks - done
+
+
+def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, best first; of equal scores the smaller id."""
+    keep = np.lexsort((ids, -scores))[:k]
+    return ids[keep], scores[keep]
 
 
-RESULT = "query_id long, doc_id long, score double, blocks int"
+RESULT = "query_id long, doc_id long, score double"
+_NO_ID = np.iinfo(np.int64).max
 
 
-def shard_results(shards: DataFrame, block: list[tuple[int, bytes, bytes]], mean: float, k: int) -> DataFrame:
-    shared = shards.sparkSession.sparkContext.broadcast(block)
+def shard_results(shards: DataFrame, shared, mean: float, k: int) -> DataFrame:
+    """Of each task: for every query the k best of its shards, of those that reach the query's score. shared: broadcast (query, terms, idf, score) rows."""
 
     def work(batches):
-        queries = [(q, np.frombuffer(t, U64), np.frombuffer(w)) for q, t, w in shared.value]
+        queries = [(np.frombuffer(t, U64), np.frombuffer(w), floor) for _, t, w, floor in shared.value]
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch.slice(row, 1).to_pylist()[0], mean)
-                ids, scores, owner, blocks = [], [], [], []
-                for q, terms, idf in queries:
-                    i, s, done = shard.best(terms, idf, k)
-                    ids.append(i)
-                    scores.append(s)
-                    owner.append(np.full(len(i), q))
-                    blocks.append(np.full(len(i), done, np.int32))
-                join = lambda x, t: pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t))
-                docs = np.concatenate([*ids, np.zeros(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([join(owner, np.int64), pa.array(docs, mask=docs == np.iinfo(np.int64).max), join(scores, float), join(blocks, np.int32)], names=["query_id", "doc_id", "score", "blocks"])
+                for q, (terms, idf, floor) in enumerate(queries):
+                    ids, scores = best[q]
+                    more, values, _ = shard.best(terms, idf, k, max(floor, float(scores[-1])) if len(scores) >= k else floor)
+                    if len(more):
+                        best[q] = leading(np.concatenate([ids, more]), np.concatenate([scores, values]), k)
+        for i in range(0, len(queries), 4096):
+            some = best[i : i + 4096]
+            owner = np.repeat([q for q, *_ in shared.value[i : i + 4096]], [len(x) for x, _ in some]).astype(np.int64)
+            docs, scores = (np.concatenate(x) for x in zip(*some, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(docs, mask=docs == _NO_ID), pa.array(scores)], names=["query_id", "doc_id", "score"])
 
     return shards.mapInArrow(work, RESULT)
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def rounds(levels: dict[int, int], first: int = FIRST_SHARDS) -> list[list[int]]:
+    """levels: shards of each level. The levels of each round: the highest together until they have `first` shards, then one at a time."""
+    out, size = [[]], 0
+    for level in sorted(levels, reverse=True):
+        if size >= first:
+            out.append([])
+        out[-1].append(level)
+        size += levels[level]
+    return [x for x in out if x]
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, doc_id, score. queries: query_id, text (one text for an id)."""
-    shards = written(index(docs, shard_bytes))
+    shards = written(index(docs, shard_bytes), ["level"])
 
     def totals(batches):
         for batch in batches:
             n = [np.frombuffer(x, np.int32) for x in batch.column("lengths").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in n], pa.int64()), pa.array([int(x.sum(dtype=np.int64)) for x in n], pa.int64())], names=["n", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("level"), pa.array([len(x) for x in n], pa.int64()), pa.array([int(x.sum(dtype=np.int64)) for x in n], pa.int64())], names=["level", "n", "words"])
 
-    n, words = shards.select("lengths").mapInArrow(totals, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    sums = shards.select("level", "lengths").mapInArrow(totals, "level int, n long, words long").groupBy("level").agg(F.count("*"), F.sum("n"), F.sum("words")).collect()  # a row per level
+    n, words = sum(r[2] for r in sums), sum(r[3] for r in sums)
+    turns = rounds({r[0]: r[1] for r in sums})
     asked = query_terms(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")))
     idf = document_frequencies(shards).select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = written(asked.join(idf, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms")))
     size = weighted.agg(F.sum(F.size("terms").cast("long") * 16)).first()[0] or 0
-    parts, found = max(1, -(-size // query_bytes)), None
+    parts, found = max(1, -(-size // query_bytes)), []
     for p in range(parts):
         some = weighted if parts == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        block = []
+        block, floors, mine = [], {}, []
         for q, terms in some.toLocalIterator():  # about query_bytes
             t, w = np.array([x[0] for x in terms], np.int64).view(U64), np.array([x[1] for x in terms], float)
             order = np.argsort(t)
             block.append((q, t[order].tobytes(), w[order].tobytes()))
         block.sort()
-        one = shard_results(shards, block, words / n if n else 0.0, k)
-        found = one if found is None else found.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        for levels in turns:
+            shared = docs.sparkSession.sparkContext.broadcast([(*x, floors.get(x[0], 0.0)) for x in block])
+            mine.append(written(shard_results(shards.where(F.col("level").isin(levels)), shared, words / n if n else 0.0, k)))
+            shared.unpersist()
+            if levels is not turns[-1]:
+                kth = ranked(reduce(DataFrame.unionByName, mine), k).where(F.col("rank") == k)
+                floors = {r[0]: r[1] for r in kth.select("query_id", "score").toLocalIterator()}  # a row for each query of the block
+        found += mine
+    if not found:
+        found = [docs.sparkSession.createDataFrame([], RESULT)]
+    return ranked(reduce(DataFrame.unionByName, found), k).select("query_id", "rank", "doc_id", "score")

@@ -314,6 +314,82 @@ def test_search(spark, docs, rows, empty):
     assert top_k(empty, asked).count() == 0 and top_k(docs, asked.where("false")).count() == 0
 
 
+def test_search_skips_blocks_and_shards():
+    from starloom.llm.search import BLOCK, Shard, document_frequencies, leading, rounds, shard_row, term_counts  # noqa: F401
+
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join([*r.choices(common, k=10), *(f"topic{d // BLOCK}x{r.randrange(20)}" for _ in range(15))]).encode() for d in range(BLOCK * 20)]
+    shard = Shard(shard_row(5, list(range(len(texts))), texts), 45.0)
+    spared = []
+    for q in (3, 700, 1200):
+        terms, _, _, _ = term_counts([texts[q]])
+        idf = np.array([np.log(1 + len(texts) / (1 + c)) for c in np.diff(shard.term_entry)[np.searchsorted(shard.terms, terms)] * 3.0])
+        ids, scores, skipped = shard.best(terms, idf, 10)
+        want = {}
+        for w, x in zip(terms, idf, strict=True):
+            s = int(np.searchsorted(shard.terms, w))
+            a, b = shard.entry_start[shard.term_entry[s]], shard.entry_start[shard.term_entry[s + 1]]
+            for d, i in zip(shard.doc[a:b].tolist(), shard.impact[a:b].tolist(), strict=True):
+                want[d] = want.get(d, 0.0) + x * i
+        every = leading(shard.ids[list(want)], np.array(list(want.values())), 10)
+        assert ids.tolist() == every[0].tolist() and np.allclose(scores, every[1]) and ids[0] == q
+        again = shard.best(terms, idf, 10, float(scores[-1]))
+        assert again[0].tolist() == ids.tolist() and again[1].tolist() == scores.tolist()
+        assert again[2] >= skipped
+        spared.append((skipped, again[2]))
+        assert shard.best(terms, idf, 10, float(scores[0]) + 1e6)[2] == shard.blocks
+    assert all(map(sum, zip(*spared, strict=True)))
+    assert rounds({0: 36, 1: 9, 2: 3}) == [[2], [1], [0]] and rounds({0: 4}) == [[0]] and rounds({0: 5, 1: 1, 3: 1}) == [[3, 1, 0]] and rounds({}) == []
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_constructed_words_stay_apart(spark, size):
+    """A Thue-Morse word and its complement, which polynomial hashes modulo 2**64 take for one."""
+    from starloom.llm.common import packed, word_bounds, word_hashes
+    from starloom.llm.minhash import near_duplicates
+    from starloom.llm.search import top_k
+    from starloom.llm.substrings import without_repeats
+
+    a = thue_morse(size)
+    b = a.translate(str.maketrans("ab", "ba"))
+    data, _ = packed([f"{a} {b}".encode()])
+    assert len(set(word_hashes(data, *word_bounds(data)).tolist())) == 2
+    tail = " ".join(f"w{i}" for i in range(49))
+    d = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")
+    assert {r.n_removed for r in without_repeats(d, parts=2).collect()} == {0}
+    e = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(e, 3, 85).select("component_id").collect()} == {1, 2}
+    assert [tuple(r) for r in top_k(e, e.selectExpr("doc_id AS query_id", "text")).select("query_id", "doc_id").orderBy("query_id").collect()] == [(1, 1), (2, 2)]
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from starloom.llm.pieces import Encoder
+    from starloom.llm.tokens import WordEncoder
+
+    path = P.path("piece_bpe_32k.model")
+    assert [x.tolist() for x in Encoder.kept(path).encode([a.encode(), b.encode()])] == sentencepiece.SentencePieceProcessor(model_file=path).encode([a, b])
+    path = P.path("word_bpe_49k.json")
+    assert [x.tolist() for x in WordEncoder(path).encode([a.encode(), b.encode()])] == [x.ids for x in Tokenizer.from_file(path).encode_batch([a, b], add_special_tokens=False)]
+
+
+def test_word_table_keeps_colliding_words_apart(monkeypatch):
+    from starloom.llm import common
+
+    monkeypatch.setattr(common, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    table = WordTable(lambda words: [np.frombuffer(w.ljust(8, b"-")[:8], np.uint32).tobytes() for w in words])
+    words = [b"ab", b"cd", b"ab", b"xyz", b"zyx", b"cd", b"q" * 70, b"r" * 70]
+    data, _ = common.packed([b" ".join(words)])
+    for _ in range(2):
+        start, count = table.lookup(data, *common.word_bounds(data))
+        assert [table.ids[s : s + n].tobytes() for s, n in zip(start, count, strict=True)] == [w.ljust(8, b"-")[:8] for w in words]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")
     P = pytest.importorskip("public_tokenizers")
