@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, splits, text_key
@@ -45,6 +45,11 @@ def prepared(docs: DataFrame, parts: int | None = None, groups: int = 0) -> tupl
     return bucketed(whole.select(*docs.columns, *ADDED), parts, "__k"), parts
 
 
+def buckets(spark: SparkSession, parts: int) -> int:
+    """How many buckets keys meet in: several for each task, so that what is frequent in one does not add up with others."""
+    return 8 * max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def first_and_last(flags: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of true flags as first and last places; barrier: places at which a run ends in any case."""
     flag = flags.view(np.int8)

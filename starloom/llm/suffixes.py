@@ -11,7 +11,14 @@ Texts are UTF-8 bytes. Three steps narrow down what has to be sorted, none of th
 3. Runs of windows with a shared anchor meet at the anchor's bucket. There their suffixes are
    sorted: a merge sort whose comparisons find the longest common extension by binary search over
    prefix polynomial hashes. Neighbours that agree over `width` bytes are compared byte by byte, and
-   the smallest id of each class of equal suffixes keeps its copy.
+   the smallest id of each class of equal suffixes keeps its copy. Runs of an anchor that is too
+   frequent for one bucket are cut into pieces, windows whose anchor stands at like offsets, and
+   each piece goes to the bucket of the bytes that all its windows share: equal windows still meet,
+   and all go through the sort. Only anchors beyond VERY_HOT runs, whose pieces are single windows,
+   are settled by aggregation and a join that Spark splits.
+
+Within a group of documents runs of equal bytes are told apart at once: only that of the smallest
+id goes on, the others are repeated as a whole.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than a window lose
 none; equal texts keep only that of the smallest id (if it has a window); rows that repeat id and text are
@@ -29,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Prefix, binaries, chunks, mix, packed, release, spread, written
-from .repeats import covered, first_and_last, prepared
+from .repeats import buckets, covered, first_and_last, prepared
 
 WIDTH, GRAM = 50, 24
 CHUNK_BITS, CHUNK_GRAM = 9, 32
 GROUPS = 4
-#: An anchor with so many runs is not gathered in one task.
-HOT = 2000
+#: An anchor with more runs does not meet in one bucket, and one with so many times more is not sorted.
+HOT, VERY_HOT = 2000, 64
+#: Offsets of the anchor in a window that one piece of a frequent run covers.
+PIECE = 7
 CHUNK = "a long, b long, __id long, __k long, __g int, first int, n int"
 SPAN = "__g int, __k long, first int, last int"
 
@@ -110,7 +119,7 @@ class Group:
             new = np.ones(len(start), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1])
             run = np.flatnonzero(new)
-            self.parts.append((data, at, i, grams[anchor[run]], owner[run], start[run], np.diff(np.append(run, len(start)))))
+            self.parts.append((data, at, i, grams[anchor[run]], owner[run], start[run], np.diff(np.append(run, len(start))), anchor[run]))
 
 
 def anchor_arrays(table: DataFrame, decided: DataFrame, parts: int, width: int) -> DataFrame:
@@ -126,7 +135,7 @@ def anchor_arrays(table: DataFrame, decided: DataFrame, parts: int, width: int)
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
         several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
-        several = (np.minimum(np.diff(np.append(at, len(key))), 127) | (several << 7)).astype(np.uint8)  # runs, and whether in several documents
+        several = (np.minimum(np.diff(np.append(at, len(key))), 0x7FFF) | (several.astype(np.int64) << 15)).astype(np.uint16)  # runs, and whether in several documents
         key = key[at]
         bucket = (key % U64(parts)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -147,20 +156,21 @@ def grouped(table: DataFrame, other: DataFrame):
 
 
 def shared_anchors(hot: int):
-    """Of one bucket: for each group, its anchors that another document has too, and which of those have more than `hot` runs."""
+    """Of one bucket: for each group, its anchors that another document has too, and how frequent those are: 0, 1 above `hot` runs, 2 far above."""
 
     def work(key, table):
         keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
         every = np.concatenate(keys)
-        tally = np.frombuffer(b"".join(table.column("several").to_pylist()), np.uint8)
+        tally = np.frombuffer(b"".join(table.column("several").to_pylist()), np.uint16)
         order = np.argsort(every, kind="stable")
-        ranked, runs, several = every[order], (tally[order] & 127).astype(np.int64), tally[order] >> 7
+        ranked, runs, several = every[order], (tally[order] & 0x7FFF).astype(np.int64), tally[order] >> 15
         at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(every) else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(every)))
-        shared, often = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        shared, often = np.zeros(len(every), bool), np.zeros(len(every), np.uint8)
         if len(at):
             shared[order] = np.repeat((size > 1) | (np.maximum.reduceat(several, at) > 0), size)
-            often[order] = np.repeat(np.add.reduceat(runs, at) > hot, size)
+            total = np.add.reduceat(runs, at)
+            often[order] = np.repeat((total > hot).astype(np.uint8) + (total > VERY_HOT * hot), size)
         ends = np.cumsum([len(x) for x in keys]).tolist()
         pick = [(every[a:b][shared[a:b]].tobytes(), often[a:b][shared[a:b]].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
         return pa.table({"__g": table.column("g"), "keys": pa.array([x for x, _ in pick], pa.binary()), "often": pa.array([x for _, x in pick], pa.binary())})
@@ -168,34 +178,73 @@ def shared_anchors(hot: int):
     return lambda key, table: work(key, table)
 
 
-RUN = "bucket int, key long, hot boolean, __id long, __k long, __g int, first int, n int, bytes binary"
+RUN = "bucket int, key long, level byte, __id long, __k long, __g int, first int, n int, bytes binary"
+
+
+def smallest(ids: np.ndarray, contents: list[bytes]) -> np.ndarray:
+    """Which of the runs no run of the same bytes and a smaller id is among."""
+    least: dict[bytes, int] = {}
+    for i, x in zip(ids.tolist(), contents, strict=True):
+        if i < least.get(x, 1 << 63):
+            least[x] = i
+    return np.fromiter((least[x] == i for i, x in zip(ids.tolist(), contents, strict=True)), bool, len(contents))
+
+
+def pieces(start: int, n: int, anchor: int, step: int, width: int):
+    """Cuts the run of n windows from `start` where the anchor's offset in the window is a multiple of `step`: first window, windows, range of the bytes that
+    every window of such offsets has, number of the piece."""
+    offset, last = anchor - start, anchor - start - n + 1
+    while offset >= last:
+        p = offset // step
+        low = max(last, p * step)
+        yield anchor - offset, offset - low + 1, (anchor - p * step, anchor - p * step - step + 1 + width), p
+        offset = low - 1
 
 
-def shared_runs(table: DataFrame, feed: DataFrame, parts: int, width: int) -> DataFrame:
-    """Runs of open windows with a shared anchor, each with the bytes that it covers. feed: decided spans and shared anchors."""
+def shared_runs(table: DataFrame, feed: DataFrame, slots: int, width: int) -> DataFrame:
+    """Runs of open windows with a shared anchor, each with the bytes that it covers. feed: decided spans and shared anchors.
+
+    A run whose bytes a document of the same group with a smaller id has is repeated as a whole: it
+    goes on without its bytes and key, so a family of like documents sends a run once a group.
+    """
 
     def work(left, right):
-        shared, often = (np.frombuffer(b"".join(x for x in right.column(c).to_pylist() if x), t) for c, t in (("keys", U64), ("often", bool)))
+        shared, often = (np.frombuffer(b"".join(x for x in right.column(c).to_pylist() if x), t) for c, t in (("keys", U64), ("often", np.uint8)))
         order = np.argsort(shared)
         shared, often = shared[order], often[order]
         g = Group(left, right.filter(pa.compute.is_valid(right.column("__k"))), width)
-        tables = []
-        for data, at, base, key, owner, start, n in g.parts:
+        tables, contents = [], []
+        for data, at, base, key, owner, start, n, anchor in g.parts:
             slot = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
             on = np.flatnonzero(shared[slot] == key) if len(shared) else np.zeros(0, np.int64)
-            key, owner, start, n, hot = key[on], owner[on], start[on], n[on], often[slot[on]]
-            raw = data.data
+            level, raw = often[slot[on]], data.data
+            cold, hot = on[level == 0], on[level > 0]
+            contents += [raw[s : s + m + width - 1].tobytes() for s, m in zip(start[cold].tolist(), n[cold].tolist(), strict=True)]
+            rows, places, sizes, slots_of = [], [], [], []
+            for r, s, m, a, step in zip(hot.tolist(), start[hot].tolist(), n[hot].tolist(), anchor[hot].tolist(), np.where(level[level > 0] == 1, PIECE, 1).tolist(), strict=True):
+                for first, count, name, seed in pieces(s, m, a, step, width):
+                    rows.append(r)
+                    places.append(first)
+                    sizes.append(count)
+                    slots_of.append(xxhash.xxh3_64_intdigest(raw[name[0] : name[1]], seed) % slots)
+                    contents.append(raw[first : first + count + width - 1].tobytes())
+            every = np.concatenate([cold, np.array(rows, np.int64)])
+            begin = np.concatenate([start[cold], np.array(places, np.int64)])
             tables.append(pa.table({
-                "bucket": pa.array((key % U64(parts)).astype(np.int32)), "key": pa.array(key.view(np.int64)), "hot": pa.array(hot), "__id": pa.array(g.ids[owner]), "__k": pa.array(g.keys[owner]),
-                "__g": pa.array(np.full(len(key), left.column("__g")[0].as_py() if left.num_rows else 0, np.int32)), "first": pa.array((start - at[owner - base]).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
-                "bytes": pa.array([raw[s : s + m + width - 1].tobytes() for s, m in zip(start.tolist(), n.tolist(), strict=True)], pa.binary()),
+                "bucket": pa.array(np.concatenate([(mix(key[cold]) % U64(slots)).astype(np.int32), np.array(slots_of, np.int32)])), "key": pa.array(key[every].view(np.int64)), "level": pa.array(often[slot[every]].astype(np.int8)), "__id": pa.array(g.ids[owner[every]]), "__k": pa.array(g.keys[owner[every]]),
+                "__g": pa.array(np.full(len(every), left.column("__g")[0].as_py() if left.num_rows else 0, np.int32)), "first": pa.array((begin - at[owner[every] - base]).astype(np.int32)), "n": pa.array(np.concatenate([n[cold], np.array(sizes, np.int64)]).astype(np.int32)),
             }))
-        return pa.concat_tables(tables) if tables else pa.table({f.name: pa.array([], f.type) for f in _RUN})
+        if not tables:
+            return pa.table({f.name: pa.array([], f.type) for f in _RUN})
+        out = pa.concat_tables(tables).combine_chunks()
+        whole = ~smallest(out.column("__id").to_numpy(), contents)
+        out = out.set_column(1, "key", pa.compute.if_else(pa.array(whole), pa.scalar(None, pa.int64()), out.column("key")))
+        return out.append_column("bytes", pa.array([None if w else x for w, x in zip(whole.tolist(), contents, strict=True)], pa.binary()))
 
     return grouped(table, feed).applyInArrow(work, RUN)
 
 
-_RUN = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("hot", pa.bool_()), ("__id", pa.int64()), ("__k", pa.int64()), ("__g", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+_RUN = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("level", pa.int8()), ("__id", pa.int64()), ("__k", pa.int64()), ("__g", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
 
 
 class SuffixSorter:
@@ -308,24 +357,10 @@ def repeated_suffixes(width: int):
     return lambda key, table: work(key, table)
 
 
-def hot_suffixes(hot: DataFrame, width: int) -> DataFrame:
-    """Runs of very frequent anchors. A run whose bytes are those of a run with a smaller id is repeated as a whole; of the rest
-    (one document for each distinct run) every window is a row: partial minima, then a join that can be split."""
-
-    def unpack(batches):
-        for batch in batches:
-            n = batch.column("n").to_numpy().astype(np.int64)
-            take = pa.array(np.repeat(np.arange(len(n)), n))
-            raw = batch.column("bytes").to_pylist()
-            text = [x[i : i + width] for x, m in zip(raw, n.tolist(), strict=True) for i in range(m)]
-            first = batch.column("first").to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("__id", "__k", "__g")), pa.array(spread(first, n).astype(np.int32)), pa.array(text, pa.binary())], names=["__id", "__k", "__g", "first", "window"])
-
-    ranked = hot.join(hot.groupBy("key", "bytes").agg(F.min("__id").alias("first_id")), ["key", "bytes"])
-    whole = ranked.where("__id > first_id").select("__g", "__k", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    each = ranked.where("__id = first_id").select("__id", "__k", "__g", "first", "n", "bytes").mapInArrow(unpack, "__id long, __k long, __g int, first int, window binary")
-    least = each.groupBy("window").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most")
-    return whole.unionByName(each.join(least.drop("most"), "window").where("__id > least").select("__g", "__k", "first", F.col("first").alias("last")))
+def hot_suffixes(windows: DataFrame) -> DataFrame:
+    """Single windows of anchors beyond all measure: partial minima, then a join that can be split (one side of it is a written table)."""
+    least = written(windows.groupBy("bytes").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").drop("most"))
+    return windows.join(least, "bytes").where("__id > least").select("__g", "__k", "first", F.col("first").alias("last"))
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = WIDTH, hot: int = HOT, parts: int | None = None, with_bytes: bool = False) -> DataFrame:
@@ -338,11 +373,12 @@ def without_repeated_bytes(docs: DataFrame, width: int = WIDTH, hot: int = HOT,
     feed = decided.unionByName(written(shared), allowMissingColumns=True)
     del shared
     release(docs.sparkSession)
-    runs = written(shared_runs(source, feed, parts, width))
+    runs = written(shared_runs(source, feed, buckets(docs.sparkSession, parts), width))
     del feed
     release(docs.sparkSession)
-    cold = runs.where("not hot").groupBy("bucket").applyInArrow(repeated_suffixes(width), SPAN)
-    spans = written(cold.unionByName(hot_suffixes(runs.where("hot"), width)).unionByName(decided))
+    cold = runs.where("key is not null and level < 2").groupBy("bucket").applyInArrow(repeated_suffixes(width), SPAN)
+    whole = runs.where("key is null").select("__g", "__k", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    spans = written(cold.unionByName(hot_suffixes(runs.where("key is not null and level = 2"))).unionByName(whole).unionByName(decided))
 
     def cut(left, right):
         found: dict[int, list[tuple[int, int]]] = {}

@@ -85,7 +85,7 @@ def test_suffixes(docs, rows, empty):
             if seen[b[k : k + 50]] < last(i):
                 m[k : k + 50] = b"\1" * 50
         want.append((i, len(b), sum(m), len(bytes(m).replace(b"\0", b" ").split()), hashlib.sha256(bytes(x for x, y in zip(b, m, strict=True) if not y)).hexdigest()))
-    for hot in (2000, 1):
+    for hot in (2000, 1, 0):
         got = [tuple(r) for r in without_repeated_bytes(docs, hot=hot, parts=3).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
         assert multiset(got) == multiset(want)
     assert without_repeated_bytes(empty, parts=2).count() == 0
