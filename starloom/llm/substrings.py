@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, Prefix, by_bytes, mix, packed, spread, word_bounds, word_hashes, written
-from .repeats import ADDED, covered, first_and_last, prepared
+from .repeats import ADDED, buckets, covered, first_and_last, prepared
 
 WIDTH, ROUNDS = 50, 9
 #: An anchor that so many runs of windows have is not gathered in one task.
@@ -129,7 +129,11 @@ def anchor_runs(docs: DataFrame, width: int) -> DataFrame:
 
 
 def named_windows(docs: DataFrame, width: int) -> DataFrame:
-    """For each run of a document's list: its windows' hashes, packed. docs: __id, __k, text, runs."""
+    """For each run of a document's list: its windows' hashes, packed. docs: __id, __k, text, runs.
+
+    A run that a document of the same batch with a smaller id has too is repeated as a whole and goes
+    on without hashes, so a family of like documents sends a run once a batch.
+    """
 
     def work(batches):
         for batch, texts in by_bytes(batches):
@@ -144,9 +148,16 @@ def named_windows(docs: DataFrame, width: int) -> DataFrame:
             raw = mix(prefix.span(start, start + width)).tobytes()
             end = np.cumsum(n.astype(np.int64)) * 8
             take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("__id").take(take), batch.column("__k").take(take), pa.array(at), pa.array(hot), pa.array([raw[e - 8 * m : e] for e, m in zip(end.tolist(), n.tolist(), strict=True)], pa.binary())], names=["key", "__id", "__k", "first", "hot", "hashes"])
+            content = [raw[e - 8 * m : e] for e, m in zip(end.tolist(), n.tolist(), strict=True)]
+            least: dict[tuple[int, bytes], int] = {}
+            ids = batch.column("__id").to_numpy()[owner].tolist()
+            for i, x in zip(ids, zip(key.tolist(), content, strict=True), strict=True):
+                if i < least.get(x, 1 << 63):
+                    least[x] = i
+            kept = [x if least[k, x] == i else None for i, k, x in zip(ids, key.tolist(), content, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("__id").take(take), batch.column("__k").take(take), pa.array(at), pa.array(n), pa.array(hot), pa.array(kept, pa.binary())], names=["key", "__id", "__k", "first", "n", "hot", "hashes"])
 
-    return docs.mapInArrow(work, "key long, __id long, __k long, first int, hot boolean, hashes binary")
+    return docs.mapInArrow(work, "key long, __id long, __k long, first int, n int, hot boolean, hashes binary")
 
 
 SPAN = "__k long, first int, last int"
@@ -183,8 +194,8 @@ def hot_repeated(hot: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("__id").take(take), batch.column("__k").take(take), pa.array(spread(batch.column("first").to_numpy().astype(np.int64), n).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["key", "__id", "__k", "first", "name"])
 
     each = hot.mapInArrow(unpack, "key long, __id long, __k long, first int, name long")
-    least = each.groupBy("key", "name").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most")
-    return each.join(least.drop("most"), ["key", "name"]).where("__id > least").select("__k", "first", F.col("first").alias("last"))
+    least = written(each.groupBy("key", "name").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").drop("most"))
+    return each.join(least, ["key", "name"]).where("__id > least").select("__k", "first", F.col("first").alias("last"))
 
 
 def repeats(table: DataFrame, parts: int, width: int, hot: int = HOT) -> DataFrame:
@@ -192,10 +203,12 @@ def repeats(table: DataFrame, parts: int, width: int, hot: int = HOT) -> DataFra
     source = table.where("not __copy")
     runs = written(anchor_runs(source, width))
     shared = runs.groupBy("key").agg(F.min("__id").alias("low"), F.max("__id").alias("high"), F.count("*").alias("c")).where("low < high").select("key", (F.col("c") > hot).alias("hot"))
+    shared = written(shared)  # a plain table on one side lets the join of runs split a frequent key
     lists = runs.join(shared, "key").groupBy("__k").agg(F.collect_list(F.struct("key", "first", "n", "hot")).alias("runs"))
     found = written(named_windows(source.select("__id", "__k", "text").join(lists.hint("shuffle_hash"), "__k"), width))
-    cold = found.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("bucket").applyInArrow(repeated, SPAN)
-    spans = cold.unionByName(hot_repeated(found.where("hot")))
+    whole = found.where("hashes is null").select("__k", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    cold = found.where("hashes is not null and not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets(table.sparkSession, parts)))).groupBy("bucket").applyInArrow(repeated, SPAN)
+    spans = cold.unionByName(hot_repeated(found.where("hashes is not null and hot"))).unionByName(whole)
     return spans.groupBy("__k").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
 
 
