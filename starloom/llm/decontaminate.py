@@ -12,7 +12,7 @@ a null item_id marks words and is in no item list; an empty benchmark hits nothi
 columns are ignored.
 
 Scale: documents are scanned in place, without a shuffle. The benchmark goes to the tasks whole
-if its texts are under BLOCK_BYTES; a larger one goes in blocks of that size, one scan each.
+if its texts are under BLOCK_BYTES; a larger one goes in blocks of that size, one after another over the same rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, by_bytes, keyed, mix, packed, per_item, spread, text_key, word_bounds, word_hashes
+from .common import U64, Prefix, by_bytes, keyed, mix, packed, spread, word_bounds, word_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -143,6 +143,7 @@ class Searcher:
 
 
 RESULT = "id long, k1 long, k2 long, n_words long, n_hit long, spans array<struct<first:long,last:long>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def summed(spans: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
@@ -156,52 +157,56 @@ def summed(spans: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
     return sum(e - s for s, e in merged), merged
 
 
-def rows(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
-    span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+def rows(batch: pa.RecordBatch, results: list, carried: list[str]) -> pa.RecordBatch:
     covered = [summed(s) for _, s, _ in results]
     return pa.RecordBatch.from_arrays(
-        [*(batch.column(c) for c in ("id", "k1", "k2")), pa.array([n for n, _, _ in results], pa.int64()), pa.array([n for n, _ in covered], pa.int64()), pa.array([[{"first": a, "last": b} for a, b in s] for _, s in covered], span), pa.array([i for _, _, i in results], pa.list_(pa.string()))],
-        names=["id", "k1", "k2", "n_words", "n_hit", "spans", "items"],
+        [*(batch.column(c) for c in carried), pa.array([n for n, _, _ in results], pa.int64()), pa.array([n for n, _ in covered], pa.int64()), pa.array([[{"first": a, "last": b} for a, b in s] for _, s in covered], _SPANS), pa.array([i for _, _, i in results], pa.list_(pa.string()))],
+        names=[*carried, "n_words", "n_hit", "spans", "items"],
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of documents: id, k1, k2 (key of the text), n_words, n_hit, spans of hit words, items that occur."""
+def searchers(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcasts of the benchmark's items, each about block_bytes at most; blocks are drawn by a hash of id and text, so equal texts are spread too."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0)
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    sc, source = docs.sparkSession.sparkContext, keyed(docs)
-    parts = []
-    for b in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        shared = sc.broadcast([(r[0], r[1].encode()) for r in some.collect()])  # at most about block_bytes
+    sc = docs.sparkSession.sparkContext
+    part = lambda b: items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+    return [sc.broadcast([(r[0], r[1].encode()) for r in part(b).collect()]) for b in range(blocks)]
 
-        def work(batches, shared=shared):
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of documents: id, k1, k2 (key of the text), n_words, n_hit, spans of hit words, items that occur. Blocks follow each other over the same rows; nothing is shuffled."""
+    found, carried = keyed(docs), ["id", "text", "k1", "k2"]
+    parts = searchers(docs, benchmark, window, block_bytes)
+    for b, shared in enumerate(parts):
+
+        def work(batches, shared=shared, first=b == 0, kept=[c for c in carried if c != "text" or b + 1 < len(parts)]):  # noqa: B006
             searcher = Searcher(shared.value, window)
             for batch, texts in by_bytes(batches):
-                yield rows(batch, searcher.scan(texts))
+                results = searcher.scan(texts)
+                if not first:
+                    before = zip(*(batch.column(c).to_pylist() for c in ("spans", "items")), strict=True)
+                    results = [(n, [*((x["first"], x["last"]) for x in s), *more], sorted({*i, *others})) for (n, more, others), (s, i) in zip(results, before, strict=True)]
+                yield rows(batch, results, kept)
 
-        parts.append(source.mapInArrow(work, RESULT))
-    if blocks == 1:
-        return parts[0]
+        found = found.mapInArrow(work, RESULT if b + 1 == len(parts) else RESULT.replace("id long", "id long, text string", 1))
+    return found
 
-    def join(batches):
-        for batch in batches:
-            yield rows(batch, [(n, [(x["first"], x["last"]) for x in s], sorted(set(i))) for n, s, i in zip(*(batch.column(c).to_pylist() for c in ("n_words", "spans", "items")), strict=True)])
 
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    whole = every.groupBy("id", "k1", "k2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("n"))  # the rows of one text: blocks, and repeats of the row
-    return whole.withColumn("one", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int")))).mapInArrow(join, RESULT)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without those that hold a benchmark window; columns unchanged. Dropped where they are scanned, without a shuffle."""
+    found = docs.withColumn("text", F.col("text").cast("string"))
+    schema = found.schema
+    for shared in searchers(docs, benchmark, window, block_bytes):
 
+        def work(batches, shared=shared):
+            searcher = Searcher(shared.value, window)
+            for batch, texts in by_bytes(batches):
+                yield batch.filter(pa.array([not spans for _, spans, _ in searcher.scan(texts)], pa.bool_()))
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without those that hold a benchmark window; columns unchanged."""
-    found = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    a, b = text_key()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (a == F.col("__k1")) & (b == F.col("__k2"))
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+        found = found.mapInArrow(work, schema)
+    return found
 
 
 def digest(items: list[str]) -> str:
