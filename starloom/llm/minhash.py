@@ -209,7 +209,7 @@ def linked(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
 
 
 #: Nodes of a family that one task compares: so many outside the largest component, with so many of all.
-ASKED, HELD = 1024, 4096
+ASKED, HELD = 128, 384
 
 
 def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,9 +254,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return rows.select("id", "k1", "k2", "n", "node").join(found, "node", "left").select("id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+#: Up to so many rows of three numbers the rows to drop go to where the texts are; above it texts move.
+FEW_GONE = 300_000
+
+
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those whose group has a smaller id; of rows that repeat an id and a text all stay. Columns unchanged."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    gone = written(near_duplicates(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())
+    few = gone.count() <= FEW_GONE
     a, b = text_key()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (a == F.col("__k1")) & (b == F.col("__k2"))
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left_anti")
