@@ -40,6 +40,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ).select("id", "text", *(k.alias(c) for k, c in zip(text_key(), ("k1", "k2"), strict=True)))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns named by their places, and the new name of each; for batches whose columns may be called anything."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def splits(df: DataFrame, bytes_col: str, target: int = 12 << 20, least: int = 12) -> int:
     """How many partitions give each about `target` bytes of the column; one cheap pass over it."""
     total = df.agg(F.sum(F.octet_length(bytes_col).cast("long"))).first()[0] or 0

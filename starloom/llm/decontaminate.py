@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, by_bytes, keyed, mix, packed, spread, word_bounds, word_hashes
+from .common import U64, Prefix, by_bytes, keyed, mix, numbered, packed, spread, word_bounds, word_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -196,17 +196,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without those that hold a benchmark window; columns unchanged. Dropped where they are scanned, without a shuffle."""
-    found = docs.withColumn("text", F.col("text").cast("string"))
-    schema = found.schema
+    found, names = numbered(docs.withColumn("text", F.col("text").cast("string")))
+    schema, text = found.schema, names["text"]
     for shared in searchers(docs, benchmark, window, block_bytes):
 
         def work(batches, shared=shared):
             searcher = Searcher(shared.value, window)
-            for batch, texts in by_bytes(batches):
+            for batch, texts in by_bytes(batches, text):
                 yield batch.filter(pa.array([not spans for _, spans, _ in searcher.scan(texts)], pa.bool_()))
 
         found = found.mapInArrow(work, schema)
-    return found
+    return found.toDF(*docs.columns)
 
 
 def digest(items: list[str]) -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, per_item
+from .common import chunks, held_out, numbered, per_item
 
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_SYMBOLS = 48, 20_000, 20_000
 SIGMA, SEGMENT = 64, 512
@@ -244,16 +244,17 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     from pyspark.sql.types import StringType
 
     model = model or fit(docs)
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    source, names = numbered(docs.withColumn("text", F.col("text").cast("string")).withColumn("lang", F.col("lang").cast(StringType())))
+    text, lang, every = names["text"], names["lang"], [*names.values()]
 
     def work(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             for i, j in chunks([len(x or "") for x in texts], 1 << 20):
                 pred, _ = predict(shared.value, texts[i:j])
                 part = batch.slice(i, j - i)
-                columns = [pa.array(pred, pa.string()) if c == "lang" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+                columns = [pa.array(pred, pa.string()) if c == lang else part.column(c) for c in every]
+                yield pa.RecordBatch.from_arrays(columns, names=every).filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
 
-    source = docs.withColumn("text", F.col("text").cast("string")).withColumn("lang", F.col("lang").cast(StringType()))
-    return source.mapInArrow(work, source.schema)
+    return source.mapInArrow(work, source.schema).toDF(*docs.columns)

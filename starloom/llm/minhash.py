@@ -262,6 +262,6 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """The documents without those whose group has a smaller id; of rows that repeat an id and a text all stay. Columns unchanged."""
     gone = written(near_duplicates(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())
     few = gone.count() <= FEW_GONE
-    a, b = text_key()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (a == F.col("__k1")) & (b == F.col("__k2"))
+    a, b = text_key(docs["text"])
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (a == gone["__k1"]) & (b == gone["__k2"])
     return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left_anti")

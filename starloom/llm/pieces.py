@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordTable, by_bytes, spread
+from .common import U64, WordTable, by_bytes, numbered, spread
 
 MARK = "▁"
 _SPACE = np.zeros(256, bool)
@@ -294,20 +294,21 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """The documents with `ids` array<int> and n_ids, in place of `text`; scans in place, no shuffle."""
-    columns = [c for c in docs.columns if c not in ("text", "ids", "n_ids")]
+    """The documents with `ids` array<int> and n_ids, in place of `text` (and of columns of these two names, if there are any); scans in place, no shuffle."""
+    kept = [c for c in docs.columns if c not in ("text", "ids", "n_ids")]
+    source, names = numbered(docs.withColumn("text", F.col("text").cast("string")))
+    columns, text = [names[c] for c in kept], names["text"]
 
     def work(batches):
         encoder = Encoder.kept(path)
-        for batch, texts in by_bytes(batches):
+        for batch, texts in by_bytes(batches, text):
             ids = encoder.encode(texts)
             count = np.array([len(x) for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))), pa.array(count)], names=[*columns, "ids", "n_ids"])
 
-    source = docs.withColumn("text", F.col("text").cast("string"))
     schema = source.select(*columns, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("long").alias("n_ids")).schema
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(work, schema).toDF(*kept, "ids", "n_ids")
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

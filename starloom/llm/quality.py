@@ -110,10 +110,11 @@ class Trees:
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
         rows = np.arange(len(x))
-        inner = (1 << DEPTH) - 1
+        depth = self.leaf.shape[1].bit_length() - 1
+        inner = (1 << depth) - 1
         for f, t, v in zip(self.feature, self.threshold, self.leaf, strict=True):
             node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
+            for _ in range(depth):
                 node = 2 * node + 1 + (x[rows, f[node]] > t[node])
             total += v[node - inner]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))

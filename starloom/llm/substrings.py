@@ -25,12 +25,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, Prefix, by_bytes, mix, packed, spread, word_bounds, word_hashes, written
-from .repeats import ADDED, buckets, covered, first_and_last, prepared
+from .repeats import buckets, covered, first_and_last, prepared
 
 WIDTH, ROUNDS = 50, 9
 #: An anchor that so many runs of windows have is not gathered in one task.
@@ -217,17 +217,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT, parts:
 
     kept_sha256: of the kept words joined by one space. Columns of these three names are replaced.
     """
-    found = _cut(docs, width, hot, parts)
-    for name in ("n_words", "n_removed", "kept_sha256"):
-        found = found.drop(name).withColumnRenamed(f"__{name}", name)
-    return found
+    made = ("n_words", "n_removed", "kept_sha256")
+    return _cut(docs, width, hot, parts).select(*(_column(c) for c in docs.columns if c not in made), *made)
+
+
+def _column(name: str) -> Column:
+    """A column of the documents as `_cut` has it: whatever their names are, they cannot clash."""
+    return F.col("text") if name == "text" else F.col("row")[name].alias(name)
 
 
 def _cut(docs: DataFrame, width: int, hot: int, parts: int | None) -> DataFrame:
-    columns = [*docs.columns]
-    table, parts = prepared(docs, parts)
-    joined = table.join(repeats(table, parts, width, hot).hint("shuffle_hash"), "__k", "left").drop("__k", "__id")
-    schema = T.StructType([*(f for f in table.schema if f.name not in ADDED), T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept_sha256", T.StringType())])
+    """row (the other columns as they are), text, n_words, n_removed, kept_sha256."""
+    row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text")).alias("row")
+    table, parts = prepared(docs.select(row, "doc_id", "text"), parts)
+    joined = table.join(repeats(table, parts, width, hot).hint("shuffle_hash"), "__k", "left").select("row", "text", "__copy", "__spans")
+    schema = T.StructType([table.schema["row"], table.schema["text"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def cut(batches):
         for batch, texts in by_bytes(batches):
@@ -245,8 +249,7 @@ def _cut(docs: DataFrame, width: int, hot: int, parts: int | None) -> DataFrame:
                     words = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                 n_removed.append(gone)
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            made = {"text": pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(made.get(c, batch.column(c)) for c in columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=[*columns, "__n_words", "__n_removed", "__kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
 
@@ -265,8 +268,8 @@ def kept_text(text: bytes, mask: np.ndarray) -> str:
 
 def shortened(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents with repeated passages cut out; those that lose all their words go. n_chars follows the text."""
-    found = _cut(docs, width, HOT, None).where("__n_removed = 0 or __n_removed < __n_words")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    found = _cut(docs, width, HOT, None).where("n_removed = 0 or n_removed < n_words")
+    columns = {c: _column(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"]).alias("n_chars")
+    return found.select(*columns.values())
