@@ -85,30 +85,6 @@ def test_named_customers_are_found(spark):
     assert r[0] > 0 and r[1] > 0
 
 
-def labelled(spark, texts):
-    return spark.createDataFrame([(i, x, lang) for i, (x, lang) in enumerate(texts)], "doc_id long, text string, lang string")
-
-
-def test_language_of_long_documents_is_learnt(spark):
-    from starloom.llm.langid import languages
-
-    d = labelled(spark, [(f"alpha beta gamma {i} " * 1500, "long") for i in range(40)] + [(f"one two three {i} four", "short") for i in range(40)])
-    assert {(r.lang, r.lang_pred) for r in languages(d).join(d.select("doc_id", "lang"), "doc_id").select("lang", "lang_pred").distinct().collect()} == {("long", "long"), ("short", "short")}
-
-
-def test_languages_of_many_letters_stay_apart():
-    import random
-
-    from starloom.llm.langid import predict, train
-
-    rng = random.Random(5)
-    text = lambda first, n: "".join(chr(first + rng.randrange(600)) for _ in range(n))
-    scripts = {"a": 0x4E00, "b": 0x5E00, "c": 0x6E00, "d": 0xAC00}
-    model = train({k: [text(v, 5000)] for k, v in scripts.items()})
-    asked = [(k, text(v, 200)) for k, v in scripts.items() for _ in range(20)]
-    assert predict(model, [x for _, x in asked])[0] == [k for k, _ in asked]
-
-
 def test_interpolation_guard(spark):
     names = ("nearest", "bilinear", "bicubic", "lanczos", "Nearest", "linear", None)
     assert spark.range(1).select(*(guards.is_interpolation(F.lit(x).cast("string")).alias(str(i)) for i, x in enumerate(names))).first()[:] == (True,) * 4 + (False,) * 3
