@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, written  # noqa: F401
+from ..session import discard, shared_dir, written  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; arrays of 8 bytes a byte follow from it.

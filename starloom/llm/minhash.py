@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_bytes, keyed, mix, packed, spread, text_key, word_bounds, word_hashes, written
+from .common import U64, by_bytes, discard, keyed, mix, packed, spread, text_key, word_bounds, word_hashes, written
 
 PERMUTATIONS, ROWS = 64, 4
 _MULTIPLY = (mix(np.arange(1, PERMUTATIONS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -147,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u")
-        e = written(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        last, e = e, written(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        discard(last)
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
@@ -248,6 +249,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     apart = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("low")).where("r0 < r1").select("key", "low")
     links.append(written(family_links(labelled.join(apart, "key"), sets, percent)))
     roots = components(reduce(DataFrame.unionByName, links))
+    discard(buckets, sets, labelled, *links)
     classes = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = classes.join(named, "root").select("node", "component_id")

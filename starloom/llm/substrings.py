@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Prefix, by_bytes, mix, packed, spread, word_bounds, word_hashes, written
+from .common import U64, Prefix, by_bytes, discard, mix, packed, spread, word_bounds, word_hashes, written
 from .repeats import buckets, covered, first_and_last, prepared
 
 WIDTH, ROUNDS = 50, 9
@@ -206,6 +206,7 @@ def repeats(table: DataFrame, parts: int, width: int, hot: int = HOT) -> DataFra
     shared = written(shared)  # a plain table on one side lets the join of runs split a frequent key
     lists = runs.join(shared, "key").groupBy("__k").agg(F.collect_list(F.struct("key", "first", "n", "hot")).alias("runs"))
     found = written(named_windows(source.select("__id", "__k", "text").join(lists.hint("shuffle_hash"), "__k"), width))
+    discard(runs, shared)
     whole = found.where("hashes is null").select("__k", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     cold = found.where("hashes is not null and not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets(table.sparkSession, parts)))).groupBy("bucket").applyInArrow(repeated, SPAN)
     spans = cold.unionByName(hot_repeated(found.where("hashes is not null and hot"))).unionByName(whole)
