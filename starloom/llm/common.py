@@ -172,8 +172,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def same_words(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Byte by byte: whether each word of `data` is the one of the same length in `other`."""
-    same, x, y = np.ones(len(starts), bool), octets(data), octets(other)
+    """Byte by byte: whether each word of `data` is the one of the same length in `other`, which has room for eight bytes more."""
+    same, x, y = np.ones(len(starts), bool), octets(data), np.ndarray((len(other) - 7,), "<u8", other, strides=(1,))
     on, k = np.arange(len(starts)), 0
     while len(on) and k < LONG_WORD:
         same[on] &= (x[starts[on] + k] ^ y[others[on] + k]) & _FIRST[np.minimum(length[on] - k, 8)] == 0
@@ -192,6 +192,24 @@ def by_bytes(batches, text: str = "text"):
             yield batch.slice(i, j - i), texts[i:j]
 
 
+class Growing:
+    """An array that is only added to; its room doubles."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.size + len(more) + 8
+        if need > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(2 * need - self.size, self.room.dtype)])
+        self.room[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class WordTable:
     """Ids of distinct words, found by 64-bit hashes and confirmed by the words' bytes; `encode` gives packed 32-bit ids for a list of words.
 
@@ -204,27 +222,34 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.row = np.zeros(0, U64), np.zeros(0, np.int32)  # sorted; the place of each key's word in what follows
+        self.start, self.count, self.text_at, self.text_size = Growing(np.int64), Growing(np.int32), Growing(np.int64), Growing(np.int64)
+        self.packed, self.text = Growing(np.uint32), Growing(np.uint8)
         self.apart: dict[bytes, tuple[int, int]] = {}
 
+    @property
+    def ids(self) -> np.ndarray:
+        return self.packed.values
+
     def append(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Encodes and keeps the ids: where each word's start, and how many."""
         found = self.encode(words)
         count = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        start = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        start = self.packed.size + np.cumsum(count, dtype=np.int64) - count
+        self.packed.extend(np.frombuffer(b"".join(found), np.uint32))
         return start, count
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """keys: sorted, none of them known."""
         start, count = self.append(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        text_at = len(self.text) + np.cumsum(size) - size
-        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
+        text_at = self.text.size + np.cumsum(size) - size
+        row = np.arange(self.start.size, self.start.size + len(words), dtype=np.int32)
+        self.text.extend(np.frombuffer(b"".join(words), np.uint8))
+        for column, values in ((self.start, start), (self.count, count), (self.text_at, text_at), (self.text_size, size)):
+            column.extend(values)
         at = np.searchsorted(self.keys, keys)
-        new = ((self.keys, keys), (self.start, start), (self.count, count), (self.text_at, text_at), (self.text_size, size))
-        self.keys, self.start, self.count, self.text_at, self.text_size = (np.insert(x, at, y) for x, y in new)
+        self.keys, self.row = np.insert(self.keys, at, keys), np.insert(self.row, at, row)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word start in `ids`, and how many they are."""
@@ -234,9 +259,9 @@ class WordTable:
         fresh = np.ones(len(ranked), bool)
         fresh[1:] = ranked[1:] != ranked[:-1]
         unique, first = ranked[fresh], order[fresh]
-        raw = data.data
-        word = lambda i: bytes(raw[starts[i] : ends[i]])
-        if len(self.text) > self.most_bytes or len(self.apart) > self.most:
+        raw = data.tobytes()
+        words = lambda which: [raw[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        if self.text.size > self.most_bytes or len(self.apart) > self.most:
             self.clear()
         for again in (False, True):
             at = np.searchsorted(self.keys, unique)
@@ -248,19 +273,20 @@ class WordTable:
             if len(self.keys) + len(new) > self.most and not again:
                 self.clear()
                 new = np.arange(len(unique))
-            self.learn(unique[new], [word(i) for i in first[new].tolist()])
+            self.learn(unique[new], words(first[new]))
         slot = np.empty(len(hashes), np.int64)
-        slot[order] = at[np.cumsum(fresh) - 1]
-        start, count = self.start[slot], self.count[slot]
+        slot[order] = self.row[at][np.cumsum(fresh) - 1]
+        start, count = self.start.room[slot], self.count.room[slot]
         length = ends - starts
-        same = self.text_size[slot] == length
+        same = self.text_size.room[slot] == length
         i = np.flatnonzero(same)
-        same[i] = same_words(data, starts[i], self.text, self.text_at[slot[i]], length[i])
+        same[i] = same_words(data, starts[i], self.text.room, self.text_at.room[slot[i]], length[i])
         if not same.all():
-            other = np.flatnonzero(~same).tolist()
-            new = list({w for w in map(word, other) if w not in self.apart})
+            other = np.flatnonzero(~same)
+            alone = words(other)
+            new = list({w for w in alone if w not in self.apart})
             self.apart.update(zip(new, zip(*self.append(new), strict=True), strict=True))
-            start[other], count[other] = zip(*(self.apart[word(i)] for i in other), strict=True)
+            start[other], count[other] = zip(*(self.apart[w] for w in alone), strict=True)
         return start, count
 
     def flat(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
