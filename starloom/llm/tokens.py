@@ -150,6 +150,8 @@ KINDS = "kind string, key binary, doc_id long, k long, n_tokens long, names bina
 _KINDS = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("width", pa.int32())])
 #: Names that a task remembers so as not to send a chunk twice; after so many it forgets all, which costs only traffic.
 SEEN_NAMES = 500_000
+#: What a part of the store holds of the texts, and the least that a document counts for; so the recipes of a part, which a task holds for its Merkle root, are 200,000 at most.
+PART_BYTES, DOC_BYTES = 64 << 20, 320
 
 
 def packed_ids(ids: np.ndarray) -> tuple[bytes, int]:
@@ -197,27 +199,26 @@ def cut_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return source.mapInArrow(work, KINDS)
 
 
-def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the chunks of a partition, which holds every row of a name, the first of each name."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, name in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            keep.append(kind != "chunk" or name not in seen)
-            if kind == "chunk":
-                seen.add(name)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def store_parts(docs: DataFrame, least: int = 12) -> int:
+    """How many parts hold about PART_BYTES of text each, a document counting as DOC_BYTES at least."""
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(F.greatest(size, F.lit(DOC_BYTES)))).first()[0] or 0
+    return max(least, -(-total // PART_BYTES))
 
 
 def write_store(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encodes, cuts and writes chunks/, recipes/ and manifest/ below `folder`.
 
-    Ids are shuffled once, by chunk name, and written once. The recipes (36 bytes a chunk) are
-    then dealt by ranges of doc_id and each part is written in ascending order.
+    Ids are shuffled once, by chunk name, and written once; of equal names, which stand together
+    in the order of the files, the first stays. The recipes (36 bytes a chunk) are then dealt by
+    ranges of doc_id and each part is written in ascending order. The number of parts follows the
+    size of the texts.
     """
     spark = docs.sparkSession
-    parts = partitions or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut_documents(docs, path, end_id).repartition(parts, "key").mapInArrow(once, KINDS).write.partitionBy("kind").option("compression", "none").parquet(f"{folder}/raw")
+    parts = partitions or store_parts(docs)
+    nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("width"))
+    pieces = cut_documents(docs, path, end_id).repartition(parts, "key").withColumn("nth", nth)
+    pieces.where("kind = 'recipe' or nth = 1").drop("nth").write.partitionBy("kind").option("compression", "none").parquet(f"{folder}/raw")
     raw = spark.read.schema("kind string, " + KINDS.split(", ", 1)[1]).parquet(f"{folder}/raw").where("kind = 'recipe'")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
