@@ -23,12 +23,21 @@ STOPS: dict[str, list[tuple[float, int, int, int]]] = {
 }
 
 
-def channel(t: Column, stops: list[tuple[float, int, int, int]], c: int) -> Column:
-    """One channel (1 red, 2 green, 3 blue) at t; null and NaN count as 0."""
-    t = F.when(t.isNull() | F.isnan(t), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+def within(t: Column) -> Column:
+    """t held to 0..1; null and NaN count as 0."""
+    return F.when(t.isNull() | F.isnan(t), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+
+
+def segment(t: Column, stops: list[tuple[float, int, int, int]]) -> Column:
+    """Number, from 1, of the segment between stops that holds t of 0..1; the channels share it."""
+    return reduce(lambda a, b: a + b, ((t > low[0]).cast("int") for low in stops[1:-1]), F.lit(1))
+
+
+def channel(t: Column, place: Column, stops: list[tuple[float, int, int, int]], c: int) -> Column:
+    """One channel (1 red, 2 green, 3 blue) at t of 0..1 in its segment."""
     segments = list(zip(stops[:-1], stops[1:], strict=True))
-    place = reduce(lambda a, b: a + b, ((t > low[0]).cast("int") for low, _ in segments[1:]), F.lit(1))  # segment of t; shared by the channels
-    pick = lambda values: F.lit(values[0]) if len(values) == 1 else F.element_at(F.array(*map(F.lit, values)), place)
+    listed = lambda values: F.expr(f"array({', '.join(f'{x!r}D' for x in values)})")
+    pick = lambda values: F.lit(values[0]) if len(values) == 1 else F.element_at(listed(values), place)
     start, width, base, rise = (pick(x) for x in zip(*((float(a[0]), float(b[0] - a[0]), float(a[c]), float(b[c] - a[c])) for a, b in segments), strict=True))
     return js_round(base + (t - start) / width * rise).cast("int")
 
@@ -36,7 +45,9 @@ def channel(t: Column, stops: list[tuple[float, int, int, int]], c: int) -> Colu
 def color(t: Column, name: str) -> Column:
     """struct(r, g, b, a) of a colour map, by name or given as stops."""
     stops = STOPS[name] if isinstance(name, str) else name
-    return F.struct(channel(t, stops, 1).alias("r"), channel(t, stops, 2).alias("g"), channel(t, stops, 3).alias("b"), F.lit(255).alias("a"))
+    t = within(t)
+    place = segment(t, stops)
+    return F.struct(*(channel(t, place, stops, k).alias(c) for k, c in enumerate("rgb", 1)), F.lit(255).alias("a"))
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
