@@ -69,4 +69,13 @@ r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id O
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
 """
 
-SQL = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op7_suffixes": OP7, "op8_warc": OP8, "op10_search": OP10}
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS p, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS q, CAST('0x' || x[17:24] AS BIGINT) % 100 AS a, CAST('0x' || x[25:32] AS BIGINT) % 100 AS b FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR a >= 90 THEN 'plain' WHEN b < 20 THEN 'spm' ELSE 'psm' END AS form, least(p, q) AS i, greatest(p, q) AS j FROM h),
+c AS (SELECT *, substr(t, 1, i) AS prefix, substr(t, i + 1, j - i) AS middle, substr(t, j + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+SQL = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op7_suffixes": OP7, "op8_warc": OP8, "op10_search": OP10, "op12_fim": OP12}

@@ -78,6 +78,14 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"), 10).withColumn("score", F.round("score", 6))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import filled_in_middle, restored
+
+    cut = filled_in_middle(documents(spark, sf_dir).select("doc_id", "text")).withColumn("restored", restored("output", "form"))
+    digests = (F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
     "op10_search": op10_search,
+    "op12_fim": op12_fim,
 }
 
 #: op1 and op9 need tokenizer libraries, op2 and op5 trained models; their tests use the libraries and held-out labels.
