@@ -78,4 +78,14 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN i EN
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
 """
 
-SQL = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op7_suffixes": OP7, "op8_warc": OP8, "op10_search": OP10, "op12_fim": OP12}
+_MARKS = r"'<\\*(?:s>|/s>)|\[\\*(?:INST\]|/INST\]|SYS\]|/SYS\]|ROLE\]|/ROLE\])'"
+OP13 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+t AS (SELECT conv_id, turn, role, text, length(text) + len(regexp_extract_all(text, {_MARKS})) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 13 ELSE 17 + length(role) + len(regexp_extract_all(role, {_MARKS})) END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
+"""
+
+SQL = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op7_suffixes": OP7, "op8_warc": OP8, "op10_search": OP10, "op12_fim": OP12, "op13_chat": OP13}
