@@ -69,6 +69,19 @@ r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id O
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
 """
 
+OP11 = rf"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+o AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+s AS (SELECT DISTINCT c.lang, x.p FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS p FROM (SELECT lang, a, w, m, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < len(w))) x JOIN c ON c.lang = x.lang AND c.p = x.p WHERE 100 * x.a >= 100 * c.a),
+u AS (SELECT lang, p, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, CAST(k AS BIGINT))) AS j FROM c ANTI JOIN s USING (lang, p))),
+v AS (SELECT u.lang, u.p AS phrase, a, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score, j FROM u JOIN f l ON l.lang = u.lang AND l.p = x JOIN f r ON r.lang = u.lang AND r.p = y JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
+
 OP12 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
 h AS (SELECT doc_id, t, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS p, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS q, CAST('0x' || x[17:24] AS BIGINT) % 100 AS a, CAST('0x' || x[25:32] AS BIGINT) % 100 AS b FROM d),
@@ -88,4 +101,4 @@ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
 CAST(sum(n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
 """
 
-SQL = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op7_suffixes": OP7, "op8_warc": OP8, "op10_search": OP10, "op12_fim": OP12, "op13_chat": OP13}
+SQL = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op6_minhash": OP6, "op7_suffixes": OP7, "op8_warc": OP8, "op10_search": OP10, "op11_phrases": OP11, "op12_fim": OP12, "op13_chat": OP13}

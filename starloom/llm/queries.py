@@ -78,6 +78,12 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"), 10).withColumn("score", F.round("score", 6))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(documents(spark, sf_dir), 5, 100, 100, 2000)
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fim import filled_in_middle, restored
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
     "op10_search": op10_search,
+    "op11_phrases": op11_phrases,
     "op12_fim": op12_fim,
     "op13_chat": op13_chat,
 }
