@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, by_bytes, discard, mix, packed, same_words, spread, word_bounds, word_hashes, written
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 FILTER_BYTES = 16 << 20
 #: Bits an entry and probes of the filter, and phrases in a batch that a shard gives.
 BITS, PROBES, BATCH = 16, 3, 1 << 16
