@@ -9,29 +9,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Shifts and masks that spread 16 bits to every other bit.
-SPREAD = [(8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)]
+#: Each byte with its bits on the even places of two bytes, and each byte's four even bits together.
+SPREAD = [sum((v >> i & 1) << 2 * i for i in range(8)) for v in range(256)]
+COMPACT = [sum((v >> 2 * i & 1) << i for i in range(4)) for v in range(256)]
 
 
 def nside(order: Column) -> Column:
     return F.pow(F.lit(2.0), order).cast("long")
 
 
+def _by_byte(table: list[int], v: Column, places: int, shift: int) -> Column:
+    """The entries of each byte of v, side by side; few uses of v, which may be a long expression."""
+    entries = F.lit(table)
+    part = lambda k: F.shiftleft(F.element_at(entries, F.shiftright(v, 8 * k).bitwiseAND(255).cast("int") + 1).cast("long"), shift * k)
+    out = part(0)
+    for k in range(1, places):
+        out = out.bitwiseOR(part(k))
+    return out
+
+
 def spread_bits(v: Column) -> Column:
-    x = v.cast("long").bitwiseAND(0xFFFF)
-    for shift, mask in SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(mask)
-    return x
+    """The low 16 bits on the even places."""
+    return _by_byte(SPREAD, v.cast("long"), 2, 16)
 
 
 def compact_bits(v: Column) -> Column:
-    x = v.cast("long").bitwiseAND(SPREAD[-1][1])
-    for shift, mask in [(1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)]:
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(mask)
-    return x
+    """The even bits of the low 32 together."""
+    return _by_byte(COMPACT, v.cast("long"), 4, 4)
 
 
 def interleave(x: Column, y: Column) -> Column:
@@ -71,6 +78,57 @@ def tile_index(ra: Column, dec: Column, n: Column, mode: str = "reference") -> C
     return (face * n * n + interleave(x, y)).cast("long")
 
 
+def _stepped(face: Column, x: Column, y: Column, n: Column) -> tuple[Column, Column, Column]:
+    """A cell whose x, or else y, is beyond its base cell, as seen from the base cell there; near a pole the axes turn on the way."""
+    row, column = F.floor(face / 4), face % 4
+    east, west = F.pmod(column + 1, F.lit(4)), F.pmod(column - 1, F.lit(4))
+    x_out = (x >= n) | (x < 0)
+    north_east, south_west, north_west, south_east = x >= n, x < 0, ~x_out & (y >= n), ~x_out & (y < 0)
+    moves = [
+        (row == 0, [(north_east, east, y, 2 * n - 1 - x), (south_west, column + 4, x + n, y), (north_west, west, 2 * n - 1 - y, x), (south_east, east + 4, x, y + n)]),
+        (row == 1, [(north_east, column, x - n, y), (south_west, west + 8, x + n, y), (north_west, west, x, y - n), (south_east, column + 8, x, y + n)]),
+        (row == 2, [(north_east, east + 4, x - n, y), (south_west, west + 8, y, -x - 1), (north_west, column + 4, x, y - n), (south_east, east + 8, -y - 1, x)]),
+    ]
+    out = [face, x, y]
+    for k in range(3):
+        value = out[k]
+        for of_row, steps in moves:
+            for when, *new in steps:
+                value = F.when(of_row & when, new[k]).otherwise(value)
+        out[k] = value
+    return out[0].cast("long"), out[1].cast("long"), out[2].cast("long")
+
+
+def surrounded(rows: DataFrame, pix: str, n: int, out: str) -> DataFrame:
+    """Each row once for its cell (mode "standard", n cells a face side) and once for every neighbour of it, which `out` names: nine rows, eight where three base cells meet. Across edges of base cells and poles too.
+
+    A place within RING of a cell's side of another is in the other's cell or one of its neighbours.
+    """
+    side, kept = F.lit(n).cast("long"), [F.col(f"`{c}`") for c in rows.columns if c != out]
+    steps = F.explode(F.array(*(F.struct(F.lit(dx).cast("long").alias("x"), F.lit(dy).cast("long").alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    face, x, y = face_xy(F.col(pix), side)
+    at = rows.withColumns({"__f": face.cast("long"), "__x": x, "__y": y}).select("*", steps.alias("__d"))
+    at = at.select(*kept, "__f", (F.col("__x") + F.col("__d.x")).alias("__x"), (F.col("__y") + F.col("__d.y")).alias("__y"), F.col("__d.x").alias("__dx"), F.col("__d.y").alias("__dy"))
+    # there is no cell across a corner of three base cells: north and south of one of the belt, east and west of the others
+    beyond = lambda c: (F.col(c) < 0) | (F.col(c) >= side)
+    at = at.where(~(beyond("__x") & beyond("__y") & ((F.floor(F.col("__f") / 4) == 1) == (F.col("__dx") == F.col("__dy")))))
+    for _ in range(2):  # one axis, then the other
+        f, x, y = _stepped(F.col("__f"), F.col("__x"), F.col("__y"), side)
+        at = at.withColumns({"__f2": f, "__x2": x, "__y2": y}).select(*kept, F.col("__f2").alias("__f"), F.col("__x2").alias("__x"), F.col("__y2").alias("__y"))
+    cell = (F.col("__f") * side * side + interleave(F.col("__x"), F.col("__y"))).cast("long")
+    # unfolded, so that what is asked of the result stays above it: pushed down it would copy all steps into itself
+    return at.select(*kept, F.explode(F.array(cell)).alias(out))
+
+
+#: Mean side of a base cell in degrees, and the part of a cell's side that is surely within its ring of neighbours (found to be 0.70).
+SIDE, RING = 58.6323, 0.6
+
+
+def order_for(radius: float, most: int = 15) -> int:
+    """The finest order at which places within the radius (degrees) are in one cell or in neighbours; -1 if there is none."""
+    return max((k for k in range(most + 1) if RING * SIDE / (1 << k) >= radius), default=-1)
+
+
 def tile_url(order: Column, pix: Column, fmt: Column | str = "png", base: Column | str = "") -> Column:
     """base/Norder../Dir../Npix..; a trailing /properties or / of the base is dropped."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
