@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.coordtext import parse, trimmed
+from .names import NameIndex
 
 #: Filter bands.
 BANDS = [("u", 367, "#6251d6", "Ultraviolet (367 nm)"), ("g", 482, "#2ca84f", "Green (482 nm)"), ("r", 622, "#c4332e", "Red (622 nm)"), ("i", 754, "#d57e26", "Near-IR (754 nm)"), ("z", 869, "#a85f21", "Z-band (869 nm)"), ("y", 971, "#8a4f1e", "Y-band (971 nm)")]
 #: Surveys that can be laid over.
 SURVEYS = [("gaia-dr3", "Gaia DR3", "Optical (G band)"), ("dss2-color", "DSS2 Color", "Optical (BVR)"), ("2mass-j", "2MASS J", "Near-IR (1.25 µm)"), ("wise-color", "WISE Color", "Mid-IR (22 µm)"), ("panstarrs-dr1", "PanSTARRS DR1", "Optical (grizy)")]
+#: Catalogs that can be asked.
 CATALOGS = ("Object", "Source", "DiaObject", "DiaSource", "ForcedSource")
 
 
@@ -44,15 +46,25 @@ def lookup(objects: DataFrame, name: str) -> DataFrame:
     return objects.where((F.lower("id") == t) | F.contains(F.lower("name"), t)).orderBy("ord").limit(1)
 
 
-def resolve(texts: DataFrame, objects: DataFrame, mode: str = "lenient") -> DataFrame:
-    """texts: text, ...; objects: ord, id, name, ra, dec. The texts with ra, dec and error: the place of the object that `lookup` finds, else what `coordtext.parse` makes of it.
-
-    Blank texts name nothing. The objects are broadcast; each distinct text is compared once.
-    """
+def lookup_all(texts: DataFrame, objects: DataFrame, index: NameIndex | None = None) -> DataFrame:
+    """texts: text, ...; objects: ord, id, name, .... The texts with `ord` of the object that `lookup` finds for each, null if none; every distinct text is looked up once, by a q-gram index of the names."""
     t = F.lower(trimmed(F.col("text")))
-    named = objects.select("ord", F.lower("id").alias("__id"), F.lower("name").alias("__name"), F.struct("ra", "dec").alias("__place"))
-    words = texts.select("text").distinct().where(F.length(t) > 0)
-    found = words.join(F.broadcast(named), (F.col("__id") == t) | F.contains(F.col("__name"), t)).groupBy("text").agg(F.min_by("__place", "ord").alias("__place"))
+    found = (index or NameIndex.of(objects)).first_match(texts.select(t.alias("t")))
+    return texts.withColumn("__t", t).join(found.withColumnRenamed("t", "__t"), "__t", "left").drop("__t")
+
+
+def search_all(texts: DataFrame, objects: DataFrame, index: NameIndex | None = None) -> DataFrame:
+    """(text, ord) of every distinct text that is not blank and every object that `search` finds for it."""
+    asked = texts.where(F.length(trimmed(F.col("text"))) > 0).select("text").distinct().withColumn("__t", F.lower("text"))
+    found = (index or NameIndex.of(objects, ("id", "name", "description"))).matches(asked.select(F.col("__t").alias("t")))
+    return asked.join(found.withColumnRenamed("t", "__t"), "__t").select("text", "ord")
+
+
+def resolve(texts: DataFrame, objects: DataFrame, mode: str = "lenient") -> DataFrame:
+    """texts: text, ...; objects: ord, id, name, ra, dec. The texts with ra, dec and error: the place of the object that `lookup` finds, else what `coordtext.parse` makes of it. Blank texts name nothing."""
+    words = texts.where(F.length(trimmed(F.col("text"))) > 0).select("text").distinct()
+    place = objects.select("ord", F.struct("ra", "dec").alias("__place"))
+    found = lookup_all(words, objects).where("ord IS NOT NULL").join(place, "ord").select("text", "__place")
     p, place = parse(F.col("text"), mode), F.col("__place")
     ra, dec = (F.when(place.isNotNull(), place[k]).otherwise(p[k]).alias(k) for k in ("ra", "dec"))
     return texts.join(found, "text", "left").select(*texts.columns, ra, dec, F.when(place.isNull(), p["error"]).alias("error"))
