@@ -2,36 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import mjd_to_date
 from ..functions.stretch import js_round
+from .sequences import sliced
 
 BASE_MJD, SPACING, JITTER = 60_000, 25, 5.0
 
 
-def _order(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order)
+def neighbours(epochs: DataFrame, keys: list[str], item: str, order: list[str], slice_width: float | None = None) -> DataFrame:
+    """prev_item and next_item, without wrapping, clamped to the ends. slice_width: see `sequences.sliced`."""
+    s = sliced(epochs, keys, order, item, slice_width)
+    step = lambda c: F.when(F.col(c).isNull(), F.col(item)).otherwise(F.col(c)["item"])
+    return s.select(prev_item=step("__before"), next_item=step("__after"))
 
 
-def neighbours(epochs: DataFrame, keys: list[str], item: str, order: list[str]) -> DataFrame:
-    """prev_item and next_item, without wrapping, clamped to the ends."""
-    w = _order(keys, order)
-    return epochs.withColumn("prev_item", F.coalesce(F.lag(item).over(w), F.col(item))).withColumn("next_item", F.coalesce(F.lead(item).over(w), F.col(item)))
-
-
-def blink(epochs: DataFrame, keys: list[str], item: str, order: list[str]) -> DataFrame:
+def blink(epochs: DataFrame, keys: list[str], item: str, order: list[str], slice_width: float | None = None) -> DataFrame:
     """next_item, the last one going on to the first."""
-    w = _order(keys, order)
-    return epochs.withColumn("next_item", F.coalesce(F.lead(item).over(w), F.first(item).over(w)))
+    s = sliced(epochs, keys, order, item, slice_width)
+    return s.select(next_item=F.when(F.col("__after").isNull(), F.col("__leader")["item"]).otherwise(F.col("__after")["item"]))
 
 
-def counters(epochs: DataFrame, keys: list[str], order: list[str], shown: int = 5) -> DataFrame:
+def counters(epochs: DataFrame, keys: list[str], order: list[str], shown: int = 5, slice_width: float | None = None) -> DataFrame:
     """place, total, label "k / n", whether the row is among the first `shown`, and how many more there are."""
-    w, all_ = _order(keys, order), Window.partitionBy(*keys)
-    out = epochs.withColumn("place", F.row_number().over(w)).withColumn("total", F.count("*").over(all_))
-    return out.withColumn("label", F.concat_ws(" / ", F.col("place").cast("string"), F.col("total").cast("string"))).withColumn("is_shown", F.col("place") <= shown).withColumn("more", F.greatest(F.col("total") - shown, F.lit(0)))
+    s = sliced(epochs, keys, order, order[0], slice_width)
+    place, total = F.col("__place"), F.col("__total")
+    return s.select(place=place, total=total, label=F.concat_ws(" / ", place.cast("string"), total.cast("string")), is_shown=place <= shown, more=F.greatest(total - shown, F.lit(0)))
 
 
 def generated(spark: SparkSession, count: int = 30, seed: int | None = None) -> DataFrame:

@@ -130,12 +130,12 @@ ORDER = ["mjd", "event_id"]
 
 
 def epoch_neighbours(spark, sf_dir):
-    e = E.blink(E.neighbours(epochs(spark, sf_dir), ["object_id"], "event_id", ORDER).withColumnRenamed("next_item", "after"), ["object_id"], "event_id", ORDER)
+    e = E.blink(E.neighbours(epochs(spark, sf_dir), ["object_id"], "event_id", ORDER, 7.0).withColumnRenamed("next_item", "after"), ["object_id"], "event_id", ORDER, 7.0)
     return e.select("event_id", "prev_item", "after", F.col("next_item").alias("blink_to"))
 
 
 def epoch_counters(spark, sf_dir):
-    return E.counters(epochs(spark, sf_dir), ["object_id"], ORDER).select("event_id", "place", "total", "label", "is_shown", "more")
+    return E.counters(epochs(spark, sf_dir), ["object_id"], ORDER, slice_width=7.0).select("event_id", F.col("place").cast("int").alias("place"), "total", "label", "is_shown", "more")
 
 
 def epochs_generated(spark, sf_dir):
