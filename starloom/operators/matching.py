@@ -1,4 +1,4 @@
-"""Cone search and positional joins by declination zones."""
+"""Cone search, positional joins by sky tiles, joins by the latest time."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.tileindex import order_for, surrounded, tile_index
 
 
 def cone_search(catalog: DataFrame, ra0: float, dec0: float, radius_arcsec: float, key: str, limit: int = 1000, ra: str = "ra", dec: str = "dec") -> DataFrame:
@@ -16,25 +17,21 @@ def cone_search(catalog: DataFrame, ra0: float, dec0: float, radius_arcsec: floa
 
 
 def cross_match(left: DataFrame, right: DataFrame, radius_deg: float) -> DataFrame:
-    """All pairs within the radius. left: lid, ra, dec; right: rid, ra, dec. (lid, rid, dist)
+    """All pairs within the radius. left: lid, ra, dec; right: rid, ra, dec. (lid, rid, dist); rows without a place meet nothing.
 
-    Each right row goes to its zone and both neighbours, so the join is an equality on zones; cells
-    of right ascension, widened by 1/cos(dec) and with one key for the wrap, keep a zone from being one task.
+    A left row goes to its tile, a right row to its own and the eight around it, at the finest order
+    whose ring of neighbours holds the radius: an equality join with nine keys a row everywhere, at the poles as well.
+    Beyond 35 degrees a right row goes to all twelve base cells.
     """
-    zone = lambda d: F.floor((d + 90) / radius_deg).cast("long")
-    cell = max(radius_deg, 1e-9)
-    a = left.select("lid", F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), zone(F.col("dec")).alias("z"), F.floor(G.wrap(F.col("ra")) / cell).cast("long").alias("c"))
-    # the difference in right ascension of two places within the radius is at most asin(sin r / cos dec), the whole circle at a pole
-    edge = F.least(F.lit(90.0), F.abs(F.col("dec")) + radius_deg)
-    ratio = F.sin(F.radians(F.lit(radius_deg))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
-    reach = F.when(ratio >= 1, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))))
-    cells = int(360 / cell) + 1
-    width = F.least(F.lit(cells), F.ceil(reach / cell) + 1).cast("int")
-    middle = F.floor(G.wrap(F.col("ra")) / cell).cast("long")
-    b = right.select("rid", "ra", "dec", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dz"), width.alias("width"), middle.alias("middle"))
-    b = b.withColumn("c", F.explode(F.array_distinct(F.transform(F.sequence(-F.col("width"), F.col("width")), lambda k: F.pmod(F.col("middle") + k, F.lit(cells)).cast("long"))))).select("rid", F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), (zone(F.col("dec")) + F.col("dz")).alias("z"), "c")
+    order = order_for(radius_deg)
+    n = F.lit(1 << max(order, 0)).cast("long")
+    pix = tile_index(F.col("ra"), F.col("dec"), n, "standard")
+    there = F.col("ra").isNotNull() & F.col("dec").isNotNull()
+    a = left.where(there).select("lid", F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), pix.alias("pix"))
+    b = right.where(there).select("rid", F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), pix.alias("own"))
+    b = surrounded(b, "own", 1 << order, "pix") if order >= 0 else b.withColumn("pix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
     d = G.separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))
-    return a.join(b, ["z", "c"]).withColumn("dist", d).where(F.col("dist") <= radius_deg).select("lid", "rid", "dist")
+    return a.join(b, "pix").withColumn("dist", d).where(F.col("dist") <= radius_deg).select("lid", "rid", "dist")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, slice_width: float | None = None) -> DataFrame:
