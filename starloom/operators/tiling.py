@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.tileindex import tile_index
+from ..functions.tileindex import face_xy, tile_index
 
 
 def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
@@ -45,6 +45,51 @@ def tile_centers(spark: SparkSession, order: int, mode: str = "reference") -> Da
     return grid.select(pix.alias("pix"), "ra", "dec", distance.alias("d")).groupBy("pix").agg(F.min_by(F.struct("ra", "dec"), F.struct("d", "dec", "ra")).alias("c")).select(F.lit(order).alias("ord"), "pix", "c.ra", "c.dec")
 
 
+def _regions(face: Column, x: Column, y: Column, n: Column) -> Column:
+    """Where on the sky (mode "reference") places of a tile can be: an array of structs (low, high: declination; west, east: right ascension), a little too wide. At most one in the belt and one in a cap."""
+    span = lambda low, high, west, east: F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"), west.cast("double").alias("west"), east.cast("double").alias("east"))
+    dec = lambda z: F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))))
+    # belt: the tile lies between two rising and two falling lines, of which the faces 0, 4, 5 and 8 have these
+    up = F.when(face.isin(0, 4), 0).when(face.isin(5, 8), 1) * n + (n - 1 - y)
+    down = F.when(face.isin(4, 8), 0).when(face.isin(0, 5), 1) * n + x
+    turn = lambda d: 360 * ((up + down + d) / (2 * n) - 0.5)
+    belt = F.when(up.isNotNull(), span(dec((down - up - 1) / (1.5 * n)), dec((down - up + 1) / (1.5 * n)), turn(0), turn(2)))
+    # caps: `near` rings from the pole, a part of the quarter
+    north = face < 4
+    a, b = F.when(north, n - 1 - y).otherwise(x), F.when(north, n - 1 - x).otherwise(y)
+    near, far = a + b, F.least(a + b + 2, n)
+    z = lambda reach: 1 - reach * reach / (3.0 * n * n)
+    quarter = 90 * (face % 4)
+    west, east = quarter + 90 * F.least(F.lit(1.0), a / F.greatest(far, F.lit(1))), quarter + F.when(near > 0, 90 * F.least(F.lit(1.0), (a + 1) / near)).otherwise(90)
+    cap = F.when(~face.isin(4, 5, 6, 7) & (near <= n), F.when(north, span(dec(z(far)), dec(z(near)), west, east)).otherwise(span(-dec(z(near)), -dec(z(far)), west, east)))
+    return F.array_compact(F.array(belt, cap))
+
+
+def centers_of(tiles: DataFrame) -> DataFrame:
+    """tiles: ord (0 to 13), pix, distinct. (ord, pix, ra, dec) of each by the rule of `tile_centers` (mode "reference"), (0, 0) if unreachable.
+
+    Only the grid's places about each tile are looked at: a few rows of some ten places, in the rings next to a pole
+    up to a fifth of the tiles of a side. Work grows with the tiles that are asked for, not with 4 ** ord.
+    """
+    n = F.pow(F.lit(2), F.col("ord")).cast("long")
+    step = F.lit(180.0) / n / 4
+    face, x, y = face_xy(F.col("pix"), F.col("n"))
+    cells = tiles.select("ord", "pix", n.alias("n"), step.alias("step")).withColumns({"face": face, "x": x, "y": y})
+    area = cells.select("ord", "pix", "n", "step", F.inline(_regions(F.col("face"), F.col("x"), F.col("y"), F.col("n"))))
+    row = F.sequence(F.greatest(F.lit(0), F.floor((F.col("low") + 90) / F.col("step")) - 1).cast("int"), F.least(4 * F.col("n"), F.ceil((F.col("high") + 90) / F.col("step")) + 1).cast("int"))
+    rows = area.withColumn("i", F.explode(row)).withColumn("dec", F.col("i") * F.col("step") - 90)
+    stride = F.col("step") / F.least(F.lit(1.0), F.abs(F.cos(F.radians("dec"))) + 0.1)
+    rows = rows.withColumn("stride", stride).withColumn("last", F.ceil(F.lit(360.0) / F.col("stride")).cast("int") - 1)
+    first = F.least(F.col("last"), F.greatest(F.lit(0), F.floor(F.col("west") / F.col("stride")).cast("int") - 1))
+    upto = F.greatest(first, F.least(F.col("last"), F.ceil(F.col("east") / F.col("stride")).cast("int") + 1))
+    place = F.transform(F.sequence(first, upto), lambda k: F.struct((k * F.col("stride")).alias("ra"), F.col("dec").alias("dec")))
+    places = rows.select("ord", "pix", "n", F.inline(place)).where("ra < 360")
+    distance = F.col("dec") * F.col("dec") + F.least(F.col("ra"), 360 - F.col("ra")) * 0.1
+    hit = places.where(tile_index(F.col("ra"), F.col("dec"), F.col("n")) == F.col("pix")).select("ord", "pix", "ra", "dec", distance.alias("d"))
+    nowhere = tiles.select("ord", "pix", F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit(float("inf")).alias("d"))
+    return hit.unionByName(nowhere).groupBy("ord", "pix").agg(F.min_by(F.struct("ra", "dec"), F.struct("d", "dec", "ra")).alias("c")).select("ord", "pix", "c.ra", "c.dec")
+
+
 def with_centers(tiles: DataFrame, centers: DataFrame) -> DataFrame:
     """Tiles with their centres; unreachable ones get (0, 0)."""
     return tiles.join(centers, ["ord", "pix"], "left").fillna(0.0, ["ra", "dec"])
