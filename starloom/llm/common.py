@@ -109,6 +109,13 @@ class Prefix:
             return (self.sums[k : k + n] - self.sums[:n]) * self.inverse[:n]
 
 
+def span_names(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of spans of symbols, from two polynomial hashes. The second is over mixed symbols, so what two symbols differ by in the first says nothing of it, and no order of them (Thue and Morse's, say) makes both vanish."""
+    out = mix(Prefix(symbols).span(start, end))
+    with np.errstate(over="ignore"):
+        return mix(out * U64(0x9FB21C651E98DF25) + mix(Prefix(mix(symbols ^ U64(0x5851F42D4C957F2D))).span(start, end)))
+
+
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Strings as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -157,16 +164,23 @@ def octets(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words. Eight bytes at a time go through a mixing bijection, so words of up to eight bytes collide by their lengths' share alone and no construction by powers of a base makes longer ones collide."""
+    """64-bit hashes of words. Words of up to eight bytes and one length never collide. Longer ones, eight bytes at a time, go through two states that take the bytes in differently, so no half of a word can be chosen to make up for the other."""
     length, eight = ends - starts, octets(data)
     out = mix(mix(length.astype(U64)) ^ (eight[starts] & _FIRST[np.minimum(length, 8)]))
-    more, k = np.flatnonzero(length > 8), 8
-    with np.errstate(over="ignore"):
-        while len(more) and k < LONG_WORD:
-            out[more] = mix(out[more] * U64(0x9FB21C651E98DF25) ^ (eight[starts[more] + k] & _FIRST[np.minimum(length[more] - k, 8)]))
-            k += 8
-            more = more[length[more] > k]
-    for i in more.tolist():
+    more = np.flatnonzero((length > 8) & (length <= LONG_WORD))
+    if len(more):
+        on, k = np.arange(len(more)), 8
+        one, two = out[more], mix(eight[starts[more]] * U64(0xC2B2AE3D27D4EB4F) + length[more].astype(U64))
+        with np.errstate(over="ignore"):
+            while len(on):
+                at = more[on]
+                block = eight[starts[at] + k] & _FIRST[np.minimum(length[at] - k, 8)]
+                one[on] = mix(one[on] * U64(0x9FB21C651E98DF25) ^ block)
+                two[on] = mix((two[on] ^ (two[on] >> U64(29))) + block * U64(0x9E3779B97F4A7C15))
+                k += 8
+                on = on[length[more[on]] > k]
+            out[more] = mix(one + mix(two) * U64(0x165667B19E3779F9))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
         out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(length[i]))
     return out
 

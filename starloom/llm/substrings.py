@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Prefix, by_bytes, discard, mix, packed, spread, word_bounds, word_hashes, written
+from .common import U64, by_bytes, discard, mix, packed, span_names, spread, word_bounds, word_hashes, written
 from .repeats import buckets, covered, first_and_last, prepared
 
 WIDTH, ROUNDS = 50, 9
@@ -138,14 +138,13 @@ def named_windows(docs: DataFrame, width: int) -> DataFrame:
     def work(batches):
         for batch, texts in by_bytes(batches):
             words, first = parsed(texts)
-            prefix = Prefix(words)
             runs = batch.column("runs")
             size = np.diff(runs.offsets.to_numpy())
             flat = runs.flatten()
             key, at, n, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             owner = np.repeat(np.arange(len(texts)), size)
             start = spread(at.astype(np.int64) + first[owner], n)
-            raw = mix(prefix.span(start, start + width)).tobytes()
+            raw = span_names(words, start, start + width).tobytes()
             end = np.cumsum(n.astype(np.int64)) * 8
             take = pa.array(owner)
             content = [raw[e - 8 * m : e] for e, m in zip(end.tolist(), n.tolist(), strict=True)]
