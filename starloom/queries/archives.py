@@ -10,7 +10,7 @@ from ..operators import epochs as E
 from ..operators import guards as V
 from ..plans import adql
 from ..session import shared_dir
-from ..sources import tap, tiles
+from ..sources import tap, tiles, tilestore
 from .shared import OBJ, objects, pixels, table
 
 #: Rows of one written answer.
@@ -32,6 +32,21 @@ def tap_json(spark, sf_dir):
     return tap.read_rows(spark, path)
 
 
+def tap_shapes(spark, sf_dir):
+    """An answer for each customer segment and nation; their field lists differ in names and types, and some have none: one frame of all."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), "c_acctbal", "c_name")
+    field = lambda name, kind: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("datatype"))
+    lists = [F.array(field("k", "int"), field("balance", "double")), F.array(field("k", "long"), field("name", "char")), F.array(field("k", "short"), field("balance", "float"), field("even", "boolean"))]
+    row = F.struct("k", F.when(F.col("n") % 4 != 1, F.col("c_acctbal")).alias("balance"), F.when(F.col("n") % 4 == 1, F.col("c_name")).alias("name"), F.when(F.col("n") % 4 == 2, F.col("k") % 2 == 0).alias("even"), F.when(F.col("n") % 4 == 3, F.struct(F.col("k").alias("x"), F.col("c_name").alias("y"))).alias("more"))
+    fields = F.when(F.col("n") % 4 == 0, F.to_json(lists[0])).when(F.col("n") % 4 == 1, F.to_json(lists[1])).when(F.col("n") % 4 == 2, F.to_json(lists[2]))
+    path = shared_dir(spark)
+    answers = c.groupBy("n", F.floor(F.col("k") / ANSWER).alias("part")).agg(F.to_json(F.collect_list(row)).alias("rows")).withColumn("fields", fields)
+    text = F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"metadata": {"fields": '), F.col("fields"), F.lit("}, ")), F.lit("")), F.when(F.col("part") % 2 == 0, '"data": ').otherwise('"rows": '), F.col("rows"), F.lit("}"))
+    answers.select("n", "part", text.alias("value")).repartition("n", "part").write.partitionBy("n", "part").text(path)
+    r = tap.read_rows(spark, path)
+    return r.select("k", F.round("balance", 2).alias("balance"), "name", "even", F.col("more.x").alias("more_x"), F.col("more.y").alias("more_y"))
+
+
 def tap_answers(spark, sf_dir):
     """Answers with rows, with `rows` in place of `data`, and with nothing: columns and row counts."""
     n = F.col("n_nationkey")
@@ -79,10 +94,11 @@ def tile_properties(spark, sf_dir):
 
 
 def tile_files(spark, sf_dir):
-    """A tile file for each nation below Norder / Dir folders, found and read by order and index."""
-    root = shared_dir(spark)
-    tiles.write_tiles(spark, root, [(r[0] % 4, r[0] * 5000, ("png", "jpg", "fits")[r[0] % 3], r[1].encode()) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()])  # 25 nations at every scale
-    return tiles.read_tiles(spark, root).select("ord", "pix", "format", "length", F.col("content").cast("string").alias("content"))
+    """A tile file for each customer below Norder / Dir folders, written by the tasks, then found and read by order and index."""
+    root, k = shared_dir(spark), F.col("c_custkey")
+    made = table(spark, sf_dir, "customer").select((k % 4).cast("int").alias("ord"), (k * 5).alias("pix"), F.element_at(F.array(*map(F.lit, ("png", "jpg", "fits"))), (k % 3 + 1).cast("int")).alias("format"), F.col("c_name").cast("binary").alias("content"))
+    tilestore.save_tiles(made, root)
+    return tilestore.load_tiles(spark, root).select("ord", "pix", "format", "length", F.col("content").cast("string").alias("content"))
 
 
 def pixel_sink(spark, sf_dir):
@@ -158,7 +174,7 @@ def guards_all(spark, sf_dir):
 
 
 QUERIES = {
-    "tap_json": tap_json, "tap_answers": tap_answers, "tap_csv": tap_csv, "tap_votable": tap_votable, "tap_raw": tap_raw, "tile_properties": tile_properties, "tile_files": tile_files, "pixel_sink": pixel_sink, "token_expiries": token_expiries,
+    "tap_json": tap_json, "tap_shapes": tap_shapes, "tap_answers": tap_answers, "tap_csv": tap_csv, "tap_votable": tap_votable, "tap_raw": tap_raw, "tile_properties": tile_properties, "tile_files": tile_files, "pixel_sink": pixel_sink, "token_expiries": token_expiries,
     "category_filter": category_filter, "band_toggles": band_toggles, "sync_limit": sync_limit, "async_limit": async_limit, "epochs_checked": epochs_checked, "guards_all": guards_all,
 }
 
@@ -172,12 +188,13 @@ _COUNTS = {
 }
 SQL = {
     "tap_json": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "tap_shapes": "SELECT c_custkey AS k, CASE WHEN c_nationkey % 4 <> 1 THEN round(c_acctbal, 2) END AS balance, CASE WHEN c_nationkey % 4 = 1 THEN c_name END AS name, CASE WHEN c_nationkey % 4 = 2 THEN c_custkey % 2 = 0 END AS even, CASE WHEN c_nationkey % 4 = 3 THEN c_custkey END AS more_x, CASE WHEN c_nationkey % 4 = 3 THEN c_name END AS more_y FROM customer",
     "tap_answers": f"SELECT {_N} AS k, CAST(CASE WHEN {_N} % 3 < 2 THEN {_N} % 4 + 1 ELSE 0 END AS INTEGER) AS row_count, CAST({_N} % 3 = 1 AS INTEGER) AS columns, CASE WHEN {_N} % 3 = 1 THEN 'a' END AS first_name, CASE WHEN {_N} % 3 = 1 THEN 'string' END AS first_type FROM nation",
     "tap_csv": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "tap_votable": "SELECT s_suppkey, s_name FROM supplier",
     "tap_raw": "SELECT n_name || ',x' AS raw, CAST(0 AS INTEGER) AS row_count FROM nation",
     "tile_properties": f"SELECT CASE WHEN {_N} % 2 = 0 THEN n_name ELSE 'ivo://' || n_name END AS title, CAST(CASE WHEN {_N} % 3 > 0 THEN {_N} % 14 ELSE 3 END AS INTEGER) AS hips_order, CASE WHEN {_N} % 5 = 0 THEN 'jpg' ELSE 'png' END AS tile_format, CASE WHEN {_N} % 7 = 0 THEN 'galactic' ELSE 'equatorial' END AS frame, CAST(CASE WHEN {_N} % 7 = 0 THEN 256 ELSE 512 END AS INTEGER) AS tile_width FROM nation",
-    "tile_files": f"SELECT CAST({_N} % 4 AS INTEGER) AS ord, CAST({_N} * 5000 AS BIGINT) AS pix, CASE {_N} % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'fits' END AS format, CAST(length(n_name) AS BIGINT) AS length, n_name AS content FROM nation",
+    "tile_files": "SELECT CAST(c_custkey % 4 AS INTEGER) AS ord, c_custkey * 5 AS pix, CASE c_custkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'fits' END AS format, CAST(length(c_name) AS BIGINT) AS length, c_name AS content FROM customer",
     "pixel_sink": "SELECT o_orderpriority AS image, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT) % 256) AS BIGINT) AS sum_r, CAST(sum(CAST(floor(o_totalprice) AS BIGINT) % 199) AS BIGINT) AS sum_g, CAST(sum(o_orderkey % 256) AS BIGINT) AS sum_b, CAST(255 * count(*) AS BIGINT) AS sum_a, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1",
     "token_expiries": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN CAST(c_custkey + 1700000000 AS DOUBLE) END AS expires FROM customer",
     "category_filter": f"WITH {OBJ} SELECT ord, id, category FROM obj WHERE category = (SELECT min(category) FROM obj)",

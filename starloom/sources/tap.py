@@ -24,13 +24,52 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", *(c.alias(k) for k, c in parse(F.col("value")).items()))
 
 
+#: Spark types of the datatypes that field lists name; all others are texts.
+KINDS = {"double": "double", "float": "float", "int": "int", "long": "long", "short": "short", "boolean": "boolean", "timestamp": "timestamp"}
+#: From narrow to wide: what two files call a field by different numeric types gets the wider one.
+NUMBERS = ["short", "int", "long", "float", "double"]
+
+
+def merged(kinds: Column) -> Column:
+    """One type for what files say of a field: the widest number (double if a float meets a long), or else text."""
+    place = F.transform(kinds, lambda k: F.array_position(F.array(*map(F.lit, NUMBERS)), k))
+    widest, whole = F.array_max(place), F.array_max(F.filter(place, lambda p: p <= 3))
+    number = F.when((widest == 4) & (whole == 3), "double").otherwise(F.element_at(F.array(*map(F.lit, NUMBERS)), F.greatest(widest, F.lit(1)).cast("int")))
+    return F.when(F.size(kinds) == 1, kinds[0]).when(F.array_min(place) > 0, number).otherwise("string")
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, columns, rows): the answers as variants, one row a file; what is no JSON object has neither columns nor rows."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    get = lambda place, kind: F.try_variant_get("v", place, kind)
+    fields = F.coalesce(get("$.metadata.fields", FIELDS), F.array().cast(FIELDS))
+    columns = F.transform(fields, lambda f: F.struct(F.coalesce(f["name"], f["ID"], F.lit("unknown")).alias("name"), F.coalesce(f["datatype"], F.lit("string")).alias("datatype"), f["unit"].alias("unit"), f["description"].alias("description")))
+    listed = "array<map<string,variant>>"
+    return files.select("file", columns.alias("columns"), F.coalesce(get("$.data", listed), get("$.rows", listed), F.array().cast(listed)).alias("rows"))
+
+
+def answer_fields(answers: DataFrame) -> DataFrame:
+    """(name, kind, unit, description, first) of all fields of all files: those of field lists first, then what only rows have, with the type that all its values fit."""
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("c.datatype")), F.lit("string"))
+    said = answers.select("file", F.posexplode("columns").alias("place", "c")).groupBy(F.col("c.name").alias("name")).agg(
+        merged(F.array_sort(F.collect_set(kind))).alias("kind"),
+        *(F.min_by(f"c.{x}", F.when(F.length(f"c.{x}") > 0, F.struct("file", "place"))).alias(x) for x in ("unit", "description")), F.min(F.struct(F.lit(0).alias("later"), F.col("file").alias("at"), F.col("place").cast("string").alias("name"))).alias("first"),
+    )
+    values = answers.select(F.explode("rows").alias("r")).select(F.explode("r").alias("name", "value"))
+    held = values.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).join(said, "name", "left_anti")
+    none = F.lit(None).cast("string")
+    return said.unionByName(held.select("name", F.when(F.col("kind") == "VOID", "string").otherwise(F.col("kind")).alias("kind"), none.alias("unit"), none.alias("description"), F.struct(F.lit(1).alias("later"), F.lit("").alias("at"), F.col("name")).alias("first")))
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of all files as a typed frame; units and descriptions go to the columns' metadata. Reads the first file's field list."""
-    head = read_json(spark, path).select("columns").first()
-    fields = head["columns"] if head else []
-    kinds = {"double": "double", "float": "float", "int": "int", "long": "long", "short": "short", "boolean": "boolean", "timestamp": "timestamp"}
-    rows = read_json(spark, path).select(F.explode("rows").alias("r"))
-    out = rows.select(*(F.col("r")[f["name"]].try_cast(kinds.get(f["datatype"], "string")).alias(f["name"]) for f in fields))
+    """The rows of all files as one typed frame, whatever fields each file has; units and descriptions go to the columns' metadata. A value that does not fit its column is null.
+
+    The fields of all files are gathered by Spark; only their list, a row for each, comes to the driver.
+    """
+    answers = read_answers(spark, path)
+    fields = answer_fields(answers).orderBy("first").collect()
+    rows = answers.select(F.explode("rows").alias("r"))
+    out = rows.select(*(F.try_variant_get(F.try_element_at("r", F.lit(f["name"])), "$", f["kind"].replace("OBJECT<", "STRUCT<")).alias(f["name"]) for f in fields))
     for f in fields:
         out = out.withMetadata(f["name"], {k: f[k] for k in ("unit", "description") if f[k]})
     return out

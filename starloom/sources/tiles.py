@@ -40,16 +40,6 @@ def read_tiles(spark: SparkSession, root: str, formats: tuple[str, ...] = ("png"
     return files.select(part(r"/Norder(\d+)/").cast("int").alias("ord"), part(r"/Npix(\d+)\.").cast("long").alias("pix"), part(r"\.(\w+)$").alias("format"), "length", "content").where(F.col("format").isin(*formats))
 
 
-def write_tiles(spark: SparkSession, root: str, tiles: list[tuple[int, int, str, bytes]]) -> None:
-    """Files (order, index, format, content) below a root, laid out as `read_tiles` finds them; for a handful of tiles in the driver's hand."""
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for order, pix, kind, content in tiles:
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/Norder{order}/Dir{pix // 10000 * 10000}/Npix{pix}.{kind}"))
-        out.write(bytearray(content))
-        out.close()
-
-
 def write_pixels(rgba: DataFrame, path: str) -> None:
     """Sink of coloured pixels, by image."""
     rgba.write.mode("overwrite").partitionBy("image").parquet(path)
