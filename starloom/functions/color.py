@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .stretch import js_round
@@ -50,6 +50,21 @@ def color(t: Column, name: str) -> Column:
     return F.struct(*(channel(t, place, stops, k).alias(c) for k, c in enumerate("rgb", 1)), F.lit(255).alias("a"))
 
 
+def stop_table(spark: SparkSession) -> DataFrame:
+    """(map, t, r, g, b): a row for each colour map, its stops as arrays."""
+    rows = [(name, *([float(x[0]) for x in stops], *([x[c] for x in stops] for c in (1, 2, 3)))) for name, stops in STOPS.items()]
+    return spark.createDataFrame(rows, "map string, t array<double>, r array<int>, g array<int>, b array<int>")
+
+
+def color_of(t: Column, stops: str, channels: tuple[str, ...] = ("r", "g", "b")) -> Column:
+    """struct(r, g, b, a) by the stops of the row, a column struct(t, r, g, b); one expression for all maps."""
+    t, at = within(t), F.col(f"{stops}.t")
+    place = F.size(F.filter(F.slice(at, 2, F.size(at) - 2), lambda x: x < t)) + 1
+    part = (t - F.element_at(at, place)) / (F.element_at(at, place + 1) - F.element_at(at, place))
+    one = lambda c: js_round(F.element_at(c, place) + part * (F.element_at(c, place + 1) - F.element_at(c, place))).cast("int")
+    return F.struct(*(one(F.col(f"{stops}.{c}")).alias(c) for c in channels), F.lit(255).alias("a"))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 

@@ -89,17 +89,18 @@ def with_dimension(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame
     return rows.join(F.broadcast(dimension), key, "left")
 
 
-def add_overlay(active: DataFrame, added: DataFrame) -> DataFrame:
-    return active.unionByName(added).dropDuplicates(["survey"])
+def add_overlay(active: DataFrame, added: DataFrame, keys: tuple[str, ...] = ("survey",)) -> DataFrame:
+    """Both, each overlay once; keys: what an overlay is told by, a view's for example by ("view", "survey")."""
+    return active.unionByName(added).dropDuplicates(list(keys))
 
 
-def remove_overlay(active: DataFrame, removed: DataFrame) -> DataFrame:
-    return active.join(removed, "survey", "left_anti")
+def remove_overlay(active: DataFrame, removed: DataFrame, keys: tuple[str, ...] = ("survey",)) -> DataFrame:
+    return active.join(removed, list(keys), "left_anti")
 
 
-def toggle(active: DataFrame, clicked: DataFrame) -> DataFrame:
+def toggle(active: DataFrame, clicked: DataFrame, keys: tuple[str, ...] = ("survey",)) -> DataFrame:
     """Symmetric difference: what is active is dropped, what is not is added."""
-    return active.join(clicked, "survey", "left_anti").unionByName(clicked.join(active, "survey", "left_anti").select(active.columns))
+    return active.join(clicked, list(keys), "left_anti").unionByName(clicked.join(active, list(keys), "left_anti").select(active.columns))
 
 
 def toggle_bands(views: DataFrame, clicks: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import mjd_to_date
 from ..functions.stretch import js_round
+from .ranks import nearest_rank
 from .sequences import sliced
 
 BASE_MJD, SPACING, JITTER = 60_000, 25, 5.0
@@ -32,11 +33,23 @@ def counters(epochs: DataFrame, keys: list[str], order: list[str], shown: int =
     return s.select(place=place, total=total, label=F.concat_ws(" / ", place.cast("string"), total.cast("string")), is_shown=place <= shown, more=F.greatest(total - shown, F.lit(0)))
 
 
+def _jittered(k: Column, seed: int | None) -> Column:
+    return js_round(BASE_MJD + k * SPACING + F.rand(seed) * JITTER - JITTER / 2, 2)
+
+
+def _band(k: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(b) for b in "gri")), (k % 3 + 1).cast("int"))
+
+
 def generated(spark: SparkSession, count: int = 30, seed: int | None = None) -> DataFrame:
     """(mjd, iso_date, band): about every 25 days, bands in turn."""
-    bands = F.array(*(F.lit(b) for b in "gri"))
-    mjd = js_round(BASE_MJD + F.col("id") * SPACING + F.rand(seed) * JITTER - JITTER / 2, 2)
-    return spark.range(count).select(mjd.alias("mjd"), F.element_at(bands, (F.col("id") % 3 + 1).cast("int")).alias("band")).withColumn("iso_date", mjd_to_date(F.col("mjd"))).select("mjd", "iso_date", "band").orderBy("mjd")
+    return spark.range(count).select(_jittered(F.col("id"), seed).alias("mjd"), _band(F.col("id")).alias("band")).withColumn("iso_date", mjd_to_date(F.col("mjd"))).select("mjd", "iso_date", "band").orderBy("mjd")
+
+
+def generated_for(objects: DataFrame, key: str, count: str, seed: int | None = None) -> DataFrame:
+    """The same for every object, as many epochs as `count` says: (key, k from 0, mjd, iso_date, band). The spacing exceeds the jitter, so k is the place by mjd as well."""
+    each = objects.where(F.col(count) > 0).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).alias("k"))
+    return each.withColumns({"mjd": _jittered(F.col("k"), seed), "band": _band(F.col("k"))}).select(key, "k", "mjd", mjd_to_date(F.col("mjd")).alias("iso_date"), "band")
 
 
 def light_curve_summary(points: DataFrame) -> DataFrame:
@@ -51,5 +64,10 @@ def composite(points: DataFrame, channels: dict[str, str]) -> DataFrame:
 
 
 def median_stack(images: DataFrame) -> DataFrame:
-    """Extension: per pixel the median over images. images: label, data array<double>."""
-    return images.select("label", F.posexplode("data").alias("idx", "v")).groupBy("label", "idx").agg(F.percentile("v", 0.5).alias("median"), F.count("*").alias("n"))
+    """Extension: per pixel the median over images, the mean of the two middle values of an even number. images: label, data array<double>.
+
+    The two middle ranks are picked by `nearest_rank`, so a stack of any number of images is spread over tasks.
+    """
+    cells = images.select("label", F.posexplode("data").alias("idx", "v"))
+    middle = nearest_rank(cells, ["label", "idx"], "v", {"low": (0.5, "gaps"), "high": (0.5, "items")})
+    return middle.select("label", "idx", ((F.col("low") + F.col("high")) / 2).alias("median"), "n")

@@ -148,13 +148,11 @@ def async_limit(spark, sf_dir):
 
 
 def epochs_checked(spark, sf_dir):
-    """What holds of generated epochs whatever the jitter: count, bands in turn, dates of the MJDs, distance from the even spacing."""
-    e = E.generated(spark, 30, 7)
+    """What holds of generated epochs whatever the jitter: their number, bands in turn, dates of the MJDs, distance from the even spacing, order."""
+    e = E.generated_for(table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n", 7)
     off = F.abs(F.col("mjd") - (E.BASE_MJD + F.col("k") * E.SPACING))
-    from pyspark.sql import Window
-
-    placed = e.withColumn("k", F.row_number().over(Window.orderBy("mjd")) - 1)  # 30 rows
-    return placed.select("k", "band", (off <= E.JITTER / 2 + 0.005).alias("near"), (F.col("iso_date") == dates.mjd_to_date(F.col("mjd")).cast("string")).alias("dated"))
+    good = (off <= E.JITTER / 2 + 0.005) & (F.col("iso_date") == dates.mjd_to_date(F.col("mjd")).cast("string"))
+    return e.groupBy("user_id", "band").agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.max_by("k", "mjd").alias("last"))
 
 
 def guards_all(spark, sf_dir):
@@ -201,6 +199,6 @@ SQL = {
     "band_toggles": f"WITH v AS (SELECT c_custkey AS view, CASE WHEN c_custkey % 3 > 0 THEN {_BAND('c_custkey')} END AS band, CASE WHEN c_custkey % 2 = 0 THEN {_BAND('c_custkey // 2')} END AS clicked FROM customer) SELECT view, CASE WHEN clicked IS NULL THEN band WHEN clicked IS DISTINCT FROM band THEN clicked END AS band FROM v",
     "sync_limit": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 10000",
     "async_limit": "SELECT count(*) AS n, max(l_orderkey) AS last FROM lineitem",
-    "epochs_checked": "SELECT CAST(range AS INTEGER) AS k, substr('gri', CAST(range % 3 + 1 AS BIGINT), 1) AS band, true AS near, true AS dated FROM range(30)",
+    "epochs_checked": "WITH o AS (SELECT user_id, count(*) AS c FROM events GROUP BY 1), k AS (SELECT user_id, unnest(range(c)) AS k FROM o) SELECT user_id, substr('gri', CAST(k % 3 + 1 AS BIGINT), 1) AS band, count(*) AS n, count(*) AS good, max(k) AS last FROM k GROUP BY 1, 2",
     "guards_all": f"SELECT p_partkey % 2 AS k, {', '.join(f'count(*) FILTER (WHERE {c}) AS {name}' for name, c in _COUNTS.items())} FROM part GROUP BY 1",
 }

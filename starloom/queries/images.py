@@ -102,15 +102,17 @@ def histogram_handles(spark, sf_dir):
 
 
 def color_bars(spark, sf_dir):
-    t = (F.col("i") / 255.0).alias("t")
-    bar = spark.range(256).select(F.col("id").cast("int").alias("i")).withColumn("t", t)
-    every = F.array(*(F.struct(F.lit(name).alias("map"), C.color(F.col("t"), name).alias("c")) for name in C.STOPS))
-    return bar.select("i", F.explode(every).alias("m")).select("m.map", "i", "m.c.r", "m.c.g", "m.c.b", "m.c.a")
+    """The entries of all colour bars that the orders' prices fall on, and how many do; the maps are a table of nine rows."""
+    i = F.floor(F.col("value") % 256).cast("int")
+    used = pixels(spark, sf_dir).groupBy(i.alias("i")).agg(F.count("*").alias("n"))
+    maps = C.stop_table(spark).select("map", F.struct("t", "r", "g", "b").alias("stops"))
+    every = used.withColumn("map", F.explode(F.array(*map(F.lit, C.STOPS)))).join(F.broadcast(maps), "map")
+    return every.select("map", "i", "n", C.color_of(F.col("i") / 255.0, "stops").alias("c")).select("map", "i", "c.r", "c.g", "c.b", "c.a", "n")
 
 
 def color_bars_sql() -> str:
-    one = lambda name: f"SELECT '{name}' AS map, CAST(i AS INTEGER) AS i, {channel_sql('t', name, 1)} AS r, {channel_sql('t', name, 2)} AS g, {channel_sql('t', name, 3)} AS b, 255 AS a FROM b"
-    return "WITH b AS (SELECT range AS i, range / 255e0 AS t FROM range(256)) " + " UNION ALL ".join(map(one, C.STOPS))
+    one = lambda name: f"SELECT '{name}' AS map, i, {channel_sql('t', name, 1)} AS r, {channel_sql('t', name, 2)} AS g, {channel_sql('t', name, 3)} AS b, 255 AS a, n FROM b"
+    return "WITH u AS (SELECT CAST(floor(o_totalprice % 256) AS INTEGER) AS i, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT i, n, i / 255e0 AS t FROM u) " + " UNION ALL ".join(map(one, C.STOPS))
 
 
 def luma_invert(spark, sf_dir):

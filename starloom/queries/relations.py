@@ -47,12 +47,16 @@ def band_dimension(spark, sf_dir):
 
 
 def overlay_sets(spark, sf_dir):
-    all_ = K.surveys(spark).select("survey")
-    active = all_.where("survey in ('gaia-dr3', '2mass-j')")
-    grown = K.add_overlay(active, all_.where("survey = 'wise-color'"))
-    less = K.remove_overlay(grown, all_.where("survey = 'gaia-dr3'"))
-    flipped = K.toggle(less, all_.where("survey in ('2mass-j', 'dss2-color')"))
-    return grown.select(F.lit("added").alias("step"), "survey").unionByName(less.select(F.lit("removed").alias("step"), "survey")).unionByName(flipped.select(F.lit("toggled").alias("step"), "survey"))
+    """Customers as views with two overlays each: one is added (or there already), one removed, two are toggled; views that then have each overlay."""
+    k = F.col("c_custkey")
+    survey = lambda i: F.element_at(F.array(*(F.lit(x[0]) for x in K.SURVEYS)), (i % 5 + 1).cast("int"))
+    of = lambda *places: table(spark, sf_dir, "customer").select(k.alias("view"), F.explode(F.array(*(survey(k + p) for p in places))).alias("survey"))
+    keys = ("view", "survey")
+    grown = K.add_overlay(of(0, 2), table(spark, sf_dir, "customer").select(k.alias("view"), survey(k * 2).alias("survey")), keys)
+    less = K.remove_overlay(grown, of(0), keys)
+    flipped = K.toggle(less, of(2, 3), keys)
+    count = lambda step, t: t.groupBy("survey").agg(F.count("*").alias("n"), F.sum("view").alias("views")).select(F.lit(step).alias("step"), "survey", "n", "views")
+    return count("added", grown).unionByName(count("removed", less)).unionByName(count("toggled", flipped))
 
 
 def semi_anti(spark, sf_dir):
@@ -139,7 +143,8 @@ def epoch_counters(spark, sf_dir):
 
 
 def epochs_generated(spark, sf_dir):
-    return E.generated(spark, 30, 7)
+    """For every object as many made-up epochs as it has observations."""
+    return E.generated_for(epochs(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("n")), "object_id", "n", 7)
 
 
 def mjd_dates(spark, sf_dir):
@@ -276,7 +281,7 @@ SQL = {
     "category_groups": f"WITH {OBJ} SELECT category, count(*) AS n, min(ord) AS first_ord, arg_min(id, ord) AS first_id, max(ord) AS last_ord FROM obj GROUP BY category",
     "catalog_union": f"WITH {OBJ}, u AS (SELECT 0 AS list, category FROM obj UNION ALL SELECT 1, 'SUPPLIER' FROM supplier) SELECT list, category, count(*) AS n FROM u GROUP BY ALL",
     "band_dimension": f"WITH d(band, wavelength, color) AS (VALUES {', '.join(f'({b[0]!r}, {b[1]}, {b[2]!r})' for b in K.BANDS)}), s AS (SELECT c_custkey AS id, substr('ugrizyx', CAST(c_custkey % 7 + 1 AS BIGINT), 1) AS band FROM customer) SELECT id, s.band, wavelength, color FROM s LEFT JOIN d ON s.band = d.band",
-    "overlay_sets": "SELECT * FROM (VALUES ('added', 'gaia-dr3'), ('added', '2mass-j'), ('added', 'wise-color'), ('removed', '2mass-j'), ('removed', 'wise-color'), ('toggled', 'wise-color'), ('toggled', 'dss2-color')) t(step, survey)",
+    "overlay_sets": f"WITH d(i, survey) AS (VALUES {', '.join(f'({i}, {x[0]!r})' for i, x in enumerate(K.SURVEYS))}), c AS (SELECT c_custkey AS view FROM customer), a AS (SELECT view, (view + p) % 5 AS i FROM c, (VALUES (0), (2)) v(p) UNION SELECT view, view * 2 % 5 FROM c), r AS (SELECT * FROM a WHERE i <> view % 5), t AS (SELECT view, (view + p) % 5 AS i FROM c, (VALUES (2), (3)) v(p)), f AS ((SELECT * FROM r EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM r)), u AS (SELECT 'added' AS step, * FROM a UNION ALL SELECT 'removed', * FROM r UNION ALL SELECT 'toggled', * FROM f) SELECT step, survey, count(*) AS n, CAST(sum(view) AS BIGINT) AS views FROM u JOIN d USING (i) GROUP BY step, survey",
     "semi_anti": "WITH r AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000) SELECT 'semi' AS kind, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_custkey IN (SELECT k FROM r) UNION ALL SELECT 'anti', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT k FROM r)",
     "cone_adql": f"WITH {SKY}, d AS (SELECT id, {sep_sql('120e0', '10e0', 'ra', 'dec')} AS dist FROM sky) SELECT id, round(dist, 6) AS dist FROM d WHERE dist <= 60000e0 / 3600 ORDER BY d.dist LIMIT 40",
     "cone_search": f"WITH {SKY}, d AS (SELECT id, {sep_sql('200e0', '-30e0', 'ra', 'dec')} AS dist FROM sky) SELECT id, round(dist, 6) AS dist FROM d WHERE dist <= 20 ORDER BY d.dist, id LIMIT 50",

@@ -48,9 +48,10 @@ def point_tile_join(spark, sf_dir):
 
 
 def nest_round_trip(spark, sf_dir):
-    p = spark.range(12 * 16 * 16).select(F.col("id").alias("pix"))
+    """The customers' tiles at order 4, taken apart and put together again."""
+    p = sky(spark, sf_dir).select("id", tile_index(F.col("ra"), F.col("dec"), F.lit(16).cast("long"), "standard").alias("pix"))
     face, x, y = face_xy(F.col("pix"), F.lit(16))
-    return p.select("pix", face.alias("face"), x.alias("x"), y.alias("y")).withColumn("back", F.col("face") * 256 + interleave(F.col("x"), F.col("y")))
+    return p.select("id", "pix", face.alias("face"), x.alias("x"), y.alias("y")).withColumn("back", F.col("face") * 256 + interleave(F.col("x"), F.col("y")))
 
 
 def tile_urls(spark, sf_dir):
@@ -80,7 +81,9 @@ def overlay_tiles(spark, sf_dir):
 
 
 def tile_centers(spark, sf_dir):
-    return T.tile_centers(spark, 3).select("ord", "pix", r6("ra").alias("ra"), r6("dec").alias("dec"))
+    """The centres of an order, and how many customers are in each tile."""
+    here = T.points_to_tiles(sky(spark, sf_dir), 3, "reference").groupBy("pix").agg(F.count("*").alias("n"))
+    return T.tile_centers(spark, 3).join(here, "pix", "left").select("ord", "pix", r6("ra").alias("ra"), r6("dec").alias("dec"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 VIEW = {"ra0": 120.0, "dec0": 20.0, "fov": 90.0, "width": 800.0, "height": 600.0}
@@ -160,12 +163,12 @@ SQL = {
     **{f"tile_index_{m}": f"WITH {SKY}, {index_sql('ra', 'dec', str(N), m, 'sky', 'id')} SELECT id, pix FROM ix" for m in ("reference", "standard")},
     "tile_counts": f"WITH {SKY}, {index_sql('ra', 'dec', '4', 'standard', 'sky', 'id, mag')} SELECT pix, count(*) AS n, round(avg(mag), 6) AS mean_mag FROM ix GROUP BY pix",
     "point_tile_join": f"WITH {SKY}, {index_sql('ra', 'dec', '8', 'standard', 'sky', 'id')} SELECT a.pix, count(*) AS pairs, min(a.id) AS least_a, max(b.id) AS most_b FROM ix a JOIN ix b ON a.pix = b.pix AND a.id < b.id GROUP BY a.pix",
-    "nest_round_trip": "WITH p AS (SELECT range AS pix FROM range(3072)), q AS (SELECT pix, pix // 256 AS face, pix % 256 AS l FROM p) SELECT pix, face, (l & 1) | ((l >> 1) & 2) | ((l >> 2) & 4) | ((l >> 3) & 8) AS x, ((l >> 1) & 1) | ((l >> 2) & 2) | ((l >> 3) & 4) | ((l >> 4) & 8) AS y, pix AS back FROM q",
+    "nest_round_trip": f"WITH {SKY}, {index_sql('ra', 'dec', '16', 'standard', 'sky', 'id')}, q AS (SELECT id, pix, pix // 256 AS face, pix % 256 AS l FROM ix) SELECT id, pix, face, (l & 1) | ((l >> 1) & 2) | ((l >> 2) & 4) | ((l >> 3) & 8) AS x, ((l >> 1) & 1) | ((l >> 2) & 2) | ((l >> 3) & 4) | ((l >> 4) & 8) AS y, pix AS back FROM q",
     "tile_urls": "SELECT c_custkey AS id, 'https://host/set/Norder6/Dir' || ((c_custkey * 37) // 10000 * 10000) || '/Npix' || (c_custkey * 37) || CASE WHEN c_custkey % 2 = 0 THEN '.png' ELSE '.jpg' END AS url, '/root/Norder3/Dir' || (c_custkey // 10000 * 10000) || '/Npix' || c_custkey || '.fits' AS local FROM customer",
     "visible_tiles": f"WITH {SEEN} SELECT view_id, ord, pix FROM vt",
     "cache_misses": f"WITH {SEEN} SELECT DISTINCT ord, pix FROM vt WHERE NOT EXISTS (SELECT 1 FROM vt c WHERE c.ord = vt.ord AND c.pix = vt.pix AND c.view_id % 2 = 0)",
     "overlay_tiles": f"WITH {SEEN}, t AS (SELECT DISTINCT ord, pix FROM vt), s(survey) AS (VALUES ('gaia-dr3'), ('dss2-color'), ('2mass-j'), ('wise-color'), ('panstarrs-dr1')) SELECT survey, ord, count(*) AS n, CAST(sum(pix) AS BIGINT) AS sum_pix FROM t, s GROUP BY survey, ord",
-    "tile_centers": centers_sql(3),
+    "tile_centers": f"WITH {SKY}, {index_sql('ra', 'dec', '8', 'reference', 'sky', 'id')}, h AS (SELECT pix, count(*) AS n FROM ix GROUP BY pix) SELECT c.ord, c.pix, c.ra, c.dec, coalesce(h.n, 0) AS n FROM ({centers_sql(3)}) c LEFT JOIN h ON c.pix = h.pix",
     "sky_to_canvas": f"WITH {SKY} SELECT id, round({px('ra', C)}, 6) AS x, round({py('ra', C)}, 6) AS y FROM sky WHERE {C} > 0.01e0",
     "canvas_to_sky": f"WITH s AS (SELECT c_custkey AS id, (c_custkey % 800 - 5 - 400) / {SC} AS u, -((c_custkey * 7) % 600 + 3 - 300) / {SC} AS v FROM customer), r AS (SELECT *, sqrt(u * u + v * v) AS rho FROM s), c AS (SELECT *, cos(atan(rho)) AS cc, sin(atan(rho)) AS sc FROM r) SELECT id, round({wrap_sql('120 + degrees(atan2(u * sc, rho * cc * cos(radians(20e0)) - v * sc * sin(radians(20e0))))')}, 6) AS ra, round(degrees(asin(cc * sin(radians(20e0)) + v * sc * cos(radians(20e0)) / CASE WHEN rho = 0 THEN 1 ELSE rho END)), 6) AS dec FROM c",
     "tiles_on_screen": f"WITH {SKY}, t AS (SELECT id, {C} AS c, {CE} AS ce, {px('ra', C)} AS x, {py('ra', C)} AS y, {px(EAST, CE)} AS ex, {py(EAST, CE)} AS ey FROM sky) SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(radians(5.625e0) / c * {SC}, 6) AS half_size, round(atan2(ey - y, ex - x), 6) AS rotation FROM t WHERE c > 0.05e0 AND x BETWEEN -1024 AND 1824 AND y BETWEEN -1024 AND 1624 AND ce > 0.01e0",
