@@ -22,6 +22,17 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 64
     return spine.join(counts, [*keys, "bin"], "left").select(*keys, "bin", edge(0).alias("x0"), edge(1).alias("x1"), F.coalesce("count", F.lit(0)).alias("n"))
 
 
+def histogram_by(df: DataFrame, value: str, ranges: DataFrame, keys: list[str], bins: int = 64) -> DataFrame:
+    """The same with a range for each group: ranges has a row (keys, low, high) for each; groups without one, or with an empty one, have no bars."""
+    v, low, high = F.col(value).cast("double"), F.col("low"), F.col("high")
+    some = ranges.where(high > low).select(*keys, low.cast("double").alias("low"), high.cast("double").alias("high")).withColumn("width", (high - low) / bins)
+    inside = df.select(*keys, v.alias("__v")).join(some, keys).where(F.col("__v").between(low, high) & ~F.isnan("__v"))
+    counts = inside.groupBy(*keys, F.least(F.floor((F.col("__v") - low) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin")).count()
+    spine = some.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    edge = lambda k: low + (F.col("bin") + k) * F.col("width")
+    return spine.join(counts, [*keys, "bin"], "left").select(*keys, "bin", edge(0).alias("x0"), edge(1).alias("x1"), F.coalesce("count", F.lit(0)).alias("n"))
+
+
 def bar_heights(bars: DataFrame, keys: list[str] | None = None, stretch: tuple[float, float] | None = None) -> DataFrame:
     """The bins with their height in pixels and, for a stretch, whether they lie within it."""
     keys = keys or []

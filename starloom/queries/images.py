@@ -13,6 +13,7 @@ from ..operators import hooks, resample
 from ..operators.epochs import median_stack
 from ..operators.scaling import Scaling, apply_scaling, clean, display_range, zscale_range
 from ..operators.scaling import flag_counts as flag_counts_of
+from ..operators.scaling import flag_lists as flag_lists_of
 from .shared import NX, PX, RG, channel_sql, packed, pixels, table
 
 r6 = lambda c: F.round(c, 6)
@@ -95,6 +96,19 @@ def histogram_fixed(spark, sf_dir):
     return b.select("image", "bin", r6("x0").alias("x0"), r6("x1").alias("x1"), "n", r6("height").alias("height"), "in_range")
 
 
+def histogram_by_image(spark, sf_dir):
+    """Twenty bars an image between its own least and largest value."""
+    p = pixels(spark, sf_dir)
+    h = H.histogram_by(p, "value", p.groupBy("image").agg(F.min("value").alias("low"), F.max("value").alias("high")), ["image"], 20)
+    return H.bar_heights(h, ["image"]).select("image", "bin", r6("x0").alias("x0"), r6("x1").alias("x1"), "n", r6("height").alias("height"))
+
+
+def flag_lists(spark, sf_dir):
+    """The pixels outside the 1 % to 99 % range of each image, as lists."""
+    f = flag_lists_of(apply_scaling(pixels(spark, sf_dir), Scaling("percentile", low_percentile=1, high_percentile=99)))
+    return f.select("image", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("underflow", "overflow")))
+
+
 def histogram_handles(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
     low, high = H.move_handle(F.col("d"), F.col("t"), "low"), H.move_handle(F.col("d"), F.col("t"), "high")
@@ -174,7 +188,7 @@ def display_pipeline(spark, sf_dir):
 
 QUERIES = {
     "asinh_stretch_by_image": asinh_stretch_by_image, "stretches": stretches, "scaling_overrides": scaling_overrides, "scaling_percentile": scaling_percentile, "flag_counts": flag_counts, "scaling_equalized": scaling_equalized, "scaling_mtf_auto": scaling_mtf_auto,
-    "zscale_range": zscale, "scaling_zscale": scaling_zscale, "histogram_fixed": histogram_fixed, "histogram_handles": histogram_handles, "color_bars": color_bars, "luma_invert": luma_invert, "alpha_composite": alpha_composite,
+    "zscale_range": zscale, "scaling_zscale": scaling_zscale, "histogram_fixed": histogram_fixed, "histogram_handles": histogram_handles, "histogram_by_image": histogram_by_image, "flag_lists": flag_lists, "color_bars": color_bars, "luma_invert": luma_invert, "alpha_composite": alpha_composite,
     **{f"resample_{m}": resampled(m) for m in resample.METHODS}, "median_stack": stacked, "display_pipeline": display_pipeline, "hook_upscale": hook_upscale,
 }
 
@@ -191,6 +205,8 @@ SQL = {
     "zscale_range": f"{zscale_ctes(True)} SELECT image, round(low, 3) AS low, round(high, 3) AS high FROM zr",
     "scaling_zscale": f"{zscale_ctes(False)} SELECT image, round(avg(CASE WHEN high <= low THEN 0e0 ELSE greatest(0e0, least(1e0, (v - low) / (high - low))) END), 5) AS mean_scaled, count(*) FILTER (WHERE v > high) AS n_over FROM px JOIN zr USING (image) GROUP BY image",
     "histogram_fixed": f"WITH {PX}, im AS (SELECT DISTINCT image FROM px), s AS (SELECT image, CAST(b AS INTEGER) AS bin FROM im, range(16) t(b)), c AS (SELECT image, CAST(least(floor((v - 1000) / 25000e0), 15) AS INTEGER) AS bin, count(*) AS n FROM px WHERE v BETWEEN 1000 AND 401000 GROUP BY 1, 2), j AS (SELECT s.image, s.bin, coalesce(n, 0) AS n FROM s LEFT JOIN c ON s.image = c.image AND s.bin = c.bin) SELECT image, bin, 1000 + bin * 25000e0 AS x0, 1000 + (bin + 1) * 25000e0 AS x1, n, round(n / greatest(1, max(n) OVER (PARTITION BY image)) * 76e0, 6) AS height, 1000 + bin * 25000e0 >= 26000 AND 1000 + (bin + 1) * 25000e0 <= 201000 AS in_range FROM j",
+    "histogram_by_image": f"WITH {PX}, g AS (SELECT image, min(v) AS low, max(v) AS high, (max(v) - min(v)) / 20 AS w FROM px GROUP BY image), s AS (SELECT image, low, w, CAST(b AS INTEGER) AS bin FROM g, range(20) t(b) WHERE high > low), c AS (SELECT px.image, CAST(least(floor((v - low) / w), 19) AS INTEGER) AS bin, count(*) AS n FROM px JOIN g ON g.image = px.image GROUP BY 1, 2), j AS (SELECT s.image, s.bin, low, w, coalesce(n, 0) AS n FROM s LEFT JOIN c ON s.image = c.image AND s.bin = c.bin) SELECT image, bin, round(low + bin * w, 6) AS x0, round(low + (bin + 1) * w, 6) AS x1, n, round(n / greatest(1, max(n) OVER (PARTITION BY image)) * 76e0, 6) AS height FROM j",
+    "flag_lists": f"WITH {PX}, {PCT.replace('0.1e0', '0.01e0').replace('0.9e0', '0.99e0')} SELECT image, coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE v < low), '') AS underflow, coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE v > high), '') AS overflow FROM px JOIN pr USING (image) GROUP BY image",
     "histogram_handles": "SELECT least(l_discount, l_tax) AS low, greatest(l_discount, l_tax) AS high, round(least(l_discount, l_tax) / 0.1e0 * 100, 6) AS low_percent, round(greatest(l_discount, l_tax) / 0.1e0 * 100, 6) AS high_percent, count(*) AS n FROM lineitem GROUP BY ALL",
     "color_bars": color_bars_sql(),
     "luma_invert": "WITH e AS (SELECT vec_id, CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 255 % 256) AS INTEGER) AS r, CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 255 % 256) AS INTEGER) AS g, CAST(floor(abs(CAST(embedding[3] AS DOUBLE)) * 255 % 256) AS INTEGER) AS b FROM embeddings) SELECT vec_id, round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 6) AS luma, 255 - r AS inv_r, 255 - g AS inv_g, 255 - b AS inv_b FROM e",

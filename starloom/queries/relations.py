@@ -35,6 +35,10 @@ def category_groups(spark, sf_dir):
     return K.by_category(objects(spark, sf_dir)).select("category", "n", "first_ord", "first_id", "last_ord")
 
 
+def category_members(spark, sf_dir):
+    return K.category_members(objects(spark, sf_dir)).select("category", "place", "ord", "id")
+
+
 def catalog_union(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("category"), F.lit(None).cast("string").alias("description"))
     u = K.union_catalogs([objects(spark, sf_dir), suppliers])
@@ -269,7 +273,7 @@ def guard_counts(spark, sf_dir):
 
 
 QUERIES = {
-    "object_search": object_search, "object_lookup": object_lookup, "first_category": first_category, "category_groups": category_groups, "catalog_union": catalog_union, "band_dimension": band_dimension, "overlay_sets": overlay_sets, "semi_anti": semi_anti,
+    "object_search": object_search, "object_lookup": object_lookup, "first_category": first_category, "category_groups": category_groups, "category_members": category_members, "catalog_union": catalog_union, "band_dimension": band_dimension, "overlay_sets": overlay_sets, "semi_anti": semi_anti,
     "cone_adql": cone_adql, "cone_search": cone_search, **{k: ran(v) for k, v in ADQL.items()}, "adql_async": adql_async, "cross_match": cross_match, "as_of": as_of_view, "epoch_neighbours": epoch_neighbours, "epoch_counters": epoch_counters,
     "epochs_generated": epochs_generated, "mjd_dates": mjd_dates, "light_curves": light_curves, "rgb_composite": rgb_composite, "daily_windows": daily_windows, "tile_failures": tile_failures, "parse_coords_lenient": coords("lenient"), "parse_coords_strict": coords("strict"),
     "resolve_coords": resolve_coords, "coord_formats": coord_formats, "guard_counts": guard_counts,
@@ -279,6 +283,7 @@ SQL = {
     "object_lookup": f"WITH {OBJ} SELECT ord, id, name FROM obj WHERE lower(id) = 'p17' OR contains(lower(name), 'p17') ORDER BY ord LIMIT 1",
     "first_category": f"WITH {OBJ} SELECT ord, id, category FROM obj WHERE category = (SELECT min(category) FROM obj) AND (contains(lower(id), 'p1') OR contains(lower(name), 'p1') OR contains(lower(coalesce(description, '')), 'p1'))",
     "category_groups": f"WITH {OBJ} SELECT category, count(*) AS n, min(ord) AS first_ord, arg_min(id, ord) AS first_id, max(ord) AS last_ord FROM obj GROUP BY category",
+    "category_members": f"WITH {OBJ} SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY ord) AS INTEGER) AS place, ord, id FROM obj",
     "catalog_union": f"WITH {OBJ}, u AS (SELECT 0 AS list, category FROM obj UNION ALL SELECT 1, 'SUPPLIER' FROM supplier) SELECT list, category, count(*) AS n FROM u GROUP BY ALL",
     "band_dimension": f"WITH d(band, wavelength, color) AS (VALUES {', '.join(f'({b[0]!r}, {b[1]}, {b[2]!r})' for b in K.BANDS)}), s AS (SELECT c_custkey AS id, substr('ugrizyx', CAST(c_custkey % 7 + 1 AS BIGINT), 1) AS band FROM customer) SELECT id, s.band, wavelength, color FROM s LEFT JOIN d ON s.band = d.band",
     "overlay_sets": f"WITH d(i, survey) AS (VALUES {', '.join(f'({i}, {x[0]!r})' for i, x in enumerate(K.SURVEYS))}), c AS (SELECT c_custkey AS view FROM customer), a AS (SELECT view, (view + p) % 5 AS i FROM c, (VALUES (0), (2)) v(p) UNION SELECT view, view * 2 % 5 FROM c), r AS (SELECT * FROM a WHERE i <> view % 5), t AS (SELECT view, (view + p) % 5 AS i FROM c, (VALUES (2), (3)) v(p)), f AS ((SELECT * FROM r EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM r)), u AS (SELECT 'added' AS step, * FROM a UNION ALL SELECT 'removed', * FROM r UNION ALL SELECT 'toggled', * FROM f) SELECT step, survey, count(*) AS n, CAST(sum(view) AS BIGINT) AS views FROM u JOIN d USING (i) GROUP BY step, survey",
