@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, held_out, numbered, per_item
@@ -161,16 +161,22 @@ def train(samples: dict[str, list[str]]) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from rows with text and lang that are not held out; two aggregations, then a bounded collect."""
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"), (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row per language
-    wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("u") < 2.0 * SAMPLE_DOCS / n))
+    """Learns from rows with text and lang that are not held out.
+
+    Of each language the SAMPLE_DOCS texts that come first by a hash of id and text: keys are grouped and
+    ranked, then only their texts are fetched, each once. So every language is learnt, however its rows
+    repeat an id or a text, and what comes to the driver is SAMPLE_DOCS texts a language.
+    """
+    text = F.col("text").cast("string")
+    labelled = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64(F.lit(11), "text", F.col("doc_id").cast("long")).alias("u"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    chosen = labelled.groupBy("lang", "u").count().withColumn("nth", order).where(F.col("nth") <= SAMPLE_DOCS).select("lang", "u").collect()
     samples: dict[str, list[tuple]] = {}
-    for r in labelled.where(wanted).collect():  # about 2 * SAMPLE_DOCS documents a language
-        samples.setdefault(r["lang"], []).append((r["u"], r["text"]))
-    return train({lang: [t for _, t in sorted(x)[:SAMPLE_DOCS]] for lang, x in samples.items()})
+    if chosen:
+        keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, u long"))  # SAMPLE_DOCS rows a language
+        for r in labelled.join(keys, ["lang", "u"]).groupBy("lang", "u").agg(F.min("text").alias("text")).collect():
+            samples.setdefault(r["lang"], []).append((r["u"], r["text"]))
+    return train({lang: [t for _, t in sorted(x)] for lang, x in samples.items()})
 
 
 def phrases(model: Model, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:

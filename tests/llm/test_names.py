@@ -49,3 +49,16 @@ def test_operators_keep_them_apart(spark):
     assert {r.id: r.component_id for r in near_duplicates(single, 3, 85).collect()} == {1: 1, 2: 2}
     found = top_k(single, single.select(single.doc_id.alias("query_id"), "text"), 10).collect()
     assert {(r.query_id, r.doc_id) for r in found} == {(1, 1), (2, 2)}
+
+
+def test_languages_of_repeated_ids_are_learnt(spark):
+    from starloom.llm.langid import languages
+
+    r = random.Random(2)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(40))
+    for same in (1, 7, 8, 9):
+        rows = [(same, text("abcdeé"), "x", "s", 1) for _ in range(400)] + [(1000 + i, text("uvwxyz"), "y", "s", 1) for i in range(400)] + [(same, "ßßß ßßß " * 9, "z", "s", 1)] * 300
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = languages(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").where("doc_id >= 1000").select("lang", "lang_pred").distinct().collect()
+        assert [tuple(x) for x in got] == [("y", "y")]
+        assert {x.lang_pred for x in languages(docs).where(f"doc_id = {same}").collect()} == {"x", "z"}
