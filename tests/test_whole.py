@@ -88,3 +88,13 @@ def test_named_customers_are_found(spark):
 def test_interpolation_guard(spark):
     names = ("nearest", "bilinear", "bicubic", "lanczos", "Nearest", "linear", None)
     assert spark.range(1).select(*(guards.is_interpolation(F.lit(x).cast("string")).alias(str(i)) for i, x in enumerate(names))).first()[:] == (True,) * 4 + (False,) * 3
+
+
+@pytest.mark.parametrize("name", ["asinh_stretch_by_image", "stretches", "scaling_equalized", "histogram_by_image", "color_bars", "display_pipeline", "resample_bilinear", "tile_index_standard", "visible_tiles", "visible_centers", "cross_match", "tile_neighbours", "cone_clustered", "epoch_counters"])
+def test_generated_code_compiles(spark, name):
+    """Without the way back to interpretation, code that grows too large is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
