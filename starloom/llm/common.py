@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +201,14 @@ def same_words(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others:
     return same
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it likes
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches, text: str = "text"):
     """Record batches cut so that each holds about CHUNK_BYTES of text, with the texts as bytes."""
     for batch in batches:
@@ -206,6 +217,12 @@ def by_bytes(batches, text: str = "text"):
             yield batch.slice(i, j - i), texts[i:j]
 
 
+def by_bytes_once(batches, text: str = "text"):
+    """The same, and what the worker has used goes back to the system at the end, for jobs of several stages."""
+    yield from by_bytes(batches, text)
+    trim()
+
+
 class Growing:
     """An array that is only added to; its room doubles."""
 

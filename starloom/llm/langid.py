@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, numbered, per_item
+from .common import chunks, held_out, numbered, per_item, trim
 
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_SYMBOLS = 48, 20_000, 20_000
 SIGMA, SEGMENT = 64, 512
@@ -240,6 +240,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 pred, score = predict(shared.value, texts[i:j])
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "k", "held_out", "lang_pred", "score"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).select("doc_id", F.xxhash64("text").alias("k"), "held_out", "text")
     return rows.mapInArrow(work, "doc_id long, k long, held_out boolean, lang_pred string, score double")
@@ -262,5 +263,6 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 part = batch.slice(i, j - i)
                 columns = [pa.array(pred, pa.string()) if c == lang else part.column(c) for c in every]
                 yield pa.RecordBatch.from_arrays(columns, names=every).filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+        trim()
 
     return source.mapInArrow(work, source.schema).toDF(*docs.columns)
