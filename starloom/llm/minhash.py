@@ -134,30 +134,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.join(x.select("a", "sa"), "a").join(y.select("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge, root the smallest node reachable.
-
-    Large-star and small-star rounds; each is aggregations and joins on nodes, written to the
-    shared folder. Star-shaped graphs, which the pivots give, settle in two or three rounds.
-    """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
-        last, e = e, written(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        discard(last)
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 class Union:
     """Disjoint sets of small integers."""
 
@@ -176,6 +152,60 @@ class Union:
         return a != b
 
 
+#: Edges that one task contracts at a time.
+EDGES = 1_000_000
+
+
+def contracted(edges: DataFrame, most: int) -> DataFrame:
+    """(u, v): stars that join what the edges join, by disjoint sets over at most so many edges at a time."""
+
+    def work(batches):
+        sets, n = Union(), 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, most):
+                part = batch.slice(i, most)
+                for a, b in zip(part.column("u").to_pylist(), part.column("v").to_pylist(), strict=True):
+                    sets.join(a, b)
+                n += part.num_rows
+                if n >= most:
+                    yield stars(sets)
+                    sets, n = Union(), 0
+        if n:
+            yield stars(sets)
+
+    def stars(sets: Union) -> pa.RecordBatch:
+        found = [(x, r) for x in list(sets.up) if (r := sets.find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(work, "u long, v long")
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(node, root) for every node of an edge, root the smallest node reachable.
+
+    Tasks contract `most` edges each to stars. What one task holds is settled then; more goes on in
+    large-star and small-star rounds, aggregations and joins on nodes, written to the shared folder.
+    Star-shaped graphs, which the pivots give, settle in two or three rounds.
+    """
+    whole = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    tasks = max(1, -(-whole.count() // most))
+    e = written(contracted(whole.coalesce(tasks), most))
+    discard(whole)
+    seen, settled = None, tasks == 1
+    while not settled:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = large.join(least, "u")
+        last, e = e, written(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        discard(last)
+        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        settled, seen = mark == seen, mark
+    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
 def linked(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     """Links that join different components. Rows: pool (only rows of one pool are compared), side (0: compared with those of side 1), node, root, shingles."""
     pool, side, node, root = (table.column(c).to_numpy() for c in ("pool", "side", "node", "root"))

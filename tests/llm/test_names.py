@@ -62,3 +62,19 @@ def test_languages_of_repeated_ids_are_learnt(spark):
         got = languages(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").where("doc_id >= 1000").select("lang", "lang_pred").distinct().collect()
         assert [tuple(x) for x in got] == [("y", "y")]
         assert {x.lang_pred for x in languages(docs).where(f"doc_id = {same}").collect()} == {"x", "z"}
+
+
+def test_components(spark):
+    from starloom.llm.minhash import Union, components
+
+    r = random.Random(4)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(7, 7)]
+    sets = Union()
+    for a, b in edges:
+        if a != b:
+            sets.join(a, b)
+    want = {x: sets.find(x) for a, b in edges if a != b for x in (a, b)}
+    table = spark.createDataFrame(edges * 2, "a long, b long").repartition(5)
+    for most in (1_000_000, 37):
+        assert {x.node: x.root for x in components(table, most).collect()} == want
+    assert components(table.where("false")).count() == 0
