@@ -21,9 +21,14 @@ def nside(order: Column) -> Column:
     return F.pow(F.lit(2.0), order).cast("long")
 
 
+def _listed(values) -> Column:
+    """A literal array as one expression; column by column it would be a call to the JVM for each entry."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def _by_byte(table: list[int], v: Column, places: int, shift: int) -> Column:
     """The entries of each byte of v, side by side; few uses of v, which may be a long expression."""
-    entries = F.lit(table)
+    entries = _listed(table)
     part = lambda k: F.shiftleft(F.element_at(entries, F.shiftright(v, 8 * k).bitwiseAND(255).cast("int") + 1).cast("long"), shift * k)
     out = part(0)
     for k in range(1, places):
@@ -78,25 +83,27 @@ def tile_index(ra: Column, dec: Column, n: Column, mode: str = "reference") -> C
     return (face * n * n + interleave(x, y)).cast("long")
 
 
-def _stepped(face: Column, x: Column, y: Column, n: Column) -> tuple[Column, Column, Column]:
-    """A cell whose x, or else y, is beyond its base cell, as seen from the base cell there; near a pole the axes turn on the way."""
-    row, column = F.floor(face / 4), face % 4
-    east, west = F.pmod(column + 1, F.lit(4)), F.pmod(column - 1, F.lit(4))
-    x_out = (x >= n) | (x < 0)
-    north_east, south_west, north_west, south_east = x >= n, x < 0, ~x_out & (y >= n), ~x_out & (y < 0)
-    moves = [
-        (row == 0, [(north_east, east, y, 2 * n - 1 - x), (south_west, column + 4, x + n, y), (north_west, west, 2 * n - 1 - y, x), (south_east, east + 4, x, y + n)]),
-        (row == 1, [(north_east, column, x - n, y), (south_west, west + 8, x + n, y), (north_west, west, x, y - n), (south_east, column + 8, x, y + n)]),
-        (row == 2, [(north_east, east + 4, x - n, y), (south_west, west + 8, y, -x - 1), (north_west, column + 4, x, y - n), (south_east, east + 8, -y - 1, x)]),
-    ]
-    out = [face, x, y]
-    for k in range(3):
-        value = out[k]
-        for of_row, steps in moves:
-            for when, *new in steps:
-                value = F.when(of_row & when, new[k]).otherwise(value)
-        out[k] = value
-    return out[0].cast("long"), out[1].cast("long"), out[2].cast("long")
+#: Steps beyond a base cell of the northern (0), middle (1) and southern (2) row: to which row, how many columns east, and the
+#: new x and y as multiples of x, y, the side n and 1. Near a pole the axes turn on the way.
+_STAY = (0, 0), (1, 0, 0, 0), (0, 1, 0, 0)
+NORTH_EAST, SOUTH_WEST, NORTH_WEST, SOUTH_EAST = range(1, 5)
+_STEPS = {
+    (0, NORTH_EAST): ((0, 1), (0, 1, 0, 0), (-1, 0, 2, -1)), (0, SOUTH_WEST): ((1, 0), (1, 0, 1, 0), (0, 1, 0, 0)), (0, NORTH_WEST): ((0, -1), (0, -1, 2, -1), (1, 0, 0, 0)), (0, SOUTH_EAST): ((1, 1), (1, 0, 0, 0), (0, 1, 1, 0)),
+    (1, NORTH_EAST): ((0, 0), (1, 0, -1, 0), (0, 1, 0, 0)), (1, SOUTH_WEST): ((2, -1), (1, 0, 1, 0), (0, 1, 0, 0)), (1, NORTH_WEST): ((0, -1), (1, 0, 0, 0), (0, 1, -1, 0)), (1, SOUTH_EAST): ((2, 0), (1, 0, 0, 0), (0, 1, 1, 0)),
+    (2, NORTH_EAST): ((1, 1), (1, 0, -1, 0), (0, 1, 0, 0)), (2, SOUTH_WEST): ((2, -1), (0, 1, 0, 0), (-1, 0, 0, -1)), (2, NORTH_WEST): ((1, 0), (1, 0, 0, 0), (0, 1, -1, 0)), (2, SOUTH_EAST): ((2, 1), (0, -1, 0, -1), (1, 0, 0, 0)),
+}
+
+
+def _stepped(at: DataFrame, kept: list[Column], n: int) -> DataFrame:
+    """Cells (__f, __x, __y) whose x, or else y, is beyond their base cell, as seen from the base cell there."""
+    entries = [((row, 0),) + _STAY[1:] if not way else _STEPS[row, way] for row in range(3) for way in range(5)]
+    x, y, f = F.col("__x"), F.col("__y"), F.col("__f")
+    way = F.when(x >= n, NORTH_EAST).when(x < 0, SOUTH_WEST).when(y >= n, NORTH_WEST).when(y < 0, SOUTH_EAST).otherwise(0)
+    picked = at.select(*kept, f, x, y, (F.floor(f / 4) * 5 + way + 1).cast("int").alias("__k"))
+    of = lambda values: F.element_at(_listed(values), F.col("__k"))
+    mixed = lambda i: of(e[i][0] for e in entries) * x + of(e[i][1] for e in entries) * y + of(e[i][2] * n + e[i][3] for e in entries)
+    face = of(e[0][0] for e in entries) * 4 + F.pmod(f + of(e[0][1] for e in entries), F.lit(4))
+    return picked.select(*kept, face.cast("long").alias("__f"), mixed(1).cast("long").alias("__x"), mixed(2).cast("long").alias("__y"))
 
 
 def surrounded(rows: DataFrame, pix: str, n: int, out: str) -> DataFrame:
@@ -113,8 +120,7 @@ def surrounded(rows: DataFrame, pix: str, n: int, out: str) -> DataFrame:
     beyond = lambda c: (F.col(c) < 0) | (F.col(c) >= side)
     at = at.where(~(beyond("__x") & beyond("__y") & ((F.floor(F.col("__f") / 4) == 1) == (F.col("__dx") == F.col("__dy")))))
     for _ in range(2):  # one axis, then the other
-        f, x, y = _stepped(F.col("__f"), F.col("__x"), F.col("__y"), side)
-        at = at.withColumns({"__f2": f, "__x2": x, "__y2": y}).select(*kept, F.col("__f2").alias("__f"), F.col("__x2").alias("__x"), F.col("__y2").alias("__y"))
+        at = _stepped(at, kept, n)
     cell = (F.col("__f") * side * side + interleave(F.col("__x"), F.col("__y"))).cast("long")
     # unfolded, so that what is asked of the result stays above it: pushed down it would copy all steps into itself
     return at.select(*kept, F.explode(F.array(cell)).alias(out))

@@ -13,17 +13,26 @@ from .sequences import sliced
 BASE_MJD, SPACING, JITTER = 60_000, 25, 5.0
 
 
+def _there(place: str, other: Column) -> Column:
+    """The item at a neighbouring place, or another one where there is none."""
+    return F.when(F.col(place).isNull(), other).otherwise(F.col(place)["item"])
+
+
+def steps(epochs: DataFrame, keys: list[str], item: str, order: list[str], slice_width: float | None = None) -> DataFrame:
+    """prev_item and next_item without wrapping, clamped to the ends, and blink_item, which goes on from the last to the first; all of one pass. slice_width: see `sequences.sliced`."""
+    s = sliced(epochs, keys, order, item, slice_width)
+    return s.select(prev_item=_there("__before", F.col(item)), next_item=_there("__after", F.col(item)), blink_item=_there("__after", F.col("__leader")["item"]))
+
+
 def neighbours(epochs: DataFrame, keys: list[str], item: str, order: list[str], slice_width: float | None = None) -> DataFrame:
-    """prev_item and next_item, without wrapping, clamped to the ends. slice_width: see `sequences.sliced`."""
+    """prev_item and next_item, without wrapping, clamped to the ends."""
     s = sliced(epochs, keys, order, item, slice_width)
-    step = lambda c: F.when(F.col(c).isNull(), F.col(item)).otherwise(F.col(c)["item"])
-    return s.select(prev_item=step("__before"), next_item=step("__after"))
+    return s.select(prev_item=_there("__before", F.col(item)), next_item=_there("__after", F.col(item)))
 
 
 def blink(epochs: DataFrame, keys: list[str], item: str, order: list[str], slice_width: float | None = None) -> DataFrame:
     """next_item, the last one going on to the first."""
-    s = sliced(epochs, keys, order, item, slice_width)
-    return s.select(next_item=F.when(F.col("__after").isNull(), F.col("__leader")["item"]).otherwise(F.col("__after")["item"]))
+    return sliced(epochs, keys, order, item, slice_width).select(next_item=_there("__after", F.col("__leader")["item"]))
 
 
 def counters(epochs: DataFrame, keys: list[str], order: list[str], shown: int = 5, slice_width: float | None = None) -> DataFrame:

@@ -138,8 +138,8 @@ ORDER = ["mjd", "event_id"]
 
 
 def epoch_neighbours(spark, sf_dir):
-    e = E.blink(E.neighbours(epochs(spark, sf_dir), ["object_id"], "event_id", ORDER, 7.0).withColumnRenamed("next_item", "after"), ["object_id"], "event_id", ORDER, 7.0)
-    return e.select("event_id", "prev_item", "after", F.col("next_item").alias("blink_to"))
+    e = E.steps(epochs(spark, sf_dir), ["object_id"], "event_id", ORDER, 7.0)
+    return e.select("event_id", "prev_item", F.col("next_item").alias("after"), F.col("blink_item").alias("blink_to"))
 
 
 def epoch_counters(spark, sf_dir):
