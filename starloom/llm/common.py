@@ -210,16 +210,12 @@ def trim() -> None:
 
 
 def by_bytes(batches, text: str = "text"):
-    """Record batches cut so that each holds about CHUNK_BYTES of text, with the texts as bytes."""
+    """Record batches cut so that each holds about CHUNK_BYTES of text, with the texts as bytes. What the worker has used goes back to the system at the end."""
     for batch in batches:
         texts = binaries(batch.column(text))
         for i, j in chunks([len(x) for x in texts]):
             yield batch.slice(i, j - i), texts[i:j]
-
-
-def by_bytes_once(batches, text: str = "text"):
-    """The same, and what the worker has used goes back to the system at the end, for jobs of several stages."""
-    yield from by_bytes(batches, text)
+    batch = texts = None
     trim()
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_bytes_once, discard, keyed, mix, packed, spread, text_key, trim, word_bounds, word_hashes, written
+from .common import U64, by_bytes, discard, keyed, mix, packed, spread, text_key, trim, word_bounds, word_hashes, written
 
 PERMUTATIONS, ROWS = 64, 4
 _MULTIPLY = (mix(np.arange(1, PERMUTATIONS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """Per row: id, k1, k2, n (set size), node (key of the set, null if empty), bands."""
 
     def work(batches):
-        for batch, texts in by_bytes_once(batches):
+        for batch, texts in by_bytes(batches):
             values, at = shingle_sets(texts, k)
             n = np.diff(at)
             some = n > 0
@@ -104,7 +104,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, n, shingles as packed 64-bit words) of one row for each wanted (id, k1, k2, node); shuffles texts once."""
 
     def work(batches):
-        for batch, texts in by_bytes_once(batches):
+        for batch, texts in by_bytes(batches):
             values, at = shingle_sets(texts, k)
             raw = values.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(at), pa.int64()), pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "n", "shingles"])

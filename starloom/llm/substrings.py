@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, by_bytes_once, discard, mix, packed, span_names, spread, word_bounds, word_hashes, written
+from .common import U64, by_bytes, discard, mix, packed, span_names, spread, trim, word_bounds, word_hashes, written
 from .repeats import buckets, covered, first_and_last, prepared
 
 WIDTH, ROUNDS = 50, 9
@@ -114,7 +114,7 @@ def anchor_runs(docs: DataFrame, width: int) -> DataFrame:
     """Runs of windows with one anchor: key, document, first window, how many."""
 
     def work(batches):
-        for batch, texts in by_bytes_once(batches):
+        for batch, texts in by_bytes(batches):
             words, first = parsed(texts)
             starts, count = windows(first, width)
             key = anchors(words, first, starts, width)
@@ -136,7 +136,7 @@ def named_windows(docs: DataFrame, width: int) -> DataFrame:
     """
 
     def work(batches):
-        for batch, texts in by_bytes_once(batches):
+        for batch, texts in by_bytes(batches):
             words, first = parsed(texts)
             runs = batch.column("runs")
             size = np.diff(runs.offsets.to_numpy())
@@ -179,6 +179,7 @@ def repeated(key, table):
     at = np.cumsum(n) - n
     a, b = first_and_last(flags, at)
     r = rows[a]
+    trim()
     return pa.table({"__k": row_key[r], "first": (first[r] + a - at[r]).astype(np.int32), "last": (first[r] + b - at[r]).astype(np.int32)})
 
 
@@ -234,7 +235,7 @@ def _cut(docs: DataFrame, width: int, hot: int, parts: int | None) -> DataFrame:
     schema = T.StructType([table.schema["row"], table.schema["text"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def cut(batches):
-        for batch, texts in by_bytes_once(batches):
+        for batch, texts in by_bytes(batches):
             out, n_words, n_removed, sha = batch.column("text").to_pylist(), [], [], []
             copies, spans = batch.column("__copy").to_pylist(), batch.column("__spans").to_pylist()
             for i, (text, copy, some) in enumerate(zip(texts, copies, spans, strict=True)):
