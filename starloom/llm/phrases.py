@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, by_bytes, discard, mix, packed, same_words, spread, word_bounds, word_hashes, written
+from .common import U64, by_bytes, discard, mix, packed, same_words, spread, trim, word_bounds, word_hashes, written
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 FILTER_BYTES = 16 << 20
 #: Bits an entry and probes of the filter, and phrases in a batch that a shard gives.
 BITS, PROBES, BATCH = 16, 3, 1 << 16
@@ -173,6 +173,7 @@ def shards(batches, lang: str = "lang", text: str = "text"):
         if size >= SHARD_BYTES:
             yield texts, langs
             texts, langs, size = [], [], 0
+            trim()
     if texts:
         yield texts, langs
 
