@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
@@ -52,6 +53,11 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The frame dealt into tasks of about so many rows, by the keys if there are any. A table of few bytes is read by one task, however much each row unfolds into."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)), *keys)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of written frames that nothing reads any more."""
     for frame in frames:

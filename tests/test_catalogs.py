@@ -65,6 +65,28 @@ def test_names_are_joined_by_equality(spark, objects):
     assert {r.ord for r in K.lookup_all(texts, objects.where("false")).collect()} == {None}
 
 
+def test_texts_are_not_broadcast(spark, objects):
+    """Tables of texts and objects that look small in a shuffle would all go through the driver; only the list of very common grams does."""
+    texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    for df in (K.lookup_all(texts, objects), K.search_counts(texts, objects)):
+        assert plan(df).count("BroadcastHashJoin") == 1
+
+
+def test_long_texts_meet_few_objects(spark):
+    """All names share their grams of three characters with hundreds of others."""
+    names = spark.range(3000).selectExpr("id AS ord", "concat('M', id) AS id", "concat('large ring ', id) AS name")
+    index = NameIndex.of(names)
+    whole = names.select(F.col("name").alias("t"), F.explode(index.grams_for(F.col("name"))).alias("gram")).join(index.frequency, "gram").groupBy("t").agg(F.min("n").alias("n"))
+    assert whole.agg(F.count("*"), F.max("n")).first()[:] == (3000, 1111)  # of "large ring 1" and the like
+    assert whole.where("n > 111").count() <= 10
+
+
+def test_search_counts(spark, objects):
+    texts = spark.createDataFrame([(t,) for t in TEXTS] * 2, "text string")
+    want = K.search_all(texts, objects).groupBy("text").agg(F.count("*").alias("n"), F.min("ord").alias("a"), F.max("ord").alias("b")).collect()
+    assert sorted(map(tuple, K.search_counts(texts, objects).collect())) == sorted(map(tuple, want))
+
+
 # -- tiles
 
 
