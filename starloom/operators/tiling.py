@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.tileindex import face_xy, tile_index
+from ..session import spread, written
 
 
-def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
-    """views: view_id, ra, dec, fov, ord. (view_id, ord, pix), distinct; the right ascension steps are bounded at the poles."""
+#: Views that one task unfolds, some hundred tiles each.
+VIEWS = 5_000
+
+
+def _in_view(views: DataFrame, mode: str) -> DataFrame:
+    """(view_id, ord, pix), with repeats; the right ascension steps are bounded at the poles."""
     angle = G.tile_angle(F.col("ord"))
     radius = F.col("fov") / 2 + angle * 2
     turn = F.pow(F.lit(2.0), F.col("ord"))  # offsets of as many tiles close the circle
@@ -20,9 +25,25 @@ def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
     wide = F.when(F.abs(cos) < 1e-12, turn).otherwise(F.least(turn, F.ceil(radius / cos / angle)))
     steps = views.select("view_id", "ord", "ra", "dec", angle.alias("angle"), F.greatest(F.lit(1), F.ceil(radius / angle)).cast("int").alias("rows"), F.greatest(F.lit(1), wide).cast("int").alias("columns"))
     grid = steps.withColumn("i", F.explode(F.sequence(-F.col("rows"), F.col("rows")))).withColumn("tile_dec", F.col("dec") + F.col("i") * F.col("angle")).where(F.col("tile_dec").between(-90, 90))
-    grid = grid.withColumn("j", F.explode(F.sequence(-F.col("columns"), F.col("columns"))))
+    grid = grid.withColumn("tile_dec", F.round("tile_dec", 9)).withColumn("j", F.explode(F.sequence(-F.col("columns"), F.col("columns"))))
     place = F.round(G.wrap(F.col("ra") + F.col("j") * F.col("angle")), 9)
-    return grid.select("view_id", "ord", tile_index(place, F.round("tile_dec", 9), F.pow(F.lit(2), F.col("ord")).cast("long"), mode).alias("pix")).distinct()
+    return grid.select("view_id", "ord", tile_index(place, F.col("tile_dec"), F.pow(F.lit(2), F.col("ord")).cast("long"), mode).alias("pix"))
+
+
+def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
+    """views: view_id, ra, dec, fov, ord. (view_id, ord, pix), distinct: views are dealt by their id, so their tiles are made distinct where they are unfolded and never shuffled."""
+    return _in_view(spread(views, VIEWS, "view_id"), mode).distinct()
+
+
+def tiles_in_view(views: DataFrame, mode: str = "reference") -> DataFrame:
+    """(ord, pix) of all tiles that any view sees, distinct: each task hands on a tile once, however many of its views see it."""
+    return _in_view(spread(views, VIEWS), mode).select("ord", "pix").distinct()
+
+
+def unloaded_tiles(views: DataFrame, loaded: Column, mode: str = "reference") -> DataFrame:
+    """(ord, pix) of the tiles that only views see for whose view_id `loaded` does not hold; one pass, and no tile is kept by view."""
+    tiles = _in_view(spread(views, VIEWS), mode).groupBy("ord", "pix").agg(F.max(F.coalesce(loaded, F.lit(False))).alias("loaded"))
+    return tiles.where("NOT loaded").select("ord", "pix")
 
 
 def tile_centers(spark: SparkSession, order: int, mode: str = "reference") -> DataFrame:
@@ -65,12 +86,17 @@ def _regions(face: Column, x: Column, y: Column, n: Column) -> Column:
     return F.array_compact(F.array(belt, cap))
 
 
+#: Tiles whose centres one task searches for.
+TILES = 1_000
+
+
 def centers_of(tiles: DataFrame) -> DataFrame:
     """tiles: ord (0 to 13), pix, distinct. (ord, pix, ra, dec) of each by the rule of `tile_centers` (mode "reference"), (0, 0) if unreachable.
 
     Only the grid's places about each tile are looked at: a few rows of some ten places, in the rings next to a pole
     up to a fifth of the tiles of a side. Work grows with the tiles that are asked for, not with 4 ** ord.
     """
+    tiles = spread(written(tiles.select("ord", "pix")), TILES, "ord", "pix")
     n = F.pow(F.lit(2), F.col("ord")).cast("long")
     step = F.lit(180.0) / n / 4
     face, x, y = face_xy(F.col("pix"), F.col("n"))
@@ -86,8 +112,8 @@ def centers_of(tiles: DataFrame) -> DataFrame:
     places = rows.select("ord", "pix", "n", F.inline(place)).where("ra < 360")
     distance = F.col("dec") * F.col("dec") + F.least(F.col("ra"), 360 - F.col("ra")) * 0.1
     hit = places.where(tile_index(F.col("ra"), F.col("dec"), F.col("n")) == F.col("pix")).select("ord", "pix", "ra", "dec", distance.alias("d"))
-    nowhere = tiles.select("ord", "pix", F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit(float("inf")).alias("d"))
-    return hit.unionByName(nowhere).groupBy("ord", "pix").agg(F.min_by(F.struct("ra", "dec"), F.struct("d", "dec", "ra")).alias("c")).select("ord", "pix", "c.ra", "c.dec")
+    found = hit.groupBy("ord", "pix").agg(F.min_by(F.struct("ra", "dec"), F.struct("d", "dec", "ra")).alias("c"))  # where the tiles were dealt to
+    return with_centers(tiles, found.select("ord", "pix", "c.ra", "c.dec").hint("shuffle_hash"))
 
 
 def with_centers(tiles: DataFrame, centers: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from starloom.operators import catalog as K
 from starloom.operators import epochs as E
 from starloom.operators.matching import cone_search, cross_match
 from starloom.operators.names import NameIndex
-from starloom.operators.tiling import centers_of, tile_centers
+from starloom.operators.tiling import centers_of, missing_tiles, tile_centers, tiles_in_view, unloaded_tiles, visible_tiles
 from starloom.sources.clustered import clustered_cone, rows_near, write_clustered
 
 
@@ -276,3 +276,37 @@ def test_one_object_is_many_tasks(spark, history):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1800
+
+
+# -- views
+
+
+@pytest.fixture(scope="module")
+def views(spark):
+    """Ids repeat at other places."""
+    return spark.range(12_000).coalesce(1).selectExpr("id % 9000 AS view_id", "id * 137.5 % 360 AS ra", "id * 0.7 % 178 - 89 AS dec", "1.0D + id % 3 AS fov", "cast(id % 3 + 3 AS int) AS ord")
+
+
+def test_tiles_of_views_are_distinct_without_a_shuffle(views):
+    tiles = visible_tiles(views)
+    assert tiles.count() == tiles.dropDuplicates().count()
+    assert plan(tiles).count("Exchange hashpartitioning") == 1  # of the views
+    assert tiles.rdd.getNumPartitions() == 3
+
+
+def test_tiles_of_all_views(views):
+    tiles = visible_tiles(views)
+    want = {tuple(r) for r in tiles.select("ord", "pix").distinct().collect()}
+    got = [tuple(r) for r in tiles_in_view(views).collect()]
+    assert len(got) == len(want) and set(got) == want
+    even = tiles.where("view_id % 2 = 0").select("ord", "pix").distinct()
+    some = F.col("view_id") % 40 == 0
+    for loaded, cached in ((F.col("view_id") % 2 == 0, even), (some, tiles.where(some).select("ord", "pix").distinct()), (F.lit(None).cast("boolean"), even.where("false"))):
+        rows = [tuple(r) for r in unloaded_tiles(views, loaded).collect()]
+        assert sorted(rows) == sorted(map(tuple, missing_tiles(tiles.select("ord", "pix").distinct(), cached).collect()))
+
+
+def test_centers_are_searched_by_many_tasks(spark):
+    tiles = spark.range(3500).coalesce(1).selectExpr("6 AS ord", "id AS pix")
+    found = centers_of(tiles)
+    assert found.count() == 3500 and found.rdd.getNumPartitions() == 4
