@@ -38,9 +38,9 @@ def merged(kinds: Column) -> Column:
     return F.when(F.size(kinds) == 1, kinds[0]).when(F.array_min(place) > 0, number).otherwise("string")
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, columns, rows): the answers as variants, one row a file; what is no JSON object has neither columns nor rows."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+def read_answers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, columns, rows): the answers as variants, one row a file, or one a line of it; what is no JSON object has neither columns nor rows."""
+    files = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     get = lambda place, kind: F.try_variant_get("v", place, kind)
     fields = F.coalesce(get("$.metadata.fields", FIELDS), F.array().cast(FIELDS))
     columns = F.transform(fields, lambda f: F.struct(F.coalesce(f["name"], f["ID"], F.lit("unknown")).alias("name"), F.coalesce(f["datatype"], F.lit("string")).alias("datatype"), f["unit"].alias("unit"), f["description"].alias("description")))
@@ -53,7 +53,7 @@ def answer_fields(answers: DataFrame) -> DataFrame:
     kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("c.datatype")), F.lit("string"))
     said = answers.select("file", F.posexplode("columns").alias("place", "c")).groupBy(F.col("c.name").alias("name")).agg(
         merged(F.array_sort(F.collect_set(kind))).alias("kind"),
-        *(F.min_by(f"c.{x}", F.when(F.length(f"c.{x}") > 0, F.struct("file", "place"))).alias(x) for x in ("unit", "description")), F.min(F.struct(F.lit(0).alias("later"), F.col("file").alias("at"), F.col("place").cast("string").alias("name"))).alias("first"),
+        *(F.min_by(f"c.{x}", F.when(F.length(f"c.{x}") > 0, F.struct("file", "place", f"c.{x}"))).alias(x) for x in ("unit", "description")), F.min(F.struct(F.lit(0).alias("later"), F.col("file").alias("at"), F.col("place").cast("string").alias("name"))).alias("first"),
     )
     values = answers.select(F.explode("rows").alias("r")).select(F.explode("r").alias("name", "value"))
     held = values.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).join(said, "name", "left_anti")
@@ -61,12 +61,12 @@ def answer_fields(answers: DataFrame) -> DataFrame:
     return said.unionByName(held.select("name", F.when(F.col("kind") == "VOID", "string").otherwise(F.col("kind")).alias("kind"), none.alias("unit"), none.alias("description"), F.struct(F.lit(1).alias("later"), F.lit("").alias("at"), F.col("name")).alias("first")))
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of all files as one typed frame, whatever fields each file has; units and descriptions go to the columns' metadata. A value that does not fit its column is null.
+def read_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The rows of all files as one typed frame, whatever fields each file (or each line, where a file holds many answers) has; units and descriptions go to the columns' metadata. A value that does not fit its column is null.
 
     The fields of all files are gathered by Spark; only their list, a row for each, comes to the driver.
     """
-    answers = read_answers(spark, path)
+    answers = read_answers(spark, path, lines)
     fields = answer_fields(answers).orderBy("first").collect()
     rows = answers.select(F.explode("rows").alias("r"))
     out = rows.select(*(F.try_variant_get(F.try_element_at("r", F.lit(f["name"])), "$", f["kind"].replace("OBJECT<", "STRUCT<")).alias(f["name"]) for f in fields))

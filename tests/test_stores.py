@@ -77,3 +77,20 @@ def test_fields_of_all_files_count(spark, tmp_path):
 
 def test_no_answers(spark, tmp_path):
     assert tap.read_rows(spark, answers(tmp_path, {}, "x")).count() == 0
+
+
+def test_many_answers_share_a_file(spark, tmp_path):
+    """An answer a line, with other fields, rows under either name, none, or no answer at all."""
+    from starloom.sources import tap
+
+    lines = ['{"metadata": {"fields": [{"name": "k", "datatype": "int", "unit": "m"}]}, "data": [{"k": 1}, {"k": 2}]}', '{"metadata": {"fields": [{"name": "k", "datatype": "long", "unit": "km"}]}, "rows": [{"k": 3000000000, "more": "x"}]}', "{}", "no answer"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / "a"))
+    rows = tap.read_rows(spark, str(tmp_path / "a"), lines=True)
+    assert sorted(map(tuple, rows.select("k", "more").collect()), key=str) == [(1, None), (2, None), (3000000000, "x")]
+    assert rows.schema["k"].dataType.simpleString() == "bigint" and rows.schema["k"].metadata["unit"] == "km"
+
+
+def test_answers_of_tap_shapes_take_no_file_each(spark):
+    from starloom.queries import QUERIES
+
+    assert len(QUERIES["tap_shapes"](spark, "/root/testdata/sf0.01").inputFiles()) < 25
