@@ -310,3 +310,31 @@ def test_centers_are_searched_by_many_tasks(spark):
     tiles = spark.range(3500).coalesce(1).selectExpr("6 AS ord", "id AS pix")
     found = centers_of(tiles)
     assert found.count() == 3500 and found.rdd.getNumPartitions() == 4
+
+
+def test_pairs_are_made_by_many_tasks_without_a_broadcast(spark):
+    t = spark.range(12_000).coalesce(1).selectExpr("id", "id * 137.5 % 360 AS ra", "id * 0.7 % 178 - 89 AS dec")
+    pairs = cross_match(t.withColumnRenamed("id", "lid"), t.withColumnRenamed("id", "rid"), 0.5)
+    assert "BroadcastHashJoin" not in plan(pairs) and plan(pairs).count("REPARTITION_BY_NUM") == 4  # rows, then pairs of each side
+
+
+@pytest.mark.parametrize("name", ["parse_coords_strict", "parse_coords_lenient"])
+def test_texts_are_parsed_by_many_tasks(spark, name, monkeypatch):
+    from starloom.queries import QUERIES, relations
+
+    monkeypatch.setattr(relations, "TEXTS", 500)
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 3
+
+
+def test_names_are_parsed_from_many_tasks(spark, monkeypatch):
+    from starloom.queries import QUERIES, relations
+
+    monkeypatch.setattr(relations, "TEXTS", 500)
+    assert "REPARTITION_BY_NUM" in plan(QUERIES["resolve_coords"](spark, "/root/testdata/sf0.01"))
+
+
+def test_images_are_resampled_by_many_tasks(spark):
+    from starloom.operators.resample import resample
+
+    t = spark.range(2000).coalesce(1).selectExpr("id", "2 AS w", "1 AS h", "array(0.0D, 1.0D) AS data")
+    assert resample(t, 10, 10, "lanczos").rdd.getNumPartitions() == 4
