@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions import coordtext as X
 from ..functions import dates
+from ..functions.stretch import js_round
 from ..operators import catalog as K
 from ..operators import epochs as E
 from ..operators import guards as V
 from ..operators import matching as M
 from ..plans import adql
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..streaming.replay import windowed
 from .shared import EP, OBJ, SKY, epochs, objects, sep_sql, sky, table
 
 r6 = lambda c: F.round(c, 6)
+#: Texts that one task parses.
+TEXTS = 20_000
 
 
 def object_search(spark, sf_dir):
@@ -124,7 +127,7 @@ def cross_match(spark, sf_dir):
     s = sky(spark, sf_dir)
     left = s.select(F.col("id").alias("lid"), "ra", "dec")
     right = s.select(F.col("id").alias("rid"), "ra", "dec")
-    return M.cross_match(left, right, 2.0).where("lid < rid").select("lid", "rid", r6("dist").alias("dist"))
+    return M.cross_match(left, right, 2.0).where("lid < rid").select("lid", "rid", js_round(F.col("dist"), 6).alias("dist"))
 
 
 def as_of_view(spark, sf_dir):
@@ -180,7 +183,7 @@ def tile_failures(spark, sf_dir):
 
 def coords(mode):
     def run(spark, sf_dir):
-        texts = sky(spark, sf_dir).select("id", coord_text().alias("text"))
+        texts = spread(sky(spark, sf_dir).select("id", coord_text().alias("text")), TEXTS)
         p = X.parse(F.col("text"), mode)
         return texts.select("id", r6(p["ra"]).alias("ra"), r6(p["dec"]).alias("dec"), p["error"].alias("error"))
 
@@ -216,7 +219,7 @@ def resolve_coords(spark, sf_dir):
     named = table(spark, sf_dir, "nation").select(k.alias("ord"), F.concat(F.lit("N"), k.cast("string")).alias("id"), F.col("n_name").alias("name"), (k * 14.25).cast("double").alias("ra"), (k * 5.5 - 60).cast("double").alias("dec"))
     i = F.col("id")
     name = F.when(i % 28 == 5, F.concat(F.lit("  nation_"), (i % 30).cast("string"))).when(i % 28 == 12, F.concat(F.lit("n"), (i % 30).cast("string"), F.lit(" ")))
-    r = K.resolve(sky(spark, sf_dir).select("id", F.coalesce(name, coord_text()).alias("text")), named)
+    r = K.resolve(spread(sky(spark, sf_dir).select("id", F.coalesce(name, coord_text()).alias("text")), TEXTS), named)
     return r.select("id", r6(F.col("ra")).alias("ra"), r6(F.col("dec")).alias("dec"), "error")
 
 
