@@ -7,8 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 METHODS = ("nearest", "bilinear", "bicubic", "lanczos")
 LOBES = 3
+#: New pixels that one task works out.
+SAMPLES = 50_000
 
 
 def _at(data: Column, w: Column, h: Column, x: Column, y: Column) -> Column:
@@ -40,8 +44,8 @@ def _prepared(x: Column, y: Column, method: str) -> Column:
     if method == "bilinear":
         weights = lambda t, f: F.array(1 - (t - f), t - f)
     else:
-        weight = cubic_weight if method == "bicubic" else lanczos_weight
-        weights = lambda t, f: F.array(*(weight(t - (f + k)) for k in _reach(method)))
+        weight = cubic_weight if method == "bicubic" else lambda t: lanczos_weight(t)
+        weights = lambda t, f: F.transform(F.array(*(t - (f + k) for k in _reach(method))), weight)
     return F.struct(fx.alias("fx"), fy.alias("fy"), weights(x, fx).alias("wx"), weights(y, fy).alias("wy"))
 
 
@@ -81,4 +85,7 @@ def resample(images: DataFrame, width: int, height: int, method: str = "bilinear
         return images.withColumn(out, empty)
     place = lambda k: _prepared((k % width + 0.5) * (w / F.lit(float(width))) - 0.5, (F.floor(k / width) + 0.5) * (h / F.lit(float(height))) - 0.5, method)
     places = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), place)
-    return images.withColumn(out, F.when((w <= 0) | (h <= 0), empty).otherwise(F.transform(places, lambda s: _weighted(data, w, h, s, method))))
+    images = spread(images, max(1, SAMPLES // (width * height)))
+    values = F.when((w <= 0) | (h <= 0), empty).otherwise(F.transform(places, lambda s: _weighted(data, w, h, s, method)))
+    # unfolded, so that what is asked of the values is not worked out below the dealing, in one task
+    return images.withColumn(out, F.explode(F.array(values)))
