@@ -56,13 +56,16 @@ def face_xy(pix: Column, n: Column) -> tuple[Column, Column, Column]:
     return F.floor(pix / (n * n)), compact_bits(local), compact_bits(F.shiftright(local, 1))
 
 
-def tile_index(ra: Column, dec: Column, n: Column, mode: str = "reference") -> Column:
-    """Nested index of a sky place at n cells a face side."""
+def latitude(dec: Column, n: Column) -> dict[str, Column]:
+    """What an index needs of a declination: z, and how many lines from its pole it is. Places of one declination share it."""
+    z = F.cos(math.pi / 2 - F.radians(dec))
+    return {"z": z, "reach": n * F.sqrt(3 * (1 - F.abs(z)))}
+
+
+def index_at(phi: Column, z: Column, reach: Column, n: Column, mode: str = "reference") -> Column:
+    """Nested index of the longitude phi (radians, 0 to a full turn) at a `latitude`. The arguments recur, so long expressions are better columns."""
     if mode not in ("reference", "standard"):
         raise ValueError(f"unknown mode {mode!r}")
-    phi = F.radians(F.pmod(ra, F.lit(360.0)))
-    z = F.cos(math.pi / 2 - F.radians(dec))
-    steep = F.abs(z)
     turn = phi / (2 * math.pi) if mode == "reference" else phi / (math.pi / 2)
     # belt: counts of ascending and descending lines
     up, down = F.floor(n * (0.5 + turn - z * 0.75)), F.floor(n * (0.5 + turn + z * 0.75))
@@ -72,17 +75,21 @@ def tile_index(ra: Column, dec: Column, n: Column, mode: str = "reference") -> C
     # caps: lines counted from the pole within a quarter
     quarter = F.least(F.floor(phi / (math.pi / 2)), F.lit(3))
     part = phi / (math.pi / 2) - quarter
-    reach = n * F.sqrt(3 * (1 - steep))
     a = F.least(F.greatest(F.floor(part * reach), F.lit(0)), n - 1)
     b = F.least(F.greatest(F.floor((1 - part) * reach), F.lit(0)), n - 1)
     north = z > 0
-    in_belt = steep <= 2 / 3
+    in_belt = F.abs(z) <= 2 / 3
     face = F.when(in_belt, belt).when(north, quarter).otherwise(quarter + 8)
     x = F.when(in_belt, belt_x).when(north, n - b - 1).otherwise(a)
     y = F.when(in_belt, belt_y).when(north, n - a - 1).otherwise(b)
     return (face * n * n + interleave(x, y)).cast("long")
 
 
+def tile_index(ra: Column, dec: Column, n: Column, mode: str = "reference") -> Column:
+    """Nested index of a sky place at n cells a face side."""
+    return index_at(F.radians(F.pmod(ra, F.lit(360.0))), **latitude(dec, n), n=n, mode=mode)
+
+
 #: Steps beyond a base cell of the northern (0), middle (1) and southern (2) row: to which row, how many columns east, and the
 #: new x and y as multiples of x, y, the side n and 1. Near a pole the axes turn on the way.
 _STAY = (0, 0), (1, 0, 0, 0), (0, 1, 0, 0)

@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.tileindex import face_xy, tile_index
+from ..functions.tileindex import face_xy, index_at, latitude, tile_index
 from ..session import spread, written
 
 
 #: Views that one task unfolds, some hundred tiles each.
 VIEWS = 5_000
+#: The same where the tiles are shuffled behind it: each task opens a file for every partition of the shuffle, so there are fewer of them; what a task keeps is bounded by the tiles, not by its views.
+SHARED_VIEWS = 50_000
+
+
+def _nine_places(angle: Column) -> Column:
+    """An angle of 0 and more, rounded to nine places as the SQL does; `round` would turn each number into text and back."""
+    return F.floor(angle * 1e9 + 0.5) / 1e9
 
 
 def _in_view(views: DataFrame, mode: str) -> DataFrame:
@@ -25,9 +32,12 @@ def _in_view(views: DataFrame, mode: str) -> DataFrame:
     wide = F.when(F.abs(cos) < 1e-12, turn).otherwise(F.least(turn, F.ceil(radius / cos / angle)))
     steps = views.select("view_id", "ord", "ra", "dec", angle.alias("angle"), F.greatest(F.lit(1), F.ceil(radius / angle)).cast("int").alias("rows"), F.greatest(F.lit(1), wide).cast("int").alias("columns"))
     grid = steps.withColumn("i", F.explode(F.sequence(-F.col("rows"), F.col("rows")))).withColumn("tile_dec", F.col("dec") + F.col("i") * F.col("angle")).where(F.col("tile_dec").between(-90, 90))
-    grid = grid.withColumn("tile_dec", F.round("tile_dec", 9)).withColumn("j", F.explode(F.sequence(-F.col("columns"), F.col("columns"))))
-    place = F.round(G.wrap(F.col("ra") + F.col("j") * F.col("angle")), 9)
-    return grid.select("view_id", "ord", tile_index(place, F.col("tile_dec"), F.pow(F.lit(2), F.col("ord")).cast("long"), mode).alias("pix"))
+    # what a row's places share is worked out before they are unfolded, what an index uses more than once is a column
+    grid = grid.withColumn("tile_dec", F.round("tile_dec", 9)).withColumn("n", F.pow(F.lit(2), F.col("ord")).cast("long")).withColumns(latitude(F.col("tile_dec"), F.col("n")))
+    grid = grid.withColumn("j", F.explode(F.sequence(-F.col("columns"), F.col("columns"))))
+    place = _nine_places(G.wrap(F.col("ra") + F.col("j") * F.col("angle")))
+    grid = grid.withColumn("phi", F.radians(F.pmod(place, F.lit(360.0))))
+    return grid.select("view_id", "ord", index_at(F.col("phi"), F.col("z"), F.col("reach"), F.col("n"), mode).alias("pix"))
 
 
 def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
@@ -37,12 +47,12 @@ def visible_tiles(views: DataFrame, mode: str = "reference") -> DataFrame:
 
 def tiles_in_view(views: DataFrame, mode: str = "reference") -> DataFrame:
     """(ord, pix) of all tiles that any view sees, distinct: each task hands on a tile once, however many of its views see it."""
-    return _in_view(spread(views, VIEWS), mode).select("ord", "pix").distinct()
+    return _in_view(spread(views, SHARED_VIEWS), mode).select("ord", "pix").distinct()
 
 
 def unloaded_tiles(views: DataFrame, loaded: Column, mode: str = "reference") -> DataFrame:
     """(ord, pix) of the tiles that only views see for whose view_id `loaded` does not hold; one pass, and no tile is kept by view."""
-    tiles = _in_view(spread(views, VIEWS), mode).groupBy("ord", "pix").agg(F.max(F.coalesce(loaded, F.lit(False))).alias("loaded"))
+    tiles = _in_view(spread(views, SHARED_VIEWS), mode).groupBy("ord", "pix").agg(F.max(F.coalesce(loaded, F.lit(False))).alias("loaded"))
     return tiles.where("NOT loaded").select("ord", "pix")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import STOPS
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,11 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(8).alias("w"), F.lit(8).alias("h"), F.col("embedding").cast("array<double>").alias("data"))
 
 
-def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customers as objects on the sky."""
+def sky(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """customers as objects on the sky; with `rows` they are dealt into tasks of so many before their places are worked out."""
     k = F.col("c_custkey").cast("double")
-    return table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return (spread(customers, rows) if rows else customers).select(
         F.col("c_custkey").alias("id"), F.round(F.pmod(k * 137.50776405, F.lit(360.0)), 6).alias("ra"), F.round(F.degrees(F.asin(F.pmod(k * 0.7548776662, F.lit(1.0)) * 1.98 - 0.99)), 6).alias("dec"), F.col("c_acctbal").alias("mag"), F.col("c_mktsegment").alias("kind")
     )
 

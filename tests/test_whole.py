@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import catalog, guards
+from starloom.operators import catalog, guards, tiling
 from starloom.queries import QUERIES
 from starloom.queries.shared import OBJ, SKY, sep_sql, wrap_sql
 from starloom.queries.skyviews import index_sql
@@ -98,3 +98,20 @@ def test_generated_code_compiles(spark, name):
         QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_unfolding_opens_few_shuffle_files(spark):
+    """Each task that unfolds views opens a file for every partition of the shuffle behind it: tens of thousands of views go to one, and none is made by a single task from a file that one task reads."""
+    views = spark.range(60_000).selectExpr("id AS view_id", "id % 360.0D AS ra", "id % 170 - 85.0D AS dec", "1.0D AS fov", "3 AS ord")
+    plan = tiling.tiles_in_view(views)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(2)" in plan
+    assert QUERIES["visible_centers"](spark, SF).count() == QUERIES["visible_centers"](spark, SF).distinct().count() > 0
+
+
+def test_places_round_as_the_sql_does(spark):
+    r = spark.range(1, 200_000).select((F.col("id") * 0.0017999).alias("x")).select(F.count_if(tiling._nine_places(F.col("x")) != F.round("x", 9))).first()
+    assert r[0] == 0
+    text = f"WITH {SEEN} SELECT DISTINCT ord, pix FROM vt"
+    from starloom.queries.skyviews import views
+    got = {tuple(x) for x in tiling.tiles_in_view(views(spark, "/root/testdata/sf0.01")).collect()}
+    assert got == set(duck("/root/testdata/sf0.01").execute(text).fetchall())
