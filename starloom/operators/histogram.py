@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 CHART_HEIGHT, CHART_MARGIN = 80, 4
 
 
@@ -25,7 +27,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 64
 def histogram_by(df: DataFrame, value: str, ranges: DataFrame, keys: list[str], bins: int = 64) -> DataFrame:
     """The same with a range for each group: ranges has a row (keys, low, high) for each; groups without one, or with an empty one, have no bars."""
     v, low, high = F.col(value).cast("double"), F.col("low"), F.col("high")
-    some = ranges.where(high > low).select(*keys, low.cast("double").alias("low"), high.cast("double").alias("high")).withColumn("width", (high - low) / bins)
+    some = written(ranges.where(high > low).select(*keys, low.cast("double").alias("low"), high.cast("double").alias("high")).withColumn("width", (high - low) / bins))  # so few groups are sent to the rows
     inside = df.select(*keys, v.alias("__v")).join(some, keys).where(F.col("__v").between(low, high) & ~F.isnan("__v"))
     counts = inside.groupBy(*keys, F.least(F.floor((F.col("__v") - low) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin")).count()
     spine = some.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

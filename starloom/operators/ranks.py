@@ -19,6 +19,9 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, wanted: dict[str, t
     wanted: name -> (p, rule): rule "gaps" is floor(p * (n - 1)), rule "items" floor(p * n), both
     within the group. An approximate percentile with a proven error brackets each rank; below the bracket values are
     only counted, and only those inside are sorted. No value is collected.
+
+    What there is one row a group of is written, here and in the result: its size is then known, so that few groups are
+    sent to the rows. Joins by group would bring a group's rows together in one task, or send the rows of a well compressed table.
     """
     v = F.col(value)
     names = list(wanted)
@@ -33,14 +36,14 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, wanted: dict[str, t
 
     small = n <= SMALL
     brackets = F.array(*(F.struct(F.lit(x).alias("name"), rank(x).alias("rank"), F.when(small, F.col("least")).otherwise(F.col("low")[i]).alias("low"), F.when(small, F.col("most")).otherwise(F.col("high")[i]).alias("high")) for i, x in enumerate(names)))
-    bounds = stats.select(*keys, "n", "least", "most", F.explode(brackets).alias("b")).select(*keys, "n", "least", "most", "b.*")
+    bounds = written(stats).select(*keys, "n", "least", "most", F.explode(brackets).alias("b")).select(*keys, "n", "least", "most", "b.*")
     rows = df.select(*keys, v.alias("__v")).where("__v is not null").join(bounds, keys).where("__v <= high")
     # what is below the bracket is one null row a group, first in order
     counted = rows.withColumn("__v", F.when(F.col("__v") >= F.col("low"), F.col("__v"))).groupBy(*keys, "name", "rank", "n", "least", "most", "__v").count()
     order = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("upto", F.sum("count").over(order))
     hit = ranked.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("count") <= F.col("rank")))
-    return hit.groupBy(*keys).agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"), *(F.max(F.when(F.col("name") == x, F.col("__v"))).alias(x) for x in names))
+    return written(hit.groupBy(*keys).agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"), *(F.max(F.when(F.col("name") == x, F.col("__v"))).alias(x) for x in names)))
 
 
 def positions(df: DataFrame, keys: list[str], order: str, name: str = "pos", partitions: int | None = None) -> DataFrame:

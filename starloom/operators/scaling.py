@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stretch as S
+from ..session import written
 from .ranks import nearest_rank, positions
 
 CLIP_ABOVE, EQUALIZE_BINS = 100, 65_536
@@ -83,7 +84,7 @@ def zscale_fit(sample: np.ndarray, contrast: float) -> tuple[float, float]:
 def zscale_range(rows: DataFrame, contrast: float = ZSCALE_CONTRAST) -> DataFrame:
     """(image, low, high) from at most ZSCALE_SAMPLE positive pixels an image, every n-th in pixel order; 0 and 0 without any."""
     ranked = positions(rows.where("v > 0"), ["image"], "idx")
-    count = ranked.groupBy("image").agg(F.count("*").alias("n"))
+    count = written(ranked.groupBy("image").agg(F.count("*").alias("n")))
     pos, n, most = F.col("pos"), F.col("n"), F.lit(ZSCALE_SAMPLE)
     nearby = F.ceil(pos * most / n)  # the only sample number that can take this position
     take = (n <= most) | ((F.floor(nearby * n / most) == pos) & (nearby < most))
@@ -95,7 +96,7 @@ def zscale_range(rows: DataFrame, contrast: float = ZSCALE_CONTRAST) -> DataFram
 
     kind = rows.schema["image"].dataType.simpleString()
     found = sample.groupBy("image").applyInPandas(fit, f"image {kind}, low double, high double")  # bounded: the sample
-    return rows.select("image").distinct().join(found, "image", "left").select("image", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+    return written(rows.select("image").distinct().join(found, "image", "left").select("image", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high")))
 
 
 def equalized(rows: DataFrame) -> DataFrame:
@@ -127,9 +128,9 @@ def ranges(rows: DataFrame, p: Scaling) -> DataFrame:
 
 def midtones(placed: DataFrame) -> DataFrame:
     """(image, midtone): the median of x (between the two middle values of an even number), kept off the ends; 0.5 for an empty range."""
-    r = nearest_rank(placed, ["image"], "x", {"a": (0.5, "gaps"), "b": (0.5, "items")}).select("image", ((F.col("a") + F.col("b")) / 2).alias("median"))
-    wide = placed.groupBy("image").agg(F.max(F.col("high") > F.col("low")).alias("wide"))
-    return r.join(wide, "image").select("image", F.when(F.col("wide"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("median")))).otherwise(0.5).alias("midtone"))
+    ranged = placed.select("image", (F.col("high") > F.col("low")).alias("wide"), "x")  # an image has one range
+    r = nearest_rank(ranged, ["image", "wide"], "x", {"a": (0.5, "gaps"), "b": (0.5, "items")})
+    return r.select("image", F.when(F.col("wide"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col("a") + F.col("b")) / 2))).otherwise(0.5).alias("midtone"))
 
 
 def apply_scaling(pixels: DataFrame, p: Scaling, image: str = "image", index: str = "idx", value: str = "value") -> DataFrame:

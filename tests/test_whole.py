@@ -115,3 +115,20 @@ def test_places_round_as_the_sql_does(spark):
     from starloom.queries.skyviews import views
     got = {tuple(x) for x in tiling.tiles_in_view(views(spark, "/root/testdata/sf0.01")).collect()}
     assert got == set(duck("/root/testdata/sf0.01").execute(text).fetchall())
+
+
+@pytest.mark.parametrize("name", ["scaling_mtf_auto", "scaling_percentile", "stretches", "scaling_equalized", "scaling_zscale", "display_pipeline"])
+def test_pixels_are_not_brought_together_by_image(spark, name):
+    """Ranges go to the pixels: no join sorts an image's rows in one task, and none sends the pixels."""
+    import re
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "25k")  # below the pixels' columns, above a row an image
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan
+    assert not re.search(r"SortMergeJoin \[image#\d+\], \[image#\d+\]", plan)
+    assert not re.search(r"BuildLeft", plan)
