@@ -409,3 +409,39 @@ def test_pipeline(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     want = {0: texts[0], 3: texts[3], 4: texts[4][len(passage) + 1 :], **{i: texts[i] for i in range(8, 20)}}
     assert got == {i: sp.encode(t) for i, t in want.items()}
+
+
+def test_search_of_many_queries_at_once(monkeypatch):
+    """Long queries share their frequent words: these go through a matrix, so few postings are unfolded a query; ties by nine digits."""
+    from starloom.llm import search
+    from starloom.llm.search import Asked, Shard, leading, shard_row, term_counts
+
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(300)]
+    texts = [" ".join([*r.sample(common, 120), f"rare{r.randrange(400)}", f"rare{r.randrange(400)}"]).encode() for _ in range(1500)]
+    shard, parts = Shard(shard_row(5, list(range(len(texts))), texts), 122.0), [np.unique(term_counts([x])[0]) for x in texts[:300]]
+    idf = dict(zip(shard.terms.tolist(), np.log(1 + (1500 - shard.counts + 0.5) / (shard.counts + 0.5)).tolist(), strict=True))
+    weights = [np.array([idf[t] for t in x.tolist()]) for x in parts]
+    first = np.append(0, np.cumsum([len(x) for x in parts]))
+    asked = Asked(np.concatenate(parts), np.concatenate(weights), first, np.zeros(len(parts)))
+    shard.weigh(asked)
+    whole = np.zeros((len(parts), len(texts)))
+    at = dict(zip(shard.terms.tolist(), range(len(shard.terms)), strict=True))
+    for q, (terms, weight) in enumerate(zip(parts, weights, strict=True)):
+        for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
+            a, b = shard.start[at[t]], shard.start[at[t] + 1]
+            whole[q, shard.doc[a:b]] += w * shard.impact[a:b]
+    unfolded, plain = [], search.spread
+    monkeypatch.setattr(search, "spread", lambda start, count: unfolded.append(int(count.sum())) or plain(start, count))
+    kth = np.sort(whole, axis=1)[:, -10]
+    for floors in (kth, np.zeros(len(parts))):
+        found, looked = shard.answers(asked, 0, len(parts), 10, floors)
+        assert looked <= shard.blocks * len(parts)
+        for q in range(len(parts)):
+            ids, scores = leading(*found[q], 10)
+            want = leading(shard.ids, whole[q], 10)
+            assert ids.tolist() == want[0].tolist() and np.allclose(scores, want[1], rtol=1e-12)
+        if floors is kth:
+            assert 20 * sum(unfolded) < shard.counts[shard.slot[asked.place]].sum()  # what a query at a time would unfold
+    assert not shard.answers(asked, 0, len(parts), 10, kth + 1e6)[0]
+    assert leading(np.array([7, 3]), np.array([1.0 + 1e-12, 1.0]), 2)[0].tolist() == [3, 7]
